@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import compression, decontaminate, mixing, simhash, token_counts, token_files, warc
+from quire.llm import compression, decontaminate, language, mixing, simhash, substrings, token_counts, token_files, toxicity, warc
 from quire.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -35,6 +35,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -47,8 +59,14 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_warc_zip, op2_compression_bands, op3_source_mix, op4_token_counts, op5_repeat_removal,
+    op6_language, op7_toxicity, op8_token_files, op9_benchmark_hits, op10_simhash_groups,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_zip, op2_compression_bands, op3_source_mix, op4_token_counts, op8_token_files, op9_benchmark_hits, op10_simhash_groups)}
+    return {f.__name__: f for f in QUERIES}
 
 
 WARC_SQL = r"""
@@ -66,5 +84,55 @@ FROM d LEFT JOIN g USING (payload_digest)
 """
 
 
+REPEATS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)
+), m AS (
+  SELECT k, min(doc_id) AS first FROM w GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM w JOIN m USING (k) WHERE doc_id > first
+), word AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d
+), kept AS (
+  SELECT word.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t
+  FROM word ANTI JOIN gone ON word.doc_id = gone.doc_id AND word.pos = gone.pos GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+HITS_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), p AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(ws), 8) AS size, array_to_string(ws[i:i + 7], ' ') AS k
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 7, 1) + 1)) AS i FROM b WHERE len(ws) > 0)
+), l AS (
+  SELECT DISTINCT size FROM p
+), w AS (
+  SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS k
+  FROM (SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, l WHERE len(ws) >= size)
+), h AS (
+  SELECT doc_id, i, w.size, item FROM w JOIN p ON w.k = p.k AND w.size = p.size
+), spots AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM h) GROUP BY 1
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(t, '')) AS items_sha256,
+       coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN spots ON d.doc_id = spots.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_zip": WARC_SQL}
+    return {"op1_warc_zip": WARC_SQL, "op5_repeat_removal": REPEATS_SQL, "op9_benchmark_hits": HITS_SQL}
