@@ -301,9 +301,9 @@ def numfmt_negative_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT o_orderkey, printf('%.4E', o_totalprice) AS sci FROM orders WHERE o_totalprice * 1000 % 5 <> 0 OR o_totalprice <> floor(o_totalprice)")
+@query("SELECT o_orderkey, printf('%.8E', o_totalprice) AS sci FROM orders")
 def numfmt_scientific(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", {"sci": "0.0000E+00"})
+    return _shown(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", {"sci": "0.00000000E+00"})
 
 
 @query(
