@@ -491,3 +491,30 @@ def used_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def row_auto_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     most = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max("p_size").cast("double").alias("m"))
     return most.select("p_brand", aggregates.row_height(F.col("m"), F.lit(11.0), F.lit(15.0)).alias("height"))
+
+
+@query(
+    PACK_SQL
+    + """, r AS (SELECT sheet, page AS rg, min(p_partkey) AS r1, max(p_partkey) AS r2 FROM packed GROUP BY 1, 2), n AS (SELECT sheet, max(rg) + 1 AS rgs FROM r GROUP BY 1),
+c AS (SELECT * FROM (VALUES (0, 1, 2), (1, 3, 3)) t(cg, c1, c2))
+SELECT r.sheet, CAST(cg * rgs + rg + 1 AS INTEGER) AS page, r1, r2, c1, c2 FROM r JOIN n ON n.sheet = r.sheet, c"""
+)
+def sheet_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rows, three columns of which two fit side by side: down, then over."""
+    from quire.operators import pages
+
+    rows = _heights(spark, sf_dir).selectExpr("sheet", "p_partkey r", "size height", "false hidden", "false break_after")
+    sheets = rows.select("sheet").distinct()
+    columns = sheets.selectExpr("sheet", "posexplode(array(60.0D, 70.0D, 80.0D)) as (i, width)").selectExpr("sheet", "i + 1 c", "width", "false break_after")
+    options = sheets.selectExpr("sheet", "150.0D printable_w", "120.0D printable_h", "1.0D scale", "false fit_to_page", "0 fit_width", "0 fit_height", "false over_then_down")
+    return pages.sheet_pages(rows, columns, options, ["sheet"]).select("sheet", "page", "r1", "r2", "c1", "c2")
+
+
+@query(
+    CELLS
+    + """, f AS (SELECT doc_id, r, c, last_value(CASE WHEN kind <> 'empty' THEN c END IGNORE NULLS) OVER (PARTITION BY doc_id, r ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS left_c FROM cells)
+SELECT doc_id, r, c, left_c FROM f"""
+)
+def left_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout.left_neighbour(line_cells(spark, sf_dir), ["doc_id"])
+    return found.select("doc_id", "r", "c", F.col("left.c").alias("left_c"))

@@ -8,6 +8,7 @@ import struct
 from quire.functions.formula import column_number
 from quire.functions.numfmt import BUILTIN
 from quire.operators.condfmt import odf_condition
+from quire.sources.biff_formula import COMPARISONS, decompile
 from quire.sources.containers import Compound, Package, biff_records
 from quire.sources.parsed import Parsed
 from quire.sources.xmltree import Node, number, on, parse, whole
@@ -340,6 +341,7 @@ def read_xls(content: bytes) -> Parsed:
 def _xls_sheet(records: list, out: Parsed, k: int, strings: list[str]) -> dict:
     own, merged, depth = [], [], 0
     waiting: dict | None = None
+    boxes: list[tuple[int, int, int, int]] = []
 
     def put(r: int, c: int, xf: int, kind: str, num=None, txt=None, flag=None) -> dict:
         own.append(out.add("cells", sheet_idx=k, r=r + 1, c=c + 1, kind=kind, num=num, txt=txt, flag=flag, xf=xf))
@@ -399,6 +401,20 @@ def _xls_sheet(records: list, out: Parsed, k: int, strings: list[str]) -> dict:
             for i in range(struct.unpack_from("<H", b)[0]):
                 r1, r2, c1, c2 = struct.unpack_from("<HHHH", b, 2 + 8 * i)
                 merged.append(out.add("merges", sheet_idx=k, ordinal=len(merged), r1=r1 + 1, c1=c1 + 1, r2=r2 + 1, c2=c2 + 1))
+        elif kind == 0x01B0:  # where the rules behind it apply
+            n = struct.unpack_from("<H", b, 12)[0]
+            refs = [struct.unpack_from("<HHHH", b, 14 + 8 * i) for i in range(n)]
+            boxes = [(r1 + 1, c1 + 1, r2 + 1, c2 + 1) for r1, r2, c1, c2 in refs]
+        elif kind == 0x01B1 and boxes:
+            sort, operator, n1, n2 = struct.unpack_from("<BBHH", b)
+            end = len(b) - n2
+            formulas = [f for f in (decompile(raw, boxes[0][:2]) for raw in (b[end - n1 : end], b[end:]) if raw) if f is not None]
+            for box in boxes if formulas and sort in (1, 2) else ():
+                ordinal = len(out.rows["cond_rules"])
+                out.add(
+                    "cond_rules", sheet_idx=k, ordinal=ordinal, r1=box[0], c1=box[1], r2=box[2], c2=box[3], origin_r=boxes[0][0], origin_c=boxes[0][1], priority=ordinal,
+                    kind="cellIs" if sort == 1 else "expression", operator=COMPARISONS[operator] if sort == 1 and operator < len(COMPARISONS) else "", formulas=formulas, dxf=ordinal,
+                )
         elif kind == 0x007D:
             c1, c2, width, _, options = struct.unpack_from("<HHHHH", b)
             out.add("col_specs", sheet_idx=k, ordinal=len(out.rows["col_specs"]), c_min=c1 + 1, c_max=c2 + 1, width=width / 256, hidden=bool(options & 1))

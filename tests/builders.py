@@ -152,6 +152,9 @@ def xls(version=0x0600, extra=b"", name="Workbook"):
         record(0x0006, struct.pack("<HHH", 2, 3, 0) + b"\0\0\0\0\0\0\xff\xff" + b"\0" * 8),
         record(0x0207, text("made")),
         record(0x00E5, struct.pack("<HHHHH", 1, 4, 5, 0, 1)),
+        record(0x01B0, struct.pack("<HHHHHHHHHHH", 2, 1, 0, 8, 0, 0, 1, 0, 8, 0, 0)),
+        record(0x01B1, struct.pack("<BBHH", 1, 5, 3, 0) + b"\0" * 6 + b"\x1e\x0a\0"),
+        record(0x01B1, struct.pack("<BBHH", 2, 0, 9, 0) + b"\0" * 6 + b"\x4c\0\0\0\xc0" + b"\x1e\x05\0" + b"\x0d"),
         record(0x000A),
     ])
     bound = lambda at: record(0x0085, struct.pack("<IBB", at, 0, 0) + struct.pack("<BB", 2, 0) + b"S1")

@@ -73,6 +73,7 @@ def test_binary(parsed):
         (3, 1, "text", None, "käsekäsekäse", None), (3, 2, "bool", None, None, True), (3, 3, "number", 1.0, None, None), (3, 4, "text", None, "made", None),
     ]
     assert rows(parsed, "g.xls", "merges", "r1", "c1", "r2", "c2") == [(5, 1, 6, 2)]
+    assert rows(parsed, "g.xls", "cond_rules", "r1", "c1", "r2", "c2", "kind", "operator", "formulas") == [(1, 1, 9, 1, "cellIs", "greaterThan", ["10"]), (1, 1, 9, 1, "expression", "", ["A1>5"])]
     assert [t for (t,) in rows(parsed, "h.doc", "blocks", "text")] == ["First", "cell one", "cell two", "", "7 end"]
 
 
