@@ -117,3 +117,49 @@ def visible_numbers(slides: DataFrame, keys: Sequence[str], order: str, shown: s
     """Slides that are shown, numbered among themselves."""
     w = Window.partitionBy(*keys).orderBy(order)
     return slides.where(shown).withColumn(name, F.row_number().over(w))
+
+
+def odf_label(counts: Column, level: int, forms: Sequence[str], prefix: str, suffix: str, display_levels: int) -> Column:
+    """An OpenDocument label: the last ``display_levels`` counters joined by dots; 0 shows as 1.
+
+    ``counts`` comes from ``level_counts``; a level above that has no item yet stands at its start.
+    """
+    first = level + 1 - min(display_levels, level + 1)
+    parts = [numeral(F.when(c == 0, 1).otherwise(c), forms[k]) for k, c in ((k, F.element_at(counts, k + 1)) for k in range(first, level + 1))]
+    return F.concat(F.lit(prefix), F.concat_ws(".", *parts), F.lit(suffix))
+
+
+def doc_label(counts: Column, template: str, forms: Sequence[str]) -> Column:
+    """A binary document's label: characters below 9 stand for the counters of their level."""
+    out = [numeral(F.greatest(F.element_at(counts, ord(c) + 1), F.lit(1)), forms[ord(c)]) if ord(c) < min(9, len(forms)) else F.lit(c) for c in template]
+    return F.concat(*out) if out else F.lit("")
+
+
+def list_keys(lists: DataFrame) -> DataFrame:
+    """``key`` of each list of a document: its own, or that of the list that it continues.
+
+    ``lists``: doc_id, ord, list_id, continue_list (an id), continue_numbering, style. Continuation
+    runs in document order, so a document's lists are read as one group.
+    """
+    import pandas as pd
+
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in lists.schema)}, key string"
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ord", kind="stable")
+        by_id: dict[str, str] = {}
+        by_style: dict[str, str] = {}
+        keys = []
+        for row in group.itertuples(index=False):
+            key = by_id.get(row.continue_list) if row.continue_list is not None else None
+            if key is None and row.continue_numbering:
+                key = by_style.get(row.style)
+            key = key or f"list-{len(keys) + 1}"
+            if row.list_id is not None:
+                by_id[row.list_id] = key
+            if row.style is not None:
+                by_style[row.style] = key
+            keys.append(key)
+        return group.assign(key=keys)
+
+    return lists.groupBy("doc_id").applyInPandas(run, schema)

@@ -14,6 +14,8 @@ TABLES: dict[str, str] = {
     "list_levels": "abstract_id string, level int, start long, format string, text string, legal boolean",
     "list_instances": "num_id string, abstract_id string, overrides map<int, long>",
     "sheets": "sheet_idx int, name string, state string, default_row_height double, default_col_width double, r1 int, c1 int, r2 int, c2 int",
+    "page_options": "sheet_idx int, paper int, landscape boolean, scale double, fit_to_page boolean, fit_width int, fit_height int, over_then_down boolean, top double, right double, bottom double, left double, header_margin double, footer_margin double, header string, footer string, print_area string",
+    "breaks": "sheet_idx int, axis string, after int",
     "sheet_rows": "sheet_idx int, r int, height double, hidden boolean",
     "col_specs": "sheet_idx int, ordinal int, c_min int, c_max int, width double, hidden boolean",
     "cells": "sheet_idx int, r int, c int, kind string, num double, txt string, flag boolean, xf int",

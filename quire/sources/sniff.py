@@ -107,3 +107,17 @@ def base64_bytes(text: Column) -> Column:
 def data_uri(text: Column) -> Column:
     """Bytes of a base64 data: address; null for others."""
     return F.when(text.rlike("(?s)^data:[^,]*;base64,"), base64_bytes(F.regexp_replace(text, "(?s)^data:[^,]*,", "")))
+
+
+def jpeg_dimensions(data: bytes) -> tuple[int, int] | None:
+    """(width, height) from a JPEG's first frame header."""
+    at = 2
+    while data[:2] == b"\xff\xd8" and at + 9 < len(data):
+        if data[at] != 0xFF:
+            at += 1
+            continue
+        mark = data[at + 1]
+        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        at += 2 if mark in (0xFF, 0x01) or 0xD0 <= mark <= 0xD8 else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None

@@ -85,6 +85,24 @@ def _used(out: Parsed, sheet_idx: int, cells: list[dict], merges: list[dict]) ->
     return {"r1": min(r for r, _ in filled), "c1": min(c for _, c in filled), "r2": max(r for r, _ in filled), "c2": max(c for _, c in filled)}
 
 
+def _print_setup(root: Node, out: Parsed, k: int) -> None:
+    """Margins are inches in the file, points here; a fit of 0 pages means any number."""
+    setup, margins, heads = root.child("pageSetup"), root.child("pageMargins"), root.child("headerFooter")
+    fit = root.child("sheetPr", "pageSetUpPr")
+    get = lambda node, name, default=None: default if node is None else node.get(name, default)
+    inches = lambda name, default: 72.0 * (number(get(margins, name)) if number(get(margins, name)) is not None else default)
+    said = lambda name: heads.child(name).text() if heads is not None and heads.child(name) is not None else None
+    out.add(
+        "page_options", sheet_idx=k, paper=whole(get(setup, "paperSize"), 1), landscape=get(setup, "orientation") == "landscape", scale=(number(get(setup, "scale")) or 100.0) / 100.0,
+        fit_to_page=bool(on(get(fit, "fitToPage"), False)), fit_width=whole(get(setup, "fitToWidth"), 1), fit_height=whole(get(setup, "fitToHeight"), 1), over_then_down=get(setup, "pageOrder") == "overThenDown",
+        top=inches("top", 0.75), right=inches("right", 0.7), bottom=inches("bottom", 0.75), left=inches("left", 0.7), header_margin=inches("header", 0.3), footer_margin=inches("footer", 0.3),
+        header=said("oddHeader"), footer=said("oddFooter"),
+    )
+    for axis, name in (("row", "rowBreaks"), ("col", "colBreaks")):
+        for b in root.child(name).children("brk") if root.child(name) else ():
+            out.add("breaks", sheet_idx=k, axis=axis, after=whole(b.get("id"), 0))
+
+
 def _sheet(root: Node, out: Parsed, k: int, strings: list[str]) -> dict:
     """Rows, cells, merges, columns and rules of one sheet; its used range."""
     own, merged = [], []
@@ -106,6 +124,7 @@ def _sheet(root: Node, out: Parsed, k: int, strings: list[str]) -> dict:
             merged.append(out.add("merges", sheet_idx=k, ordinal=n, r1=box[0], c1=box[1], r2=box[2], c2=box[3]))
     for n, col in enumerate(root.child("cols").children("col") if root.child("cols") else ()):
         out.add("col_specs", sheet_idx=k, ordinal=n, c_min=whole(col.get("min"), 1), c_max=whole(col.get("max"), 1), width=number(col.get("width")), hidden=on(col.get("hidden"), False))
+    _print_setup(root, out, k)
     ordinal = 0
     for block in root.children("conditionalFormatting"):
         boxes = [b for b in map(area, (block.get("sqref") or "").split()) if b]
@@ -128,6 +147,7 @@ def read_xlsx(content: bytes) -> Parsed:
     main = next(iter(pack.related("", "officeDocument")), "xl/workbook.xml")
     book = parse(pack.part(main) or b"")
     rels = pack.relationships(main)
+    areas = {whole(n.get("localSheetId"), -1): n.text() for n in (book.child("definedNames").children("definedName") if book.child("definedNames") else ()) if n.get("name") == "_xlnm.Print_Area"}
     part = lambda kind: next((pack.part(p) for k, p in rels.values() if k == kind), None)
     raw = part("sharedStrings")
     strings = [_runs(si) for si in parse(raw).children("si")] if raw else []
@@ -145,6 +165,7 @@ def read_xlsx(content: bytes) -> Parsed:
         if look is not None:
             row.update(default_row_height=number(look.get("defaultRowHeight")), default_col_width=number(look.get("defaultColWidth")))
         row.update(_sheet(root, out, k, strings))
+        out.rows["page_options"][-1]["print_area"] = areas.get(k)
         for path in pack.related(rel[1], "comments"):
             notes = parse(pack.part(path) or b"<x/>")
             authors = [a.text() for a in notes.child("authors").children("author")] if notes.child("authors") else []

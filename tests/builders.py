@@ -25,10 +25,11 @@ def xlsx():
       <row r="1" ht="30"><c r="A1" t="s"><v>0</v></c><c r="B1" s="1"><v>1234.5</v></c><c r="C1" t="b"><v>1</v></c><c r="D1" t="e"><v>#N/A</v></c></row>
       <row r="3" hidden="1"><c r="A3" t="inlineStr"><is><r><t>in</t></r><r><t>line</t></r></is></c><c t="str"><v>text</v></c><c r="C3" t="d"><v>2020-01-01</v></c><c r="D3" t="s"><v>9</v></c></row>
       </sheetData><mergeCells><mergeCell ref="A5:B6"/></mergeCells>
-      <conditionalFormatting sqref="B1:B9 D1:D9"><cfRule type="cellIs" dxfId="0" priority="2" operator="greaterThan"><formula>1000</formula></cfRule><cfRule type="dataBar" priority="1"/></conditionalFormatting></worksheet>"""
+      <conditionalFormatting sqref="B1:B9 D1:D9"><cfRule type="cellIs" dxfId="0" priority="2" operator="greaterThan"><formula>1000</formula></cfRule><cfRule type="dataBar" priority="1"/></conditionalFormatting>
+      <pageMargins left="1" top="0.5"/><pageSetup paperSize="9" orientation="landscape" scale="80" pageOrder="overThenDown"/><headerFooter><oddHeader>&amp;LTop</oddHeader></headerFooter><rowBreaks><brk id="4"/></rowBreaks></worksheet>"""
     return package({
         "_rels/.rels": rels(r1=("officeDocument", "xl/workbook.xml", "")),
-        "xl/workbook.xml": f'<workbook xmlns="s" xmlns:r="{REL}"><sheets><sheet name="One" sheetId="1" r:id="r1"/><sheet name="Two" sheetId="2" state="hidden" r:id="r2"/></sheets></workbook>',
+        "xl/workbook.xml": f'<workbook xmlns="s" xmlns:r="{REL}"><sheets><sheet name="One" sheetId="1" r:id="r1"/><sheet name="Two" sheetId="2" state="hidden" r:id="r2"/></sheets><definedNames><definedName name="_xlnm.Print_Area" localSheetId="0">One!$A$1:$D$9</definedName></definedNames></workbook>',
         "xl/_rels/workbook.xml.rels": rels(r1=("worksheet", "worksheets/sheet1.xml", ""), r2=("worksheet", "worksheets/sheet2.xml", ""), r3=("sharedStrings", "sharedStrings.xml", ""), r4=("styles", "styles.xml", ""), r5=("hyperlink", "http://x", ' TargetMode="External"')),
         "xl/worksheets/sheet1.xml": sheet,
         "xl/worksheets/sheet2.xml": "not xml at all",

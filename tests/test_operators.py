@@ -214,3 +214,38 @@ def test_pages_fit_and_break(spark):
 
 
 rows_as = rows
+
+
+def test_typesetting(spark):
+    from quire.functions import typeset as T
+    from quire.sources.sniff import jpeg_dimensions
+
+    get = lambda c: spark.range(1).select(c).first()[0]
+    assert [get(T.font_alias(F.lit(n))) for n in ("Calibri", " ARIAL ", "Georgia", "My Mono", "Sans Serif", "Old Roman", "What")] == ["Carlito", T.SANS, T.SERIF, T.MONO, T.SANS, T.SERIF, T.SANS]
+    assert get(T.font_alias(F.lit("What"), F.lit("serif"))) == T.SERIF
+    assert get(T.keep_space_tokens(F.lit("a  bc d"))) == ["a ", " ", "bc ", "d"]
+    assert get(T.hyphen_breaks(F.lit("A-1 1-2 b-c"))) == "A-​1 1-2 b-c"
+    assert [get(T.points_text(F.lit(v))) for v in (0.0001, 12.0, 1234.5678, -0.5)] == ["0pt", "12pt", "1234.568pt", "-0.5pt"]
+    assert get(T.quoted(F.lit('a"b\\c\n\x7f'))) == '"a\\"b\\\\c\\u{a}\\u{7f}"'
+    spacing = lambda k, v: F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value"))
+    assert tuple(get(T.line_edges(F.lit(10.0), spacing("multiple", 1.0)))) == (10.0, 2.0) and tuple(get(T.line_edges(F.lit(10.0), spacing("exact", 8.0)))) == (6.0, 2.0)
+    font = F.struct(F.lit(0.9).alias("ascender"), F.lit(0.2).alias("descender"), F.lit(0.0).alias("line_gap"))
+    assert [round(x, 6) for x in get(T.line_edges(F.lit(10.0), spacing("multiple", 2.0), font))] == [9.0, 13.0]
+    slots = F.struct(F.lit("d").alias("default"), F.lit(None).cast("string").alias("first"), F.lit("e").alias("even"))
+    assert [get(T.margin_slot(F.lit(p), F.lit(1), F.lit(True), F.lit(True), slots)) for p in (1, 2, 3)] == ["", "e", "d"]
+    table = spark.createDataFrame([(1, 0, 2), (1, 0, 1), (1, 1, 1)], "t int, r int, span int")
+    assert rows(T.grid_width(table, ["t"])) == [(1, 3)]
+    text = spark.createDataFrame([(1, 1, 2, "text", "x" * 10, 10.0, False, None), (1, 2, 1, "text", "x" * 10, 10.0, False, "left"), (1, 2, 3, "number", None, 10.0, False, None)], "s int, r int, c int, kind string, txt string, size double, wrap boolean, align string")
+    widths = spark.range(1, 201).selectExpr("1 s", "cast(id as int) c", "20.0D width")
+    assert rows(T.overflow_extent(text, widths, ["s"])) == [(1, 4)]
+    assert jpeg_dimensions(b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08\x00\x05\x00\x07rest") == (7, 5) and jpeg_dimensions(b"\x89PNG") is None
+
+
+def test_other_labels(spark):
+    counts = F.array(*[F.lit(x).cast("long") for x in (2, 0, 3)])
+    get = lambda c: spark.range(1).select(c).first()[0]
+    assert get(numbering.odf_label(counts, 2, ("decimal", "decimal", "lowerLetter"), "(", ")", 2)) == "(1.c)"
+    assert get(numbering.doc_label(counts, "\x00-\x02)", ("upperRoman", "decimal", "decimal"))) == "II-3)"
+    data = [(1, 1, "a", None, False, "S"), (1, 2, None, "a", False, "T"), (1, 3, None, None, True, "T"), (1, 4, None, None, False, "S"), (1, 5, None, None, True, "U")]
+    got = rows(numbering.list_keys(spark.createDataFrame(data, "doc_id int, ord int, list_id string, continue_list string, continue_numbering boolean, style string")).orderBy("ord"), "key")
+    assert [k for (k,) in got] == ["list-1", "list-1", "list-1", "list-4", "list-5"]

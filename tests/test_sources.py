@@ -37,6 +37,8 @@ def test_xlsx(parsed):
     ]
     assert rows(parsed, "a.xlsx", "xfs", "num_fmt", "align", "wrap") == [("General", None, False), ('0.0"x"', "right", True)]
     assert [r[:9] for r in rows(parsed, "a.xlsx", "cond_rules", "r1", "c1", "r2", "c2", "origin_r", "origin_c", "priority", "kind", "operator")] == [(1, 2, 9, 2, 1, 2, 2, "cellIs", "greaterThan"), (1, 4, 9, 4, 1, 2, 2, "cellIs", "greaterThan")]
+    assert rows(parsed, "a.xlsx", "page_options", "paper", "landscape", "scale", "over_then_down", "left", "top", "right", "header", "print_area") == [(9, True, 0.8, True, 72.0, 36.0, 0.7 * 72, "&LTop", "One!$A$1:$D$9")]
+    assert rows(parsed, "a.xlsx", "breaks", "axis", "after") == [("row", 4)]
     assert rows(parsed, "a.xlsx", "comments", "r", "c", "author", "text") == [(1, 2, "Ann", "note")]
     assert rows(parsed, "a.xlsx", "sheet_rows", "r", "height", "hidden") == [(1, 30.0, False), (3, None, True)]
 
