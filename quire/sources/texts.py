@@ -306,17 +306,21 @@ def _slide_paragraphs(body: Node, out: Parsed, slide: int, shape: int, at: int)
     return at
 
 
-def _slide_shapes(tree: Node, out: Parsed, pack: Package, rels: dict, slide: int, shape: int = 0) -> int:
+def _slide_shapes(tree: Node, out: Parsed, pack: Package, rels: dict, slide: int, shape: int = 0, own: bool = True) -> int:
+    """Shapes of a tree from number ``shape`` on; of a master or layout (not ``own``) only those
+    that are no placeholders."""
     for s in tree.kids:
+        if not own and s.child("nvSpPr", "nvPr", "ph") is not None:
+            continue
         if s.name == "AlternateContent":
             chosen = s.child("Choice") or s.child("Fallback")
-            shape = _slide_shapes(chosen, out, pack, rels, slide, shape) if chosen else shape
+            shape = _slide_shapes(chosen, out, pack, rels, slide, shape, own) if chosen else shape
             continue
         about = next((n for n in s.walk() if n.name == "cNvPr"), None)
         if about is not None and on(about.get("hidden"), False):
             continue
         if s.name == "grpSp":
-            shape = _slide_shapes(s, out, pack, rels, slide, shape)
+            shape = _slide_shapes(s, out, pack, rels, slide, shape, own)
         elif s.name in ("sp", "cxnSp", "pic") and s.child("txBody") is not None:
             _slide_paragraphs(s.child("txBody"), out, slide, shape, 0)
             shape += 1
@@ -358,9 +362,22 @@ def read_pptx(content: bytes) -> Parsed:
         if not on(slide.get("show"), True):
             continue
         out.add("sections", section_idx=shown, **page, columns=1, title_page=False)
-        tree = slide.child("cSld", "spTree")
-        if tree is not None:
-            _slide_shapes(tree, out, pack, pack.relationships(rel[1]), shown)
+        # Shapes of the master lie lowest, then the layout's, then the slide's.
+        layers, at, node = [(slide, rel[1])], rel[1], slide
+        for kind in ("slideLayout", "slideMaster"):
+            if not on(node.get("showMasterSp"), True):
+                break
+            at = next(iter(pack.related(at, kind)), "")
+            data = pack.part(at)
+            if data is None:
+                break
+            node = parse(data)
+            layers.append((node, at))
+        shape = 0
+        for node, at in reversed(layers):
+            tree = node.child("cSld", "spTree")
+            if tree is not None:
+                shape = _slide_shapes(tree, out, pack, pack.relationships(at), shown, shape, node is slide)
         shown += 1
     if not shown:
         raise ValueError("no slide is shown")

@@ -67,12 +67,16 @@ def pptx(shown=True):
       <p:sp><p:nvSpPr><p:cNvPr id="1" name="t"/></p:nvSpPr><p:txBody><a:p><a:r><a:rPr b="1" sz="1800"/><a:t>{text}</a:t></a:r></a:p></p:txBody></p:sp>
       <p:sp><p:nvSpPr><p:cNvPr id="2" name="h" hidden="1"/></p:nvSpPr><p:txBody><a:p><a:r><a:t>no</a:t></a:r></a:p></p:txBody></p:sp>
       <p:graphicFrame><a:tbl><a:tr><a:tc gridSpan="2"><a:txBody><a:p><a:r><a:t>x</a:t></a:r></a:p></a:txBody></a:tc><a:tc hMerge="1"/></a:tr></a:tbl></p:graphicFrame></p:spTree></p:cSld></p:sld>"""
+    layer = lambda t: f"""<p:x xmlns:p="p" xmlns:a="a"><p:cSld><p:spTree><p:sp><p:nvSpPr><p:cNvPr id="1"/><p:nvPr><p:ph type="title"/></p:nvPr></p:nvSpPr><p:txBody><a:p><a:r><a:t>click</a:t></a:r></a:p></p:txBody></p:sp>
+      <p:sp><p:nvSpPr><p:cNvPr id="2"/><p:nvPr/></p:nvSpPr><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp></p:spTree></p:cSld></p:x>"""
     return package({
         "_rels/.rels": rels(r1=("officeDocument", "ppt/presentation.xml", "")),
         "ppt/presentation.xml": f'<p:presentation xmlns:p="p" xmlns:r="{REL}"><p:sldIdLst><p:sldId id="1" r:id="a"/><p:sldId id="2" r:id="b"/></p:sldIdLst><p:sldSz cx="9144000" cy="5143500"/></p:presentation>',
         "ppt/_rels/presentation.xml.rels": rels(a=("slide", "slides/slide2.xml", ""), b=("slide", "slides/slide1.xml", "")),
         "ppt/slides/slide2.xml": slide("First", "" if shown else 'show="0"'),
         "ppt/slides/slide1.xml": slide("Hidden", 'show="0"'),
+        "ppt/slides/_rels/slide2.xml.rels": rels(l=("slideLayout", "../slideLayouts/l.xml", "")),
+        "ppt/slideLayouts/l.xml": layer("layout"), "ppt/slideLayouts/_rels/l.xml.rels": rels(m=("slideMaster", "../slideMasters/m.xml", "")), "ppt/slideMasters/m.xml": layer("master"),
     })
 
 

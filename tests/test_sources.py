@@ -56,8 +56,8 @@ def test_docx(parsed):
 
 def test_slides(parsed):
     assert rows(parsed, "c.pptx", "sections", "width", "height") == [(720.0, 405.0)]
-    assert rows(parsed, "c.pptx", "blocks", "kind", "text") == [("paragraph", "First"), ("table", None)]
-    assert rows(parsed, "c.pptx", "inlines", "bold", "size") == [(True, 18.0)]
+    assert rows(parsed, "c.pptx", "blocks", "kind", "text") == [("paragraph", "master"), ("paragraph", "layout"), ("paragraph", "First"), ("table", None)]
+    assert rows(parsed, "c.pptx", "inlines", "bold", "size")[-1] == (True, 18.0)
     assert rows(parsed, "f.fodp", "blocks", "section_idx", "text") == [(0, "eins"), (1, "zwei")]
 
 
