@@ -8,12 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.sources import sniff, spreadsheets, texts
+from quire.sources import sniff, spreadsheets, texts, worddoc
 from quire.sources.parsed import SCHEMA, TABLES, Parsed
 
 READERS: dict[str, Callable[[bytes], Parsed]] = {
     "xlsx": spreadsheets.read_xlsx, "xls": spreadsheets.read_xls, "ods": spreadsheets.read_ods, "fods": spreadsheets.read_ods,
-    "docx": texts.read_docx, "doc": texts.read_doc, "odt": texts.read_odt, "fodt": texts.read_odt,
+    "docx": texts.read_docx, "doc": worddoc.read_doc, "odt": texts.read_odt, "fodt": texts.read_odt,
     "pptx": texts.read_pptx, "odp": texts.read_odp, "fodp": texts.read_odp, "md": texts.read_markdown,
 }
 #: Files are parsed whole, so larger ones become error rows instead of taking a worker down.

@@ -1,11 +1,10 @@
-"""Text readers: OOXML and OpenDocument texts and slides, Word 97 documents, Markdown."""
+"""Text readers: OOXML and OpenDocument texts and slides, Markdown."""
 
 from __future__ import annotations
 
 import re
-import struct
 
-from quire.sources.containers import Compound, Package
+from quire.sources.containers import Package
 from quire.sources.parsed import Parsed
 from quire.sources.spreadsheets import odf_sheet
 from quire.sources.xmltree import Node, number, on, parse, whole
@@ -511,55 +510,6 @@ def read_odp(content: bytes) -> Parsed:
     return out
 
 
-# Word 97 -----------------------------------------------------------------------------------------
-
-def _pieces(fib: bytes, table: bytes) -> list[tuple[int, int, int, bool]]:
-    """(first character, last, file offset, one byte a character) of the piece table."""
-    at, size = struct.unpack_from("<II", fib, 0x01A2)
-    clx, pos = table[at : at + size], 0
-    while pos < len(clx) and clx[pos] == 1:
-        pos += 3 + struct.unpack_from("<H", clx, pos + 1)[0]
-    if pos >= len(clx) or clx[pos] != 2:
-        raise ValueError("no piece table")
-    n = (struct.unpack_from("<I", clx, pos + 1)[0] - 4) // 12
-    body = clx[pos + 5 :]
-    places = struct.unpack_from(f"<{n + 1}I", body)
-    out = []
-    for k in range(n):
-        fc = struct.unpack_from("<I", body, 4 * (n + 1) + 8 * k + 2)[0]
-        narrow = bool(fc & 0x40000000)
-        out.append((places[k], places[k + 1], (fc & 0x3FFFFFFF) // 2 if narrow else fc, narrow))
-    return out
-
-
-def read_doc(content: bytes) -> Parsed:
-    """Main text of a Word 97 document: paragraphs and table cells. Protected files are refused."""
-    files, out = Compound(content), Parsed(default_tab=36.0)
-    main = files.stream("WordDocument")
-    if main is None or len(main) < 0x01AA or struct.unpack_from("<H", main)[0] != 0xA5EC:
-        raise ValueError("no Word document")
-    version, flags = struct.unpack_from("<H", main, 2)[0], struct.unpack_from("<H", main, 0x0A)[0]
-    if version < 0x00C1:
-        raise ValueError("an older Word document")
-    if flags & 0x0100:
-        raise ValueError("the document is protected by a password")
-    table = files.stream("1Table" if flags & 0x0200 else "0Table")
-    if table is None:
-        raise ValueError("no table stream")
-    length = struct.unpack_from("<I", main, 0x4C)[0]
-    text = ""
-    for first, last, at, narrow in _pieces(main, table):
-        n = last - first
-        raw = main[at : at + (n if narrow else 2 * n)]
-        text += raw.decode("cp1252" if narrow else "utf-16-le", "replace")
-    text = text[:length]
-    out.add("sections", section_idx=0, **LETTER, columns=1, title_page=False)
-    for k, part in enumerate(re.split("[\r\x07]", text)[: -1 if text.endswith(("\r", "\x07")) else None]):
-        shown = re.sub("\x13[^\x13\x14\x15]*\x14?", "", part).replace("\x15", "").replace("\x0b", "\n")
-        out.add("blocks", story="body", path=[k], section_idx=0, kind="paragraph", text=re.sub("[\x00-\x08\x0e-\x1f]", "", shown))
-    return out
-
-
 # Markdown ----------------------------------------------------------------------------------------
 
 _LIST = re.compile(r"( {0,3})([-+*]|([0-9]{1,9})[.)])( +|$)(.*)")

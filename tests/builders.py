@@ -169,18 +169,46 @@ def xls(version=0x0600, extra=b"", name="Workbook"):
 
 
 def doc(flags=0):
-    text = "First\rcell one\x07cell two\x07\x07\x13 PAGE \x147\x15 end\r"
-    narrow, wide = text[:20], text[20:]
+    """Narrow and wide pieces; the words 'bold' in bold 12, the second paragraph centred, a table."""
+    text = "First bold\rSecond\rcell one\x07cell two\x07\x07\x13 PAGE \x147\x15 end\r"
+    cut = 14
+    narrow, wide = text[:cut], text[cut:]
     main = bytearray(0x0400)
     struct.pack_into("<HH", main, 0, 0xA5EC, 0x00C1)
     struct.pack_into("<H", main, 0x0A, 0x0200 | flags)
     struct.pack_into("<I", main, 0x4C, len(text))
-    at_narrow, at_wide = 0x0400, 0x0400 + len(narrow)
+    at_narrow, at_wide = 0x0400, 0x0400 + cut
+    place = lambda cp: at_narrow + cp if cp < cut else at_wide + 2 * (cp - cut)
     main += narrow.encode("cp1252") + wide.encode("utf-16-le")
-    plc = struct.pack("<III", 0, len(narrow), len(text)) + struct.pack("<HIH", 0, (at_narrow * 2) | 0x40000000, 0) + struct.pack("<HIH", 0, at_wide, 0)
+    main += b"\0" * (-len(main) % 512)
+
+    def page(edges, items, width):
+        raw, at, rows = bytearray(512), 510, b""
+        for item in items:
+            at = (at - len(item)) & ~1 if item else at
+            if item:
+                raw[at : at + len(item)] = item
+            rows += bytes([at // 2 if item else 0]).ljust(width, b"\0")
+        head = struct.pack(f"<{len(edges)}I", *edges) + rows
+        raw[: len(head)] = head
+        raw[511] = len(items)
+        return bytes(raw)
+
+    chpx = struct.pack("<HBHH", 0x0835, 1, 0x4A43, 24)
+    chars = page([place(0), place(6), place(10), place(len(text))], [b"", bytes([len(chpx)]) + chpx, b""], 1)
+    papx = lambda style, codes: (lambda b: bytes([(len(b) + 2) // 2]) + b + b"\0" * (1 - len(b) % 2))(struct.pack("<H", style) + codes)
+    cell, last = struct.pack("<HB", 0x2416, 1), struct.pack("<HBHB", 0x2416, 1, 0x2417, 1)
+    marks = [0, 11, 18, text.index("\x07\x07") + 1, text.index("\x07\x07") + 2, len(text)]
+    paras = page([place(c) for c in marks], [papx(1, b""), papx(2, struct.pack("<HBHH", 0x2403, 1, 0xA413, 120)), papx(0, cell), papx(0, last), papx(0, b"")], 13)
+    first = len(main) // 512
+    main += chars + paras
+    plc = struct.pack("<III", 0, cut, len(text)) + struct.pack("<HIH", 0, (at_narrow * 2) | 0x40000000, 0) + struct.pack("<HIH", 0, at_wide, 0)
     clx = b"\x01" + struct.pack("<H", 2) + b"\0\0" + b"\x02" + struct.pack("<I", len(plc)) + plc
+    bins = [struct.pack("<III", 0, 1 << 20, first + k) for k in (0, 1)]
     struct.pack_into("<II", main, 0x01A2, 0, len(clx))
-    return compound({"WordDocument": bytes(main), "1Table": clx})
+    struct.pack_into("<II", main, 0x00FA, len(clx), 12)
+    struct.pack_into("<II", main, 0x0102, len(clx) + 12, 12)
+    return compound({"WordDocument": bytes(main), "1Table": clx + b"".join(bins)})
 
 
 MARKDOWN = """# Title with *marks*

@@ -76,7 +76,12 @@ def test_binary(parsed):
     ]
     assert rows(parsed, "g.xls", "merges", "r1", "c1", "r2", "c2") == [(5, 1, 6, 2)]
     assert rows(parsed, "g.xls", "cond_rules", "r1", "c1", "r2", "c2", "kind", "operator", "formulas") == [(1, 1, 9, 1, "cellIs", "greaterThan", ["10"]), (1, 1, 9, 1, "expression", "", ["A1>5"])]
-    assert [t for (t,) in rows(parsed, "h.doc", "blocks", "text")] == ["First", "cell one", "cell two", "", "7 end"]
+    assert rows(parsed, "h.doc", "blocks", "kind", "style_id", "align", "before", "text") == [
+        ("paragraph", "1", None, None, "First bold"), ("paragraph", "2", "center", 6.0, "Second"), ("table", None, None, None, None),
+        ("paragraph", "0", None, None, "cell one"), ("paragraph", "0", None, None, "cell two"), ("paragraph", "0", None, None, "7 end"),
+    ]
+    assert rows(parsed, "h.doc", "inlines", "text", "bold", "size")[:2] == [("First ", None, None), ("bold", True, 12.0)]
+    assert rows(parsed, "h.doc", "table_cells", "r", "c", "text") == [(0, 0, "cell one"), (0, 1, "cell two")]
 
 
 def test_markdown(parsed):
