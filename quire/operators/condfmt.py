@@ -1,8 +1,8 @@
 """Conditional formats: the first rule by priority that hits a cell gives its format.
 
 With the rules known to the driver (a sheet's own few), the choice is one projection: every rule
-becomes a column expression, and the least (priority, ordinal) that hits wins. No join is needed but
-for references to other cells, one equi-join for each distinct offset. With rules in a table,
+becomes a column expression, and the least (priority, ordinal) that hits wins. References to fixed
+columns of a cell's row share one window; any other offset is one equi-join. With rules in a table,
 ``match_rectangles`` joins by column instead of comparing every cell with every rectangle.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.formula import Node, Ref, Val, _compile, _first, FormulaError, cell_value, parse
@@ -122,7 +122,14 @@ def apply_rules(cells: DataFrame, rules: Sequence[Rule], *, name: str = "dxf", k
             for ref in _refs(tree) if tree else ():
                 places.setdefault(_place(rule, ref), len(places))
     out = cells
+    # References to a column of the cell's own row are one window for all; others are equi-joins.
+    whole_row = Window.partitionBy(*keys, "r")
+    here = F.struct("kind", "num", "txt", "flag")
     for (how_r, row, how_c, col), k in places.items():
+        if (how_r, row, how_c) == ("by", 0, "at"):
+            out = out.withColumn(f"ref{k}", F.max(F.when(F.col("c") == col, here)).over(whole_row))
+            out = out.select("*", *[F.col(f"ref{k}.{x}").alias(f"ref{k}_{x}") for x in ("kind", "num", "txt", "flag")]).drop(f"ref{k}")
+            continue
         to_r = F.lit(row) if how_r == "at" else F.col("r") + row
         to_c = F.lit(col) if how_c == "at" else F.col("c") + col
         other = cells.select(
