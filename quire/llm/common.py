@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +44,30 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch: a worker holds a few batches, whatever the length of the texts.
+BATCH_BYTES = 4 << 20
+
+
+def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` over batches of bounded size."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = conf.get(key, None)
+    if size is None or not size.isdigit() or int(size) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+_STATE: dict = {}
+
+
+def worker_state(key: tuple, make: Callable):
+    """What a worker keeps between its tasks: one operator's caches at a time, to bound its memory."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long, 0 for null. Two linear passes, no array of words."""
     marks = F.translate(F.regexp_replace(text, WORD, "x"), ASCII_SPACE, "")

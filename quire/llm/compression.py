@@ -19,6 +19,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from quire.llm.common import mapped
+
 SYMBOLS = "#*$%&|<>"
 
 
@@ -134,4 +136,4 @@ def compression_bands(documents: DataFrame, bands: Bands | None = None, *, doc_i
                 names=[x.split()[0] for x in SCHEMA.split(", ")],
             )
 
-    return documents.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(judge, SCHEMA)
+    return mapped(documents.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text"), judge, SCHEMA)

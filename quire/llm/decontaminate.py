@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import own_name
+from quire.llm.common import mapped, own_name
 from quire.llm.fm_index import FMIndex
 
 #: Bytes that are not part of a word: all below 0x80 but digits and lower-case letters.
@@ -56,15 +56,14 @@ class Phrases:
         self.alphabet = len(self.symbols) + 1
 
 
-def _shard_hits(texts: list[list[bytes]], phrases: Phrases) -> tuple[list[np.ndarray], list[set[int]]]:
-    """For each document of a shard: which words are hit, and the item numbers."""
+def _shard_hits(texts: list[np.ndarray], phrases: Phrases) -> tuple[list[np.ndarray], list[set[int]]]:
+    """For each document of a shard (its words as symbols): which are hit, and the item numbers."""
     sizes = np.array([len(t) for t in texts], np.int64)
     first = np.r_[0, np.cumsum(sizes)]
     total = int(first[-1])
     items: list[set[int]] = [set() for _ in texts]
     hit = np.zeros(total, bool)
-    look = phrases.symbols.get
-    ids = np.fromiter((look(w, 0) for t in texts for w in t), np.int64, total)
+    ids = np.concatenate(texts).astype(np.int64)
     at = np.flatnonzero(ids)
     if len(at):
         doc = np.repeat(np.arange(len(texts)), sizes)
@@ -100,8 +99,9 @@ def _scan(documents: DataFrame, at: int, phrases: Phrases, shard_words: int, nam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         held: list[pa.RecordBatch] = []
-        texts: list[list[bytes]] = []
+        texts: list[np.ndarray] = []
         size = 0
+        look = p.symbols.get
 
         def flush() -> Iterator[pa.RecordBatch]:
             hits, items = _shard_hits(texts, p)
@@ -126,15 +126,16 @@ def _scan(documents: DataFrame, at: int, phrases: Phrases, shard_words: int, nam
                 piece = batch.slice(cut, 256)
                 held.append(piece)
                 for v in piece.column(at):
-                    texts.append(word_list(v.as_py()))
-                    size += len(texts[-1])
+                    words = word_list(v.as_py())
+                    texts.append(np.fromiter((look(w, 0) for w in words), np.int32, len(words)))
+                    size += len(words)
                 if size >= shard_words:
                     yield from flush()
                     held, texts, size = [], [], 0
         if held:
             yield from flush()
 
-    return documents.mapInArrow(run, schema)
+    return mapped(documents, run, schema)
 
 
 def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[DataFrame]:
@@ -155,7 +156,7 @@ def with_hits(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
-    shard_words: int = 1_000_000,
+    shard_words: int = 400_000,
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """``documents`` with words, words hit, item_ids found and a bit for each word hit."""

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import mapped
 from quire.llm.ftrl import FTRL
 
 BITS = 16
@@ -156,7 +157,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["number", "n"])
 
     out = np.zeros(SIZE + 1, np.int64)
-    for number, n in rows.select("text").mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n")).collect():
+    for number, n in mapped(rows.select("text"), run, "number long, n long").groupBy("number").agg(F.sum("n")).collect():
         out[number] = n
     return out[:SIZE], int(out[SIZE])
 
@@ -182,7 +183,7 @@ def fit_language(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
                 names=["numbers", "counts", "lang"],
             )
 
-    found = chosen.select("text", "lang").mapInArrow(run, "numbers binary, counts binary, lang string").collect()
+    found = mapped(chosen.select("text", "lang"), run, "numbers binary, counts binary, lang string").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["numbers"]), bytes(r["counts"])))  # rows come in any order
     examples = [(np.frombuffer(r["numbers"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.int32), r["lang"]) for r in found]
     return train(examples, idf, **options)
@@ -207,4 +208,4 @@ def languages(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return slim.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return mapped(slim, run, "doc_id long, held_out boolean, lang_pred string, score double")

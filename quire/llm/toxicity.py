@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import own_name
+from quire.llm.common import mapped, own_name, worker_state
 from quire.llm.ftrl import FTRL
 from quire.llm.pretokens import Cache
 
@@ -141,7 +141,7 @@ def _examples(documents: DataFrame, chosen: DataFrame, doc_id: str, text: str) -
 
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
-    found = rows.mapInArrow(run, "own binary, other binary, toxic int").collect()
+    found = mapped(rows, run, "own binary, other binary, toxic int").collect()
     found.sort(key=lambda r: (r["toxic"], r["own"]))  # the order of rows is not fixed, the model is
     load = lambda raw: None if raw is None else np.frombuffer(raw, np.int32)
     return [(load(r["own"]), load(r["other"]), r["toxic"]) for r in found]
@@ -180,8 +180,8 @@ def with_scores(documents: DataFrame, model: Model, name: str, *, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, values, constant = shared.value
         weight = dict(zip(numbers.tolist(), values.tolist(), strict=True))
-        empty = ()
-        cache = Cache(lambda w: tuple(k for k in word_features(w) if k in weight) or empty, {}, 100_000)
+        known = lambda: Cache(lambda w: tuple(k for k in word_features(w) if k in weight), {}, 100_000)
+        cache = worker_state(("toxicity", numbers.tobytes()), known)
         score = Model(np.zeros(0), constant).score
         for batch in batches:
             got = []
@@ -190,7 +190,7 @@ def with_scores(documents: DataFrame, model: Model, name: str, *, text: str = "t
                 got.append(score(sum(weight[k] for k in sorted(found))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*batch.schema.names, name])
 
-    return documents.mapInArrow(run, schema)
+    return mapped(documents, run, schema)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import files
-from quire.llm.common import fresh_dir, staged
+from quire.llm.common import fresh_dir, mapped, staged
 from quire.llm.zipread import ZipWriter, data_start, directory
 
 LEAST_REVISIT = 1000
@@ -170,7 +170,7 @@ def write_archives(
         if out is not None:
             yield close()
 
-    return staged(rows.mapInArrow(run, "uri string, records long"), "manifest")
+    return staged(mapped(rows, run, "uri string, records long"), "manifest")
 
 
 def _gunzip(raw: bytes) -> bytes:
@@ -277,9 +277,9 @@ def read_archives(spark: SparkSession, archives: DataFrame, *, split_bytes: int
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    runs = archives.select("uri").mapInArrow(splits, split)
+    runs = mapped(archives.select("uri"), splits, split)
     runs = runs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return runs.mapInArrow(records, RECORD)
+    return mapped(runs, records, RECORD)
 
 
 def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
