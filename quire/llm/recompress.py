@@ -32,23 +32,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+_POWERS = [np.ones(1, U), np.ones(1, U)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of BASE and of its inverse; kept, and grown by doubling."""
+    if len(_POWERS[0]) < n:
+        for k, b in enumerate((BASE, INVERSE)):
+            _POWERS[k] = np.concatenate([np.ones(1, U), np.cumprod(np.full(max(n, 2 * len(_POWERS[k])) - 1, b, U))])
+    return _POWERS
+
+
 class Hashes:
     """Hashes of all stretches of one sequence, by sums of symbols times powers."""
 
-    _powers = (np.ones(1, U), np.ones(1, U))
-
     def __init__(self, symbols: np.ndarray) -> None:
-        n = len(symbols) + 1
-        if len(Hashes._powers[0]) < n:
-            Hashes._powers = tuple(np.r_[U(1), np.cumprod(np.full(2 * n, b, U))] for b in (BASE, INVERSE))
-        up, self.down = Hashes._powers
-        self.sums = np.zeros(n, U)
-        np.cumsum(symbols * up[: n - 1], out=self.sums[1:])
+        n = len(symbols)
+        up, self.down = powers(n + 1)
+        self.sums = np.zeros(n + 1, U)
+        np.cumsum(symbols * up[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
+#: ASCII white space, and a random value for each byte.
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BYTES = mix(np.arange(1, 257, dtype=U))
+PART = 1 << 19
+
+
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of UTF-8 text, in parts that end between words."""
+    found, places, at = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+    data = np.frombuffer(raw, np.uint8)
+    while at < len(data):
+        end = at + PART
+        while end < len(data) and not (cut := np.flatnonzero(SPACE[data[at:end]])).size:
+            end += PART
+        part = data[at:end] if end >= len(data) else data[at : at + int(cut[-1]) + 1]
+        inside = np.zeros(len(part) + 2, np.int8)
+        inside[1:-1] = ~SPACE[part]
+        edge = np.flatnonzero(np.diff(inside))
+        first, last = edge[::2], edge[1::2]
+        found.append(mix(Hashes(BYTES[part]).of(first, last) + (last - first).astype(U)))
+        places.append(first + at)
+        at += len(part)
+    return np.concatenate(found), np.concatenate(places)
+
+
+def batch_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all texts, ends of the texts among them)."""
+    hashes, places = word_hashes(b" ".join(texts))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return hashes, np.searchsorted(places, ends)
+
+
 @dataclass
 class Records:
     """Runs of consecutive windows with one anchor. Positions count from the start of the batch."""

@@ -30,30 +30,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import staged
-from quire.llm.recompress import Hashes, Records, mix, records
+from quire.llm.common import mapped, staged
+from quire.llm.recompress import Hashes, Records, batch_hashes, mix, records
 
 WINDOW = 50
 #: A place: first window << 32 | tag of the text << 8 | windows. The tag tells rows of one doc_id apart.
 TAG_BITS = 24
-BATCH_WORDS = 500_000
+BATCH_BYTES = 3 << 19
 
 
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    if not words:
-        return np.zeros(0, np.uint64)
-    coded = pa.array(words, pa.binary()).dictionary_encode()
-    digest = xxhash.xxh64_intdigest
-    own = np.fromiter((digest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-    return own[coded.indices.to_numpy()]
+def _pieces(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts as bytes) of stretches of a batch of about BATCH_BYTES."""
+    first, held, size = 0, [], 0
+    for k, v in enumerate(batch.column(text)):
+        held.append((v.as_py() or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= BATCH_BYTES:
+            yield first, held
+            first, held, size = k + 1, [], 0
+    if held:
+        yield first, held
 
 
 def _tag(text: str) -> str:
@@ -64,34 +67,18 @@ def window_records(documents: DataFrame, window: int) -> DataFrame:
     """doc_id, tag, text -> name, extent, doc_id, place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
-        ends: list[int] = []
-        owner: list[tuple[int, int]] = []
-
-        def flush() -> pa.RecordBatch:
-            got: Records = records(_hashes(words), np.array(ends, np.int64), window)
-            which = np.searchsorted(np.array(ends), got.first, side="right")
-            begin = np.r_[0, ends][which]
-            ids, tags = np.array(owner, np.int64).reshape(-1, 2)[which].T
-            place = (got.first - begin) << 32 | tags << 8 | got.count
-            columns = [got.name.view(np.int64), got.extent.view(np.int64), np.ascontiguousarray(ids), place]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "extent", "doc_id", "place"])
-
         for batch in batches:
-            for doc, tag, text in zip(*batch.columns, strict=True):
-                own = _words(text.as_py())
-                if len(own) < window:
-                    continue
-                words += own
-                ends.append(len(words))
-                owner.append((doc.as_py(), tag.as_py()))
-                if len(words) >= BATCH_WORDS:
-                    yield flush()
-                    words, ends, owner = [], [], []
-        if words:
-            yield flush()
-
-    return documents.where("doc_id is not null and text is not null").mapInArrow(run, "name long, extent long, doc_id long, place long")
+            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for row, texts in _pieces(batch, 2):
+                hashes, ends = batch_hashes(texts)
+                got: Records = records(hashes, ends, window)
+                which = np.searchsorted(ends, got.first, side="right")
+                begin = np.r_[0, ends][which]
+                place = (got.first - begin) << 32 | tags[row + which] << 8 | got.count
+                columns = [got.name.view(np.int64), got.extent.view(np.int64), ids[row + which], place]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "extent", "doc_id", "place"])
+
+    return mapped(documents.where("doc_id is not null and text is not null"), run, "name long, extent long, doc_id long, place long")
 
 
 def _cover(n: int, places: list[int], window: int) -> np.ndarray:
@@ -130,9 +117,9 @@ def _judge(rows: DataFrame, window: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return rows.select("doc_id", "tag", "text", "found", "open").mapInArrow(
-        run, "doc_id long, tag long, n_words long, n_removed long, kept_sha256 string, text string, found array<long>, open array<struct<name: long, place: long>>"
-    )
+    return mapped(rows.select("doc_id", "tag", "text", "found", "open"), 
+        run, "doc_id long, tag long, n_words long, n_removed long, kept_sha256 string, text string, found array<long>, open array<struct<name: long, place: long>>",
+    )
 
 
 def _open_windows(rows: DataFrame, window: int) -> DataFrame:
@@ -140,20 +127,23 @@ def _open_windows(rows: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, tag, text, still in zip(*batch.columns, strict=True):
-                hashes = Hashes(_hashes(_words(text.as_py())))
-                todo = still.as_py()
-                places = np.array([x["place"] for x in todo], np.int64)
+            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for row, texts in _pieces(batch, 2):
+                words, ends = batch_hashes(texts)
+                begin = np.r_[0, ends][:-1]
+                hashes = Hashes(words)
+                still = batch.column(3).slice(row, len(texts))
+                doc = np.repeat(np.arange(len(texts)), still.value_lengths().to_numpy(zero_copy_only=False))
+                names, places = (still.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("name", "place"))
                 count = places & 255
-                name = np.repeat(np.array([x["name"] for x in todo], np.int64), count)
                 within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                first = np.repeat(places >> 32, count) + within
-                digest = mix(hashes.of(first, first + window)).view(np.int64)
-                place = first << 32 | tag.as_py() << 8 | 1
-                ids = np.full(len(first), doc.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name, digest, ids, place)], names=["name", "hash", "doc_id", "place"])
+                doc, first = np.repeat(doc, count), np.repeat(places >> 32, count) + within
+                at = begin[doc] + first
+                digest = mix(hashes.of(at, at + window)).view(np.int64)
+                columns = [np.repeat(names, count), digest, ids[row + doc], first << 32 | tags[row + doc] << 8 | 1]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "hash", "doc_id", "place"])
 
-    return rows.select("doc_id", "tag", "text", "open").mapInArrow(run, "name long, hash long, doc_id long, place long")
+    return mapped(rows.select("doc_id", "tag", "text", "open"), run, "name long, hash long, doc_id long, place long")
 
 
 TAG_OF_PLACE = f"(shiftright(place, 8) & {(1 << TAG_BITS) - 1}L)"
@@ -172,7 +162,8 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     near = staged(found.join(shared, "name"), "records")
     whole = near.where("not mixed and doc_id > d0").selectExpr("doc_id", "place", "cast(null as long) name")
     mixed = near.where("mixed")
-    firsts = mixed.groupBy("name", "extent").agg(F.min("doc_id").alias("first"))
+    # Staged, so that the join below has its own exchange on either side, which AQE can split.
+    firsts = staged(mixed.groupBy("name", "extent").agg(F.min("doc_id").alias("first")), "firsts")
     mixed = mixed.join(firsts, ["name", "extent"])
     again = mixed.selectExpr("doc_id", "place", "case when doc_id = first then name end name")
     ranges = whole.unionByName(again).groupBy("doc_id", F.expr(TAG_OF_PLACE).alias("tag")).agg(
@@ -184,7 +175,8 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     left = judged.where("kept_sha256 is null").select("doc_id", "tag", "text", "found", "open")
     windows = staged(_open_windows(left, window), "windows")
     least = windows.groupBy("name", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    late = windows.join(least.where("first < last").drop("last"), ["name", "hash"]).where("doc_id > first")
+    least = staged(least.where("first < last").drop("last"), "least")
+    late = windows.join(least, ["name", "hash"]).where("doc_id > first")
     late = late.groupBy("doc_id", F.expr(TAG_OF_PLACE).alias("tag")).agg(F.collect_list("place").alias("more"))
     rest = left.join(late, ["doc_id", "tag"], "left").selectExpr(
         "doc_id", "tag", "text", "concat(found, coalesce(more, array())) found",
