@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.sources import sniff, spreadsheets, texts, worddoc
+from quire.sources.odf_charts import read_package_charts
 from quire.sources.parsed import SCHEMA, TABLES, Parsed
 
 READERS: dict[str, Callable[[bytes], Parsed]] = {
@@ -27,7 +28,10 @@ def parse_one(kind: str | None, content: bytes | None, most: int = MOST_BYTES) -
     if len(content) > most:
         return 1, f"over {most} bytes", Parsed()
     try:
-        return 0, None, READERS[kind](content)
+        parsed = READERS[kind](content)
+        if kind in ("ods", "odt", "odp"):
+            read_package_charts(content, parsed)
+        return 0, None, parsed
     except RecursionError:
         return 1, "nested too deep", Parsed()
     except Exception as wrong:  # a bad file is a row, never a failed job

@@ -103,6 +103,17 @@ def fodp():
     return f'<office:document {OFFICE} office:mimetype="application/vnd.oasis.opendocument.presentation"><office:body><office:presentation>{page("eins")}{page("zwei")}</office:presentation></office:body></office:document>'.encode()
 
 
+def chart_ods():
+    chart = f"""<office:document-content {OFFICE} xmlns:chart="h" xmlns:svg="v"><office:automatic-styles><style:style style:name="ch1"><style:chart-properties chart:vertical="true"/></style:style></office:automatic-styles>
+      <office:body><office:chart><chart:chart chart:class="chart:bar"><chart:title><text:p>Sales</text:p></chart:title><chart:plot-area chart:style-name="ch1">
+      <chart:axis chart:dimension="x"><chart:categories table:cell-range-address="local-table.$A$2:.$A$3"/></chart:axis>
+      <chart:series chart:values-cell-range-address="local-table.$B$2:.$B$4" chart:label-cell-address="local-table.$B$1"/><chart:series chart:values-cell-range-address="One.C2:One.C3"/></chart:plot-area>
+      <table:table><table:table-header-rows><table:table-row><table:table-cell><text:p/></table:table-cell><table:table-cell><text:p>North</text:p></table:table-cell></table:table-row></table:table-header-rows>
+      <table:table-rows><table:table-row><table:table-cell><text:p>Q1</text:p></table:table-cell><table:table-cell office:value="5"><text:p>5</text:p></table:table-cell><table:table-cell office:value="8"><draw:g><svg:desc>One.C2:One.C3</svg:desc></draw:g></table:table-cell></table:table-row>
+      <table:table-row><table:table-cell office:value="2.5"/><table:table-cell office:value="7"/><table:table-cell office:value="9"/></table:table-row></table:table-rows></table:table></chart:chart></office:chart></office:body></office:document-content>"""
+    return package({"mimetype": "application/vnd.oasis.opendocument.spreadsheet", "content.xml": fods(), "Object 1/content.xml": chart})
+
+
 def compound(streams, cutoff=0):
     """A compound file of 512-byte sectors; streams below ``cutoff`` go to the short stream."""
     sectors, fat = [], []

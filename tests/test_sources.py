@@ -9,7 +9,7 @@ from quire.sources import containers, read, sniff
 def parsed(spark):
     files = {
         "a.xlsx": B.xlsx(), "b.docx": B.docx(), "c.pptx": B.pptx(), "d.fods": B.fods(), "e.fodt": B.fodt(), "f.fodp": B.fodp(), "g.xls": B.xls(), "h.doc": B.doc(), "i.md": B.MARKDOWN.encode(),
-        "j.ods": B.package({"mimetype": "application/vnd.oasis.opendocument.spreadsheet", "content.xml": B.fods()}), "wrong.odt": B.fodt(), "moved.doc": B.docx(),
+        "j.ods": B.chart_ods(), "wrong.odt": B.fodt(), "moved.doc": B.docx(),
         "bad.docx": b"PK\3\4garbage", "none.pptx": B.pptx(False), "old.xls": B.xls(0x0500), "locked.xls": B.xls(extra=B.record(0x002F, b"\0\0")), "book.xls": B.xls(name="Book"), "locked.doc": B.doc(0x0100), "x.csv": b"1,2", "cut.fods": B.fods()[:300],
     }
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary")
@@ -69,6 +69,11 @@ def test_opendocument(parsed):
     assert rows(parsed, "e.fodt", "blocks", "outline", "list_level", "section_idx", "text") == [(1, None, 0, "Ti tle"), (None, None, 0, "a   b\t c d"), (None, 0, 0, "one"), (None, 1, 0, "deep"), (None, None, 1, "next")]
 
 
+def test_opendocument_chart(parsed):
+    assert rows(parsed, "j.ods", "charts", "kind", "title") == [("bar", "Sales")]
+    assert rows(parsed, "j.ods", "chart_points", "series_name", "pos", "category", "value") == [("North", 1, "Q1", 5.0), ("North", 2, "2.5", 7.0), ("North", 3, "3", None), (None, 1, "Q1", 8.0), (None, 2, "2.5", 9.0), (None, 3, "3", None)]
+
+
 def test_binary(parsed):
     assert rows(parsed, "g.xls", "cells", "r", "c", "kind", "num", "txt", "flag") == [
         (1, 1, "number", 1.5, None, None), (1, 2, "number", 12.34, None, None), (2, 1, "number", 7.0, None, None), (2, 2, "number", -7.0, None, None),
