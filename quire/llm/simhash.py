@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import own_name, staged
+from quire.llm.common import mapped, own_name, staged
 
 RADIUS = 3
 #: Bits of the three blocks, lowest first.
@@ -73,7 +73,7 @@ def with_fingerprints(documents: DataFrame, text: str, name: str, shingle: int =
             got = [_signed(fingerprint(v.as_py(), shingle)) for v in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.int64())], names=[*batch.schema.names, name])
 
-    return documents.mapInArrow(add, schema)
+    return mapped(documents, add, schema)
 
 
 def _variants(fp: str) -> str:
@@ -168,8 +168,10 @@ def links(fingerprints: DataFrame, fp: str) -> DataFrame:
 
     ``fingerprints`` has one row for each distinct value.
     """
-    rows = fingerprints.selectExpr(f"explode({_variants(f'`{fp}`')}) key", f"`{fp}` fp")
-    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "u long, v long")
+    # The rows grow by two orders of magnitude here, so they are spread over all tasks first.
+    tasks = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = fingerprints.repartition(tasks).selectExpr(f"explode({_variants(f'`{fp}`')}) key", f"`{fp}` fp")
+    met = mapped(rows.repartition("key").sortWithinPartitions("key"), _meet, "u long, v long")
     return met.selectExpr("least(u, v) u", "greatest(u, v) v").distinct()
 
 
@@ -233,6 +235,7 @@ def drop_near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text:
     chosen = staged(chosen, "stay")
     to = chosen.select(F.col("fp").alias(fp2), F.col("label").alias(label), F.col("component_id").alias(first))
     kept = marked.join(to, (F.col(fp) == F.col(fp2)) & F.col(doc_id).cast("long").eqNullSafe(F.col(first)))
+    # Rows that share the id: either the fingerprint too, or each its own.
     if (chosen.agg(F.max("rows")).first()[0] or 0) > 1:
         kept = kept.dropDuplicates([label])
     return kept.select(*documents.columns)
