@@ -3,12 +3,13 @@
 Tier one is a broadcast table of the token counts of frequent pre-tokens, of at most
 ``table_size`` entries of at most ``longest`` characters (a fixed bound, whatever the corpus).
 Tier two is each worker's own cache: a pre-token that the table lacks is encoded once by the
-library and remembered, in two generations of ``cache_size`` entries. Counts are sums over pre-tokens, so no
-pre-token is ever shuffled; the plan is one scan and one map.
+library and remembered, in two generations of ``cache_size`` entries. Counts are sums over
+pre-tokens, so the corpus's pre-tokens are never shuffled: the count is one scan and one map.
 
-The table is drawn from the first ``table_docs`` documents. It only decides what is looked up
-where: whatever it holds, every count is the library's. Texts with characters outside the fast
-pattern's range, or with special strings, are counted by the library itself.
+The table is drawn from a sample of about ``table_docs`` documents; only theirs are grouped. It
+only decides what is looked up where: whatever it holds, every count is the library's. Texts with
+characters outside the fast pattern's range, or with special strings, are counted by the library
+itself.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; very long texts are cut where no
 pre-token can span and read to the end; repeated rows are counted each; an empty table gives an
@@ -22,12 +23,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from quire.llm.common import mapped, worker_state
 from quire.llm.pretokens import PATTERN, Cache, Coder, pieces
 
-_WORKER: dict[tuple, _Lengths] = {}
-
-
 class _Lengths:
     """Counts the tokens of texts: the frequent table, then what this worker has encoded."""
 
@@ -46,9 +46,10 @@ class _Lengths:
 
 
 def frequent_table(documents: DataFrame, path: str, *, text: str = "text", table_docs: int = 2000, table_size: int = 32768, longest: int = 48) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of the first ``table_docs`` documents."""
+    """Token counts of the most frequent pre-tokens of a sample of about ``table_docs`` documents."""
+    share = min(1.0, table_docs / max(1, documents.count()))
 
-    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         coder = Coder(path)
         for batch in batches:
@@ -56,14 +57,14 @@ def frequent_table(documents: DataFrame, path: str, *, text: str = "text", table
                 for part in pieces(value.as_py() or ""):
                     if coder.plain(part):
                         seen.update(x for x in PATTERN.findall(part) if len(x) <= longest)
-                if len(seen) > 8 * table_size:
-                    seen = Counter(dict(seen.most_common(4 * table_size)))
-        kept = [x for x, _ in seen.most_common(table_size)]
-        counts = [len(coder.pre_token_ids(x)) for x in kept]
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(counts, pa.int64())], names=["piece", "n"])
+        kept = list(seen)
+        tokens = [len(coder.pre_token_ids(x)) for x in kept]
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([seen[x] for x in kept], pa.int64()), pa.array(tokens, pa.int64())], names=["piece", "seen", "n"])
 
-    rows = documents.selectExpr(f"`{text}` text").limit(table_docs).mapInArrow(top, "piece string, n long").collect()
-    return {r[0]: r[1] for r in rows}
+    sample = documents.selectExpr(f"`{text}` text").sample(False, share, 17)
+    found = mapped(sample, counted, "piece string, seen long, n long").groupBy("piece", "n").agg(F.sum("seen").alias("seen"))
+    rows = found.orderBy(F.desc("seen"), "piece").limit(table_size).collect()
+    return {r["piece"]: r["n"] for r in rows}
 
 
 def token_counts(
@@ -82,11 +83,8 @@ def token_counts(
     schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, cache_size, hash(frozenset(frequent.value.items())))
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = _Lengths(path, frequent.value, cache_size)
-        lengths = _WORKER[key]
+        key = ("lengths", path, cache_size, hash(frozenset(frequent.value.items())))
+        lengths = worker_state(key, lambda: _Lengths(path, frequent.value, cache_size))
         for batch in batches:
             sizes, counts = [], []
             for value in batch.column(1):
@@ -98,4 +96,4 @@ def token_counts(
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return documents.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text").mapInArrow(count, schema)
+    return mapped(documents.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text"), count, schema)
