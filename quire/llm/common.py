@@ -6,6 +6,8 @@ names (every executor sees it), never to a machine's own temporary folder.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
+        own = tempfile.mkdtemp(prefix="quire-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 

@@ -68,7 +68,11 @@ class Coder:
         self.model = self.tok.model
 
     def pre_token_ids(self, piece: str) -> list[int]:
-        spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        if piece.isascii() and (bare := piece[1:] if piece[0] == " " else piece).isalnum():
+            # Letters and digits stand for themselves, only a space before them does not.
+            spelled = piece if bare is piece else self.letters[0x20] + bare
+        else:
+            spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
         return [t.id for t in self.model.tokenize(spelled)]
 
     def plain(self, text: str) -> bool:

@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 
 LOW = 1 << 31
-LANES = 1024
+LANES = 4096
 HEAD = struct.Struct("<IIII")  # symbols, lanes, words, checksum of the rest
 
 
@@ -23,10 +23,11 @@ class Model:
     def __init__(self, freq: np.ndarray, bits: int) -> None:
         self.bits, self.freq = bits, freq.astype(np.uint64)
         self.start = np.r_[0, np.cumsum(freq)[:-1]].astype(np.uint64)
+        self.both = self.freq | self.start << np.uint64(32)  # one lookup for the two
         self._slots: np.ndarray | None = None
 
     @classmethod
-    def from_counts(cls, counts: np.ndarray, bits: int = 20) -> Model:
+    def from_counts(cls, counts: np.ndarray, bits: int = 18) -> Model:
         total, size = int(counts.sum()), 1 << bits
         seen = counts > 0
         if int(seen.sum()) > size:
@@ -42,7 +43,8 @@ class Model:
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.freq), dtype=np.int32), self.freq.astype(np.int64))
+            kind = np.uint16 if len(self.freq) <= 1 << 16 else np.int32
+            self._slots = np.repeat(np.arange(len(self.freq), dtype=kind), self.freq.astype(np.int64))
         return self._slots
 
     def to_bytes(self) -> bytes:
@@ -59,6 +61,7 @@ class Model:
 
 def encode_block(symbols: np.ndarray, model: Model, lanes: int = LANES) -> bytes:
     n = len(symbols)
+    lanes = min(lanes, max(16, n // 64))  # states of few symbols must not outweigh them
     bits = np.uint64(model.bits)
     freq, start = model.freq[symbols], model.start[symbols]
     top = freq << np.uint64(63 - model.bits)  # a state at or above it gives off a word first
@@ -91,7 +94,7 @@ def decode_block(raw: bytes, model: Model, at: int = 0) -> np.ndarray:
     state = np.frombuffer(body, "<u8", lanes).astype(np.uint64)
     words = np.frombuffer(body, "<u4", count, 8 * lanes).astype(np.uint64)
     bits, mask, slots = np.uint64(model.bits), np.uint64((1 << model.bits) - 1), model.slots
-    freq, start = model.freq, model.start
+    both, low32 = model.both, np.uint64(0xFFFFFFFF)
     out, used = np.empty(n, np.int32), 0
     for first in range(0, n, lanes):
         end = min(n, first + lanes)
@@ -99,7 +102,8 @@ def decode_block(raw: bytes, model: Model, at: int = 0) -> np.ndarray:
         low = x & mask
         s = slots[low]
         out[first:end] = s
-        x = freq[s] * (x >> bits) + low - start[s]
+        found = both[s]
+        x = (found & low32) * (x >> bits) + low - (found >> np.uint64(32))
         short = x < LOW
         k = int(np.count_nonzero(short))
         if k:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import files
-from quire.llm.common import fresh_dir, staged
+from quire.llm.common import fresh_dir, mapped, staged, worker_state
 from quire.llm.pretokens import PATTERN, Cache, Coder, pieces
 from quire.llm.rans import Model, block_size, decode_block, encode_block
 
@@ -40,13 +40,10 @@ TRAILER = struct.Struct("<QII4s")  # footer's offset, segments, checksum, magic
 NO_ID = -(1 << 63)
 END_ID = 2
 
-_WORKER: dict[tuple, _Ids] = {}
-
-
 class _Ids:
     """Ids of texts as little-endian bytes, through a worker's cache of pre-tokens."""
 
-    def __init__(self, path: str, width: int, most: int = 200_000) -> None:
+    def __init__(self, path: str, width: int, most: int = 300_000) -> None:
         self.coder, self.kind, self.letter = Coder(path), f"<u{width}", {2: "H", 4: "I"}[width]
         self.codes = Cache(lambda piece: self._pack(self.coder.pre_token_ids(piece)), {}, most)
 
@@ -64,39 +61,49 @@ class _Ids:
 
 
 def encode_ids(documents: DataFrame, path: str, *, doc_id: str, text: str, end_id: int, width: int) -> DataFrame:
-    """doc_id, ids: one row per document, dealt and sorted by doc_id."""
+    """doc_id, ids, counts: one row per document, dealt and sorted by doc_id; behind the documents
+    of a task one row with only the counts of its symbols (pairs of uint32: symbol, count)."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # The other two keys let a range end inside one doc_id, however many rows repeat it.
+    rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (path, width)
-        if key not in _WORKER:
-            _WORKER[key] = _Ids(path, width)
-        coder = _WORKER[key]
+        coder = worker_state(("ids", path, width), lambda: _Ids(path, width))
         end = np.array([end_id], coder.kind).tobytes()
+        names, seen = ["doc_id", "ids", "counts"], np.zeros(1 << 16, np.int64)
         for batch in batches:
             for cut in range(0, batch.num_rows, 512):
                 piece = batch.slice(cut, 512)
                 got = [coder.ids(v.as_py() or "") + end for v in piece.column(1)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(got, pa.binary())], names=["doc_id", "ids"])
+                found = np.bincount(np.frombuffer(b"".join(got), coder.kind))
+                if len(found) > len(seen):
+                    seen = np.pad(seen, (0, len(found) - len(seen)))
+                seen[: len(found)] += found
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(got, pa.binary()), pa.nulls(len(got), pa.binary())], names=names)
+        if (at := np.flatnonzero(seen)).size:
+            pairs = np.stack([at, seen[at]], axis=1).astype("<u4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return mapped(rows, run, "doc_id long, ids binary, counts binary")
 
 
-def symbol_counts(ids: DataFrame, width: int, size: int) -> np.ndarray:
-    """How often each symbol occurs: one row per task and symbol, summed; at most ``size`` rows come back."""
+def symbol_counts(ids: DataFrame, size: int) -> np.ndarray:
+    """How often each symbol occurs, from the tasks' counts; at most ``size`` rows come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for v in batch.column(0):
-                total += np.bincount(np.frombuffer(v.as_py(), f"<u{width}"), minlength=size)
+                symbol, n = np.frombuffer(v.as_py(), "<u4").reshape(-1, 2).T
+                total[symbol] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["s", "n"])
 
     out = np.zeros(size, np.int64)
-    for s, n in ids.select("ids").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n")).collect():
+    found = mapped(ids.where("counts is not null").select("counts"), run, "s long, n long")
+    for s, n in found.groupBy("s").agg(F.sum("n")).collect():
         out[s] = n
     return out
 
@@ -142,9 +149,10 @@ def segments(uri: str) -> list[tuple[int, int, int, int, int]]:
     """A file's checkpoints, from its footer."""
     file = files.Reader(uri)
     at, n, crc, magic = TRAILER.unpack(file.read(file.size - TRAILER.size, TRAILER.size))
-    body = file.read(at, n * SEGMENT.size)
+    fits = magic == b"QTOK" and at + n * SEGMENT.size + TRAILER.size == file.size
+    body = file.read(at, n * SEGMENT.size) if fits else b""
     file.close()
-    if magic != b"QTOK" or zlib.crc32(body) != crc:
+    if not fits or zlib.crc32(body) != crc:
         raise ValueError(f"{uri}: not a token file, or a damaged footer")
     return [SEGMENT.unpack_from(body, k * SEGMENT.size) for k in range(n)]
 
@@ -173,7 +181,7 @@ def write_tokens(
     end_id: int = END_ID,
     vocabulary: int = 50257,
     segment: int = 1 << 20,
-    block: int = 1 << 17,
+    block: int = 1 << 19,
     folder: str | None = None,
 ) -> tuple[DataFrame, str]:
     """Write the files; (manifest ``part, uri, docs, symbols, start``, uri of the frequency table)."""
@@ -182,8 +190,8 @@ def write_tokens(
     width = 2 if vocabulary <= 1 << 16 else 4
     raw = fresh_dir(spark, "ids")
     encode_ids(documents, path, doc_id=doc_id, text=text, end_id=end_id, width=width).write.option("compression", "zstd").parquet(raw)
-    ids = spark.read.schema("doc_id long, ids binary").parquet(raw)
-    table = Model.from_counts(symbol_counts(ids, width, vocabulary)).to_bytes()
+    ids = spark.read.schema("doc_id long, ids binary, counts binary").parquet(raw)
+    table = Model.from_counts(symbol_counts(ids, vocabulary)).to_bytes()
     crc = zlib.crc32(table)
     model_uri = files.put(folder, "frequencies", "qfrq", table)
     # Spark names its part files by partition, so their names give the doc_id order.
@@ -199,7 +207,8 @@ def write_tokens(
                 model = model or Model.from_bytes(files.get(model_uri))
                 got_system, got = files.opened(f"{raw}/{name}")
                 file = pq.ParquetFile(got_system.open_input_file(got))
-                rows = (r for b in file.iter_batches(256) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+                parts = file.iter_batches(256, columns=["doc_id", "ids"])
+                rows = (r for b in parts for r in zip(*(c.to_pylist() for c in b.columns), strict=True) if r[1] is not None)
                 uri, docs, symbols = write_file(folder, f"part-{k:06d}", rows, model, crc, width, segment, block)
                 yield pa.RecordBatch.from_pydict({"part": [k], "uri": [uri], "docs": [docs], "symbols": [symbols]})
 
@@ -207,7 +216,7 @@ def write_tokens(
     if not names:
         return spark.createDataFrame([], f"{kind}, start long"), model_uri
     todo = spark.createDataFrame(list(enumerate(names)), "part long, name string").repartition(len(names), "part")
-    done = staged(todo.mapInArrow(run, kind), "manifest")
+    done = staged(mapped(todo, run, kind), "manifest")
     # One row a file: its first symbol's place among all.
     rows, start = [], 0
     for r in done.orderBy("part").collect():
@@ -246,9 +255,9 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, model_uri: str) -> Dat
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    parts = manifest.select("uri", "start").mapInArrow(split, "uri string, at long, size long, crc long, start long")
+    parts = mapped(manifest.select("uri", "start"), split, "uri string, at long, size long, crc long, start long")
     parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return parts.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return mapped(parts, decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(documents: DataFrame, path: str, **options) -> DataFrame:
