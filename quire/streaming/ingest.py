@@ -1,6 +1,6 @@
 """Incremental work: new files as they arrive, and event windows with late data.
 
-The reference has no streaming; these are extensions on Structured Streaming.
+Both are built on Structured Streaming.
 """
 
 from __future__ import annotations
