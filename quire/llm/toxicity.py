@@ -11,9 +11,9 @@ numbers leave the executors. The list of chosen ids that is broadcast has the sa
 is one map over whole texts without a shuffle.
 
 Defined cases: null and empty texts get the score of a text without words; labels with a null
-doc_id or a null mark are left out; a doc_id with several labels counts once for each; without
-both classes among the labels every score is the share of toxic labels (0 if there is no label);
-extra columns pass through under ``drop_toxic`` and are not read otherwise.
+doc_id or a null mark are left out; a doc_id counts once for each mark that it has, however often
+rows repeat; if all labels are one class, or there are none, every score is near 1 (all toxic) or
+0; extra columns pass through under ``drop_toxic`` and are not read otherwise.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def train(
     return Model(w, constant)
 
 
-def _examples(documents: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> list[tuple[np.ndarray, np.ndarray | None, int]]:
+def _examples(documents: DataFrame, chosen: DataFrame, doc_id: str, text: str, most: int) -> list[tuple[np.ndarray, np.ndarray | None, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, others = [], []
@@ -140,7 +140,8 @@ def _examples(documents: DataFrame, chosen: DataFrame, doc_id: str, text: str) -
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(others, pa.binary()), batch.column(1)], names=["own", "other", "toxic"])
 
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    # Repeated documents are one example; the limit is only met if one id has very many texts.
+    rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct().limit(most)
     found = mapped(rows, run, "own binary, other binary, toxic int").collect()
     found.sort(key=lambda r: (r["toxic"], r["own"]))  # the order of rows is not fixed, the model is
     load = lambda raw: None if raw is None else np.frombuffer(raw, np.int32)
@@ -159,7 +160,7 @@ def fit_toxicity(
 ) -> Model:
     """Fit on at most about ``per_class`` texts labelled (0, 1), from rows that ``learns`` admits."""
     marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(toxic).cast("int").alias("toxic"))
-    marked = marked.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learns(F.col("doc_id")))
+    marked = marked.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & learns(F.col("doc_id"))).distinct()
     count = {r[0]: r[1] for r in marked.groupBy("toxic").count().collect()}
     if len(count) < 2:
         share = float(count.get(1, 0) > 0)
@@ -167,7 +168,7 @@ def fit_toxicity(
     rate = [min(1.0, per_class[k] / count[k]) for k in (0, 1)]
     part = F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id"), 11) / F.lit(float(1 << 53))
     chosen = marked.where(part < F.when(F.col("toxic") == 1, rate[1]).otherwise(rate[0]))
-    return train(_examples(documents, chosen, doc_id, text), shift=float(np.log(rate[0] / rate[1])), **options)
+    return train(_examples(documents, chosen, doc_id, text, 2 * sum(per_class)), shift=float(np.log(rate[0] / rate[1])), **options)
 
 
 def with_scores(documents: DataFrame, model: Model, name: str, *, text: str = "text") -> DataFrame:
