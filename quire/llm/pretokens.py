@@ -67,13 +67,14 @@ class Coder:
         self.letters = _byte_alphabet()
         self.model = self.tok.model
 
-    def pre_token_ids(self, piece: str) -> list[int]:
+    def pre_token(self, piece: str) -> list:
+        """The library's tokens of one pre-token."""
         if piece.isascii() and (bare := piece[1:] if piece[0] == " " else piece).isalnum():
             # Letters and digits stand for themselves, only a space before them does not.
             spelled = piece if bare is piece else self.letters[0x20] + bare
         else:
             spelled = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        return [t.id for t in self.model.tokenize(spelled)]
+        return self.model.tokenize(spelled)
 
     def plain(self, text: str) -> bool:
         """Whether ``PATTERN`` cuts this text as the library does, with no special string inside."""
@@ -83,11 +84,16 @@ class Coder:
         return self.tok.encode(text, add_special_tokens=False).ids
 
 
+#: Characters of the longest pre-token that is kept in a cache.
+LONGEST = 100
+
+
 class Cache(dict):
     """Pre-token -> value, worked out once and kept: ``fixed`` for good, the rest in two generations.
 
     When ``most`` new entries are in, they become the old generation; an entry used again moves
-    back. So at most ``2 * most`` entries are held and the frequent ones stay.
+    back. So at most ``2 * most`` entries are held and the frequent ones stay. Pieces of more than
+    LONGEST characters are never kept, so the entries' bytes are bounded too.
     """
 
     def __init__(self, value: Callable[[str], object], fixed: dict, most: int) -> None:
@@ -99,6 +105,8 @@ class Cache(dict):
         found = self.old.get(piece)
         if found is None:
             found = self.value(piece)
+            if len(piece) > LONGEST:
+                return found
         if len(self) - len(self.fixed) >= self.most:
             self.old = dict(self)
             self.clear()

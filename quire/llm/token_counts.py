@@ -33,7 +33,7 @@ class _Lengths:
 
     def __init__(self, path: str, table: dict[str, int], most: int) -> None:
         self.coder = Coder(path)
-        self.lengths = Cache(lambda piece: len(self.coder.pre_token_ids(piece)), table, most)
+        self.lengths = Cache(lambda piece: len(self.coder.pre_token(piece)), table, most)
 
     def count(self, text: str) -> int:
         total = 0
@@ -58,7 +58,7 @@ def frequent_table(documents: DataFrame, path: str, *, text: str = "text", table
                     if coder.plain(part):
                         seen.update(x for x in PATTERN.findall(part) if len(x) <= longest)
         kept = list(seen)
-        tokens = [len(coder.pre_token_ids(x)) for x in kept]
+        tokens = [len(coder.pre_token(x)) for x in kept]
         yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array([seen[x] for x in kept], pa.int64()), pa.array(tokens, pa.int64())], names=["piece", "seen", "n"])
 
     sample = documents.selectExpr(f"`{text}` text").sample(False, share, 17)

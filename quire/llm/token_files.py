@@ -43,12 +43,12 @@ END_ID = 2
 class _Ids:
     """Ids of texts as little-endian bytes, through a worker's cache of pre-tokens."""
 
-    def __init__(self, path: str, width: int, most: int = 300_000) -> None:
-        self.coder, self.kind, self.letter = Coder(path), f"<u{width}", {2: "H", 4: "I"}[width]
-        self.codes = Cache(lambda piece: self._pack(self.coder.pre_token_ids(piece)), {}, most)
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
+    def __init__(self, path: str, width: int, most: int = 600_000) -> None:
+        self.coder, self.kind = Coder(path), f"<u{width}"
+        # Bytes of every id, ready to join.
+        packed = [i.to_bytes(width, "little") for i in range(self.coder.tok.get_vocab_size())]
+        tokens, join = self.coder.pre_token, b"".join
+        self.codes = Cache(lambda piece: join([packed[t.id] for t in tokens(piece)]), {}, most)
 
     def ids(self, text: str) -> bytes:
         out = []
@@ -56,7 +56,7 @@ class _Ids:
             if self.coder.plain(part):
                 out.append(b"".join(map(self.codes.__getitem__, PATTERN.findall(part))))
             else:
-                out.append(self._pack(self.coder.whole(part)))
+                out.append(np.array(self.coder.whole(part), self.kind).tobytes())
         return b"".join(out)
 
 
