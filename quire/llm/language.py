@@ -10,7 +10,8 @@ one map over whole texts, without a shuffle.
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with no labelled
 text at all every text is ``und`` with score 0; with a single language it gets score 1; null
 languages are not learnt; very long texts are read whole, in parts; repeated rows are judged
-alike; other columns are not read.
+alike and learnt from once; other columns are not read. Languages are a small set of labels: one
+row for each comes to the driver.
 """
 
 from __future__ import annotations
@@ -173,7 +174,8 @@ def fit_language(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     idf = np.log((1 + n) / (1 + df)) + 1
     part = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11) / F.lit(float(1 << 53))
     rate = F.create_map(*[F.lit(x) for name, k in sorted(count.items()) for x in (name, min(1.0, per_class / k))])
-    chosen = rows.where(part < F.element_at(rate, F.col("lang")))
+    # Repeated texts are one example; the limit is only met if one id has very many texts.
+    chosen = rows.where(part < F.element_at(rate, F.col("lang"))).select("text", "lang").distinct().limit(2 * per_class * len(count))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +185,7 @@ def fit_language(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
                 names=["numbers", "counts", "lang"],
             )
 
-    found = mapped(chosen.select("text", "lang"), run, "numbers binary, counts binary, lang string").collect()
+    found = mapped(chosen, run, "numbers binary, counts binary, lang string").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["numbers"]), bytes(r["counts"])))  # rows come in any order
     examples = [(np.frombuffer(r["numbers"], np.uint16).astype(np.int64), np.frombuffer(r["counts"], np.int32), r["lang"]) for r in found]
     return train(examples, idf, **options)
