@@ -7,11 +7,14 @@ names (every executor sees it), never to a machine's own temporary folder.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -52,13 +55,27 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 BATCH_BYTES = 4 << 20
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers live on while other stages need the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` over batches of bounded size."""
+    """``df.mapInArrow`` over batches of bounded size; a task gives its memory back at its end."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     size = conf.get(key, None)
     if size is None or not size.isdigit() or int(size) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(whole, schema)
 
 
 _STATE: dict = {}
