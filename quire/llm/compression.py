@@ -28,6 +28,11 @@ SYMBOLS = "#*$%&|<>"
 class Bands:
     """``limits``: (bytes up to, least ratio, greatest ratio) of whole texts, by rising length.
 
+    The greatest ratios lie between clean prose and encoded noise (base64, base85, random printable
+    characters) of each length. Such noise is ASCII, and scripts of two or three bytes a character
+    compress worse while short, so a whole text's greatest ratio rises by ``script_room`` times
+    the share of its bytes that are not ASCII.
+
     A text longer than one chunk is also cut into chunks of ``chunk_bytes``; it is rejected if
     more than ``max_bad_share`` of them lie outside ``chunk_limits``. A last part shorter than
     half a chunk is left to the whole text's ratio.
@@ -35,14 +40,21 @@ class Bands:
 
     level: int = 3
     limits: tuple[tuple[float, float, float], ...] = (
-        (256, 0.15, 1.15),
-        (1024, 0.15, 0.95),
-        (8192, 0.12, 0.85),
-        (65536, 0.10, 0.80),
-        (float("inf"), 0.07, 0.78),
+        (256, 0.15, 0.87),
+        (384, 0.15, 0.82),
+        (512, 0.15, 0.79),
+        (768, 0.15, 0.75),
+        (1024, 0.15, 0.735),
+        (1536, 0.12, 0.71),
+        (2048, 0.12, 0.69),
+        (4096, 0.12, 0.68),
+        (8192, 0.12, 0.64),
+        (65536, 0.10, 0.60),
+        (float("inf"), 0.07, 0.60),
     )
+    script_room: float = 0.15
     chunk_bytes: int = 8192
-    chunk_limits: tuple[float, float] = (0.10, 0.85)
+    chunk_limits: tuple[float, float] = (0.10, 0.62)
     max_bad_share: float = 0.2
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -88,13 +100,20 @@ def _repeat_words(words: list[bytes]) -> int:
     return int(hit.sum())
 
 
+def _within(raw: bytes, ratio: float, bands: Bands) -> bool:
+    """Whether the ratio lies in the limits of the text's length."""
+    low, high = next((lo, hi) for most, lo, hi in bands.limits if len(raw) <= most)
+    if ratio > high:
+        high += bands.script_room * np.count_nonzero(np.frombuffer(raw, np.uint8) > 127) / len(raw)
+    return low <= ratio <= high
+
+
 def ratio_verdict(raw: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple[float | None, int, int, bool]:
     """(whole ratio, chunks judged, chunks outside, passes)."""
     if not raw:
         return None, 0, 0, False
     ratio = len(packer.compress(raw)) / len(raw)
-    low, high = next((lo, hi) for most, lo, hi in bands.limits if len(raw) <= most)
-    good = low <= ratio <= high
+    good = _within(raw, ratio, bands)
     judged = outside = 0
     if len(raw) > bands.chunk_bytes:
         view = memoryview(raw)

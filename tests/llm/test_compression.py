@@ -60,5 +60,40 @@ def test_chunks_reject_what_the_whole_hides(documents):
     assert got == {1: True, 2: False}
 
 
+CLEAN = (
+    "The committee met on Tuesday to look at the accounts of the past year, which had been sent to all members in good time. Several of them asked why the costs of heating had risen so sharply, and the treasurer explained that the old boiler had failed in January. It was agreed to put a new one in before the autumn, if three offers could be had by the end of June.",
+    "Der Ausschuss trat am Dienstag zusammen, um die Abrechnung des vergangenen Jahres zu prüfen, die allen Mitgliedern rechtzeitig zugegangen war. Mehrere fragten, weshalb die Heizkosten so stark gestiegen seien; die Kasse erklärte, dass der alte Kessel im Januar ausgefallen war. Man beschloss, noch vor dem Herbst einen neuen einzubauen, sofern bis Ende Juni drei Angebote vorlägen.",
+    "Комитет собрался во вторник, чтобы рассмотреть отчёт за прошедший год, заранее разосланный всем участникам. Некоторые спросили, почему так выросли расходы на отопление, и казначей объяснил, что старый котёл вышел из строя в январе. Решили поставить новый до осени, если к концу июня удастся получить три предложения от разных мастерских города, а остаток средств отложить на ремонт крыши и окон.",
+    "Ủy ban đã họp vào thứ ba để xem xét các khoản chi của năm vừa qua, vốn đã được gửi cho mọi thành viên đúng hạn. Nhiều người hỏi vì sao tiền sưởi lại tăng mạnh như vậy, và người thủ quỹ giải thích rằng lò hơi cũ đã hỏng hồi tháng giêng. Mọi người đồng ý lắp một lò mới trước mùa thu nếu có đủ ba bản chào giá vào cuối tháng sáu.",
+    "위원회는 화요일에 모여 지난해의 회계를 살펴보았고 자료는 모든 위원에게 제때 전달되었다. 여러 위원이 난방비가 왜 그렇게 크게 올랐는지 물었으며 회계 담당자는 낡은 보일러가 일월에 고장 났다고 설명했다. 유월 말까지 견적을 세 군데에서 받을 수 있으면 가을이 오기 전에 새 보일러를 놓기로 뜻을 모았다. 남은 돈은 지붕과 창문을 고치는 데 쓰고 나머지는 내년 예산으로 넘기며 다음 모임은 칠월 첫째 주에 열기로 정했다.",
+)
+
+
+def noises(rng, size):
+    """Encoded noise of ``size`` bytes with 50 words or more and hardly a repeated window."""
+    cut = lambda t, w: " ".join(t[i : i + w] for i in range(0, len(t), w))[:size]
+    printable = "".join(rng.choice([chr(i) for i in range(33, 127)]) for _ in range(size))
+    width = 4 if size < 512 else 9
+    out = [cut(base64.b64encode(rng.randbytes(size)).decode(), 4), cut(base64.b85encode(rng.randbytes(size)).decode(), width), cut(printable, width)]
+    return out + ([base64.encodebytes(rng.randbytes(size)).decode()[:size], cut(printable, 70)] if size >= 4096 else [])
+
+
+def test_encoded_noise_is_rejected_at_any_length(documents):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n // 5))[:n]
+    sizes = [256, 384, 512, 768, 1024, 1536, 2048, 4096, 8192, 20_000, 70_000]
+    alone = [t for n in sizes for t in noises(rng, n)]
+    inside = [prose(16_384) + t + prose(8192) for t in noises(rng, 16_384)]
+    clean = [*CLEAN, *(prose(n) for n in (400, 700, 1000, 1500, 2000, 4000, 8000, 30_000))]
+    table = documents(list(enumerate(alone + inside + clean)))
+    got = {r.doc_id: r for r in compression.compression_bands(table).collect()}
+    noisy = len(alone) + len(inside)
+    assert not any(got[i].base_failed for i in got)
+    assert [i for i in range(noisy) if got[i].kept] == []
+    assert all(got[i].n_bad_chunks >= 2 for i in range(len(alone), noisy))
+    assert [i for i in range(noisy, len(got)) if not got[i].kept] == []
+
+
 def test_empty(documents):
     assert compression.compression_bands(documents([])).collect() == []
