@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quire.functions.numfmt import general
 
 NUMBER = r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+#: Cells of a range that a resolver without areas lists one by one.
 MAX_RANGE = 10_000
 
 
@@ -215,6 +216,21 @@ def flag(c: Column | bool) -> Val:
 EMPTY = "e"
 
 
+@dataclass
+class Area:
+    """A range of cells, none of which can fail, as its first cell and figures over all; no column is null."""
+
+    first: Val
+    size: Column  # cells, filled or not
+    total: Column
+    count: Column  # numbers and logicals
+    least: Column  # plus infinity without numbers
+    most: Column
+    filled: Column
+    true: Column  # cells that are true, and cells whose truth is null
+    unknown: Column
+
+
 def cell_value(kind: Column, n: Column, s: Column, b: Column) -> Val:
     """A cell of the ``cells`` table: kinds number, shown, text, bool; anything else is empty."""
     k = F.when(kind.isin("number", "shown"), "n").when(kind == "text", "s").when(kind == "bool", "b").otherwise("e")
@@ -234,14 +250,17 @@ def _either(yes: Column, a: Val, b: Val) -> Val:
 
 # Compiling ---------------------------------------------------------------------------------------
 
+#: A resolver may also have ``area(a, b)``: the range as an Area, or None if its cells are to be listed.
 Resolver = Callable[[Ref], "Val | None"]
 
 
 def _scalars(args: list) -> list[Val]:
-    return [v for a in args for v in (a if isinstance(a, list) else [a])]
+    return [v for a in args if not isinstance(a, Area) for v in (a if isinstance(a, list) else [a])]
 
 
 def _first(a) -> Val:
+    if isinstance(a, Area):
+        return a.first
     return (a[0] if a else Val(EMPTY)) if isinstance(a, list) else a
 
 
@@ -297,6 +316,7 @@ def _whole(c: Column) -> Column:
 
 def _call(name: str, args: list) -> Val:
     vals = _scalars(args)
+    areas = [a for a in args if isinstance(a, Area)]
     bad = _any_failed(vals)
     first = _first(args[0]) if args else Val(EMPTY)
 
@@ -305,22 +325,31 @@ def _call(name: str, args: list) -> Val:
 
     if name in ("SUM", "AVERAGE", "MIN", "MAX", "COUNT"):
         xs = _numbers(vals)
-        total = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+        total = sum((a.total for a in areas), F.aggregate(xs, F.lit(0.0), lambda a, x: a + x))
+        count = sum((a.count for a in areas), F.size(xs).cast("double"))
         out = {
             "SUM": total,
-            "AVERAGE": F.try_divide(total, F.size(xs).cast("double")),
-            "MIN": F.coalesce(F.array_min(xs), F.lit(float("inf"))),
-            "MAX": F.coalesce(F.array_max(xs), F.lit(float("-inf"))),
-            "COUNT": F.size(xs).cast("double"),
+            "AVERAGE": F.try_divide(total, count),
+            "MIN": F.coalesce(F.array_min(F.concat(xs, F.array(*[a.least for a in areas])) if areas else xs), F.lit(float("inf"))),
+            "MAX": F.coalesce(F.array_max(F.concat(xs, F.array(*[a.most for a in areas])) if areas else xs), F.lit(float("-inf"))),
+            "COUNT": count,
         }[name]
         return num(_unless(bad, out))
     if name in ("COUNTA", "COUNTBLANK"):
         empty = sum((F.when(v.pick(n=F.lit(False), s=F.lit(False), b=F.lit(False), e=F.lit(True)), 1.0).otherwise(0.0) for v in vals), F.lit(0.0))
-        return num(_unless(bad, empty if name == "COUNTBLANK" else F.lit(float(len(vals))) - empty))
+        blank = sum((a.size - a.filled for a in areas), empty)
+        filled = sum((a.filled for a in areas), F.lit(float(len(vals))) - empty)
+        return num(_unless(bad, blank if name == "COUNTBLANK" else filled))
     if name in ("AND", "OR"):
         out = F.lit(name == "AND")
         for v in vals:
             out = out & v.truthy() if name == "AND" else out | v.truthy()
+        for a in areas:
+            false = a.size - a.true - a.unknown
+            if name == "AND":
+                out = out & F.when(false > 0, False).when(a.unknown == 0, True)
+            else:
+                out = out | F.when(a.true > 0, True).when(a.unknown == 0, False)
         return flag(_unless(bad, out))
     if name == "NOT":
         return flag(_unless(bad, ~first.truthy()))
@@ -380,9 +409,12 @@ def _compile(node: Node, cell: Resolver):
         return found
     if node.op == "range":
         a, b = node.value
+        whole = cell.area(a, b) if hasattr(cell, "area") else None
+        if whole is not None:
+            return whole
         rows, cols = sorted((a.row, b.row)), sorted((a.col, b.col))
         if (rows[1] - rows[0] + 1) * (cols[1] - cols[0] + 1) > MAX_RANGE:
-            raise FormulaError("a range this large is for the aggregate functions of quire.operators.aggregates")
+            raise FormulaError("a range this large needs a resolver with areas")
         found = [cell(Ref(c, r, a.abs_col, a.abs_row)) for r in range(rows[0], rows[1] + 1) for c in range(cols[0], cols[1] + 1)]
         if None in found:
             raise FormulaError("a reference leaves the sheet")

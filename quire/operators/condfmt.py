@@ -2,7 +2,9 @@
 
 With the rules known to the driver (a sheet's own few), the choice is one projection: every rule
 becomes a column expression, and the least (priority, ordinal) that hits wins. References to fixed
-columns of a cell's row share one window; any other offset is one equi-join. With rules in a table,
+columns of a cell's row share one window; any other offset is one equi-join. Ranges of more than
+LISTED cells, and ranges with one end fixed, are one grouped join each: absolute ones are read once
+a sheet, relative ones once for each row, column or cell that they move with. With rules in a table,
 ``match_rectangles`` joins by column instead of comparing every cell with every rectangle.
 """
 
@@ -14,8 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.formula import Node, Ref, Val, _compile, _first, FormulaError, cell_value, parse
+from quire.functions.formula import Area, Node, Ref, Val, _compile, _first, FormulaError, cell_value, parse
 from quire.functions.numfmt import general
+from quire.operators import aggregates
 
 
 @dataclass(frozen=True)
@@ -37,13 +40,30 @@ class Rule:
 
 
 KEYS = ("doc_id", "sheet_idx")
+#: Cells of a range that are read one by one.
+LISTED = 16
+
+
+def _grouped(a: Ref, b: Ref) -> bool:
+    """Whether the range is read by a grouped join."""
+    size = (abs(a.row - b.row) + 1) * (abs(a.col - b.col) + 1)
+    return size > LISTED or (a.abs_row, a.abs_col) != (b.abs_row, b.abs_col)
+
+
+def _ranges(node: Node) -> set[tuple[Ref, Ref]]:
+    if node.op == "range":
+        return {node.value} if _grouped(*node.value) else set()
+    return set().union(*map(_ranges, node.args)) if node.args else set()
 
 
 def _refs(node: Node) -> set[Ref]:
+    """Single references, and the cells of ranges that are read one by one."""
     if node.op == "ref":
         return {node.value}
     if node.op == "range":
         a, b = node.value
+        if _grouped(a, b):
+            return set()
         rows, cols = sorted((a.row, b.row)), sorted((a.col, b.col))
         return {Ref(c, r, a.abs_col, a.abs_row) for r in range(rows[0], rows[1] + 1) for c in range(cols[0], cols[1] + 1)}
     return set().union(*map(_refs, node.args)) if node.args else set()
@@ -113,6 +133,24 @@ def rule_hits(rule: Rule, operands: list[Val | None], cell: Val, kind: Column) -
     return F.coalesce(hit, no)
 
 
+def _range_figures(cells: DataFrame, targets: DataFrame, keys: Sequence[str], ends: tuple, r: str, c: str, k: int) -> DataFrame:
+    """``targets`` (keys, and ``r``, ``c`` if the range moves with them) with figures over the range's cells."""
+    r1, r2, c1, c2 = ends
+    last = cells.groupBy(*keys).agg(F.max("r").alias("last_r"), F.max("c").alias("last_c"))
+    areas = targets.withColumns({"r1": r1, "r2": r2, "c1": c1, "c2": c2}).join(last, [*keys])
+    areas = areas.withColumns({"r2": F.least("r2", "last_r"), "c2": F.least("c2", "last_c")}).where("r1 between 1 and r2 and c1 between 1 and c2")
+    body = cells.where(F.col("kind").isin("number", "shown", "text", "bool")).select(*keys, "r", "c", "kind", "num", "txt", "flag")
+    x = aggregates.numeric(F.col("kind"), F.col("num"), F.col("flag"))
+    true = cell_value(F.col("kind"), F.col("num"), F.col("txt"), F.col("flag")).truthy()
+    first = F.max(F.when((F.col("r") == F.col("r1")) & (F.col("c") == F.col("c1")), F.struct("kind", "num", "txt", "flag")))
+    found = match_rectangles(body, areas, keys=keys).groupBy(*keys, *[n for n in (r, c) if n in targets.columns]).agg(
+        first.alias("first"), aggregates.sheet_sum(x).alias("total"), aggregates.sheet_count(x).cast("double").alias("count"), aggregates.sheet_min(x).alias("least"),
+        aggregates.sheet_max(x).alias("most"), F.count(F.lit(1)).cast("double").alias("filled"), F.count_if(true).cast("double").alias("true"), F.count_if(true.isNull()).cast("double").alias("unknown"),
+    )
+    own = [n for n in (*keys, r, c) if n in found.columns]
+    return found.select(*[F.col(n).alias(n if n in (r, c) else f"area{k}_{n}") for n in own], F.struct(*[n for n in found.columns if n not in own]).alias(f"area{k}"))
+
+
 def apply_rules(cells: DataFrame, rules: Sequence[Rule], *, name: str = "dxf", keys: Sequence[str] = KEYS) -> DataFrame:
     """``cells`` (keys, r, c, kind, num, txt, flag) with the format of the first rule that hits."""
     trees = _trees(rules)
@@ -121,6 +159,12 @@ def apply_rules(cells: DataFrame, rules: Sequence[Rule], *, name: str = "dxf", k
         for tree in own:
             for ref in _refs(tree) if tree else ():
                 places.setdefault(_place(rule, ref), len(places))
+    spans: dict[tuple, list[Rule]] = {}
+    for rule, own in zip(rules, trees, strict=True):
+        for tree in own:
+            for a, b in _ranges(tree) if tree else ():
+                spans.setdefault((_place(rule, a), _place(rule, b)), []).append(rule)
+    numbers = {ends: k for k, ends in enumerate(spans)}
     out = cells
     # References to a column of the cell's own row are one window for all; others are equi-joins.
     whole_row = Window.partitionBy(*keys, "r")
@@ -141,11 +185,42 @@ def apply_rules(cells: DataFrame, rules: Sequence[Rule], *, name: str = "dxf", k
             same = same & (F.col(x) == F.col(f"ref{k}_{x}"))
         out = out.join(other, same, "left")
 
+    def edges(ends: tuple, r: str, c: str) -> tuple[Column, Column, Column, Column]:
+        """First and last row and column of a range as read from the cell at ``r``, ``c``."""
+        rows = [F.lit(p[1]) if p[0] == "at" else F.col(r) + p[1] for p in ends]
+        cols = [F.lit(p[3]) if p[2] == "at" else F.col(c) + p[3] for p in ends]
+        return F.least(*rows), F.greatest(*rows), F.least(*cols), F.greatest(*cols)
+
+    for ends, k in numbers.items():
+        r, c = f"area{k}_r", f"area{k}_c"
+        moves = [(n, x) for n, x, at in (("r", r, 0), ("c", c, 2)) if any(p[at] == "by" for p in ends)]
+        read = F.lit(False)
+        for rule in spans[ends]:
+            read = read | (F.col("r").between(rule.area[0], rule.area[2]) & F.col("c").between(rule.area[1], rule.area[3]))
+        targets = cells.where(read).select(*keys, *[F.col(n).alias(x) for n, x in moves]).distinct()
+        figures = _range_figures(cells, targets, keys, edges(ends, r, c), r, c, k)
+        same = F.lit(True)
+        for n, x in [*((x, f"area{k}_{x}") for x in keys), *moves]:
+            same = same & (F.col(n) == F.col(x))
+        out = out.join(figures, same, "left")
+
     def resolver(rule: Rule):
         def find(ref: Ref) -> Val:
             k = places[_place(rule, ref)]
             return cell_value(F.coalesce(F.col(f"ref{k}_kind"), F.lit("empty")), F.col(f"ref{k}_num"), F.col(f"ref{k}_txt"), F.col(f"ref{k}_flag"))
 
+        def area(a: Ref, b: Ref) -> Area | None:
+            if not _grouped(a, b):
+                return None
+            ends = (_place(rule, a), _place(rule, b))
+            k, (r1, r2, c1, c2) = numbers[ends], edges(ends, "r", "c")
+            get = lambda n, none=0.0: F.coalesce(F.col(f"area{k}.{n}"), F.lit(none))
+            part = lambda n: F.col(f"area{k}.first.{n}")
+            first = cell_value(F.coalesce(part("kind"), F.lit("empty")), part("num"), part("txt"), part("flag"))
+            size = (r2 - r1 + 1).cast("double") * (c2 - c1 + 1)
+            return Area(first, size, get("total"), get("count"), get("least", float("inf")), get("most", float("-inf")), get("filled"), get("true"), get("unknown"))
+
+        find.area = area
         return find
 
     kind = F.col("kind")
@@ -162,7 +237,7 @@ def apply_rules(cells: DataFrame, rules: Sequence[Rule], *, name: str = "dxf", k
         inside = F.col("r").between(r1, r2) & F.col("c").between(c1, c2)
         # References above or left of the sheet fail the rule.
         for tree in trees[ordinal]:
-            for ref in _refs(tree) if tree else ():
+            for ref in _refs(tree).union(*_ranges(tree)) if tree else ():
                 how_r, row, how_c, col = _place(rule, ref)
                 inside = inside & (F.lit(True) if how_r == "at" else F.col("r") + row >= 1) & (F.lit(True) if how_c == "at" else F.col("c") + col >= 1)
         tests.append(F.when(inside & rule_hits(rule, own, cell, kind), F.lit(rule.dxf)))

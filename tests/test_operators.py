@@ -39,6 +39,39 @@ def test_rules_above_the_sheet_fail(spark):
     assert rows(condfmt.apply_rules(cells(spark, data), rules), "r", "dxf") == [(1, None), (2, 1)]
 
 
+def test_rules_read_large_ranges_whole(spark):
+    n = 20_000
+    body = spark.range(1, n + 1).selectExpr("cast(id as int) r").selectExpr("r", "explode(array(1, 2, 3)) c").where("c = 2 or r <= 4 or (c = 3 and r = 15000)")
+    text = "c = 3 and r = 1"
+    body = body.selectExpr("1 doc_id", "0 sheet_idx", "r", "c", f"if({text}, 'text', 'number') kind", f"if({text}, null, cast(if(c = 2, r, if(c = 3, 7, 9999 + r)) as double)) num", f"if({text}, 'x', null) txt", "cast(null as boolean) flag")
+    other = cells(spark, [(1, 1, "number", 1.0, None, None), (2, 2, "number", 5.0, None, None)]).selectExpr("2 doc_id", "sheet_idx", "r", "c", "kind", "num", "txt", "flag")
+    table = body.unionByName(other)
+    mean, whole = (n + 1) / 2, n * (n + 1) / 2  # 10000.5
+
+    def hits(*formulas, area=(1, 1, 4, 1), kind="expression", operator="", doc=1):
+        rules = [condfmt.Rule(area, 1, 1, kind, operator, formulas)]
+        return [tuple(x) for x in condfmt.apply_rules(table, rules).where(f"doc_id = {doc} and dxf = 1").select("r", "c").orderBy("r", "c").collect()]
+
+    # Cells A1:A4 are 10000 to 10003, so those over the mean of B are A2:A4.
+    assert hits(f"AVERAGE($B$1:$B${n})", kind="cellIs", operator="greaterThan") == [(2, 1), (3, 1), (4, 1)]
+    assert hits(f"AVERAGE($B$1:$B${n})={mean}", doc=2) == [] and hits(f"SUM($B$1:$B${n})=5", doc=2) == [(1, 1)]
+    # Relative rows: B[r..r + n - 1] loses the first r - 1 numbers.
+    assert hits(f"SUM(B1:B{n})={whole - 3}") == [(3, 1)]
+    # Relative columns: from A to B, from B to C.
+    assert hits(f"COUNT(B$1:B${n})={n}", area=(1, 1, 1, 3)) == [(1, 1)] and hits(f"COUNT(B$1:B${n})=4", area=(1, 1, 1, 3)) == [(1, 2)]
+    # One end fixed: running sums 1, 3, 6, 10.
+    assert hits("SUM($B$1:$B1)=6") == [(3, 1)]
+    everything = "$A$1:$XFD$1048576"
+    assert hits(f"COUNTA({everything},1)={n + 4 + 5 + 1}") == [(r, 1) for r in range(1, 5)]
+    assert hits(f"COUNTBLANK($C$1:$C${n})={n - 5}", area=(1, 1, 1, 1)) == [(1, 1)]
+    assert hits(f"AND($B$1:$B${n})", area=(1, 1, 1, 1)) == [(1, 1)] and hits(f"AND($C$1:$C${n})", area=(1, 1, 1, 1)) == [] and hits(f"OR($C$1:$C${n})", area=(1, 1, 1, 1)) == [(1, 1)]
+    assert hits(f"MAX($C$1:$C${n},3)+MIN($B$1:$B${n})=8", area=(1, 1, 1, 1)) == [(1, 1)]
+    assert hits(f'$C$1:$C${n}="x"', area=(1, 1, 1, 1)) == [(1, 1)]  # the first cell's value
+    # Ranges that start above the sheet fail the rule.
+    up = [condfmt.Rule((1, 1, 4, 1), 1, 1, "expression", "", (f"COUNT(B1:B{n})>0",), origin=(3, 1))]
+    assert rows(condfmt.apply_rules(body, up).where("dxf = 1").orderBy("r"), "r") == [(3,), (4,)]
+
+
 def test_rectangles_match_a_plain_loop(spark):
     rng = random.Random(1)
     points = [(rng.randrange(1, 3000), rng.randrange(1, 300)) for _ in range(200)]
