@@ -14,8 +14,8 @@ from quire.sources.parsed import Parsed
 from quire.sources.xmltree import Node, number, on, parse, whole
 
 MAX_ROW, MAX_COL = 1_048_576, 16_384
-#: Caps of repeated blank cells and of rows.
-BLANK_REPEAT, ROW_REPEAT = 256, 4096
+#: Caps of a repeated cell's columns in the used range, and of repeated rows.
+USED_REPEAT, ROW_REPEAT = 256, 4096
 
 
 def cell_place(ref: str) -> tuple[int, int] | None:
@@ -226,7 +226,7 @@ def odf_sheet(table: Node, out: Parsed, k: int) -> dict:
             repeat = whole(cell.get("number-columns-repeated"), 1)
             kind, num, txt, flag = _odf_value(cell)
             if kind != "empty":
-                cells += [(c + i, kind, num, txt, flag) for i in range(min(repeat, BLANK_REPEAT if repeat > BLANK_REPEAT else repeat))]
+                cells += [(c + i, kind, num, txt, flag, i < USED_REPEAT) for i in range(min(repeat, MAX_COL - c + 1))]
             rows, cols = whole(cell.get("number-rows-spanned"), 1), whole(cell.get("number-columns-spanned"), 1)
             if rows > 1 or cols > 1:
                 merged.append(out.add("merges", sheet_idx=k, ordinal=len(merged), r1=r, c1=c, r2=r + rows - 1, c2=c + cols - 1))
@@ -235,8 +235,10 @@ def odf_sheet(table: Node, out: Parsed, k: int) -> dict:
         for i in range(min(times, ROW_REPEAT) if cells or hidden else 0):
             if hidden:
                 out.add("sheet_rows", sheet_idx=k, r=r + i, hidden=True)
-            for col, kind, num, txt, flag in cells:
-                own.append(out.add("cells", sheet_idx=k, r=r + i, c=col, kind=kind, num=num, txt=txt, flag=flag, xf=0))
+            for col, kind, num, txt, flag, used in cells:
+                added = out.add("cells", sheet_idx=k, r=r + i, c=col, kind=kind, num=num, txt=txt, flag=flag, xf=0)
+                if used:
+                    own.append(added)
         r += times
     ordinal = 0
     for block in (n for n in table.walk() if n.name == "conditional-format"):

@@ -2,7 +2,7 @@ import builders as B
 import pytest
 from pyspark.sql import functions as F
 
-from quire.sources import containers, read, sniff
+from quire.sources import containers, read, sniff, spreadsheets
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +69,17 @@ def test_opendocument(parsed):
     assert rows(parsed, "e.fodt", "blocks", "outline", "list_level", "section_idx", "text") == [(1, None, 0, "Ti tle"), (None, None, 0, "a   b\t c d"), (None, 0, 0, "one"), (None, 1, 0, "deep"), (None, None, 1, "next")]
 
 
+def test_opendocument_values_fill_their_whole_repeat():
+    cell = lambda n, value="": f'<table:table-cell table:number-columns-repeated="{n}" {value}/>'
+    number = 'office:value-type="float" office:value="2"'
+    book = lambda row: f'<office:document {B.OFFICE}><office:body><office:spreadsheet><table:table><table:table-row table:number-rows-repeated="2">{row}</table:table-row></table:table></office:spreadsheet></office:body></office:document>'.encode()
+    got = spreadsheets.read_ods(book(cell(300, number) + cell(500) + cell(1, number))).rows
+    assert [(x["r"], x["c"], x["num"]) for x in got["cells"]] == [(r, c, 2.0) for r in (1, 2) for c in [*range(1, 301), 801]]
+    # The used range counts 256 columns of a repeat; no cell lies beyond the last column.
+    got = spreadsheets.read_ods(book(cell(16_000) + cell(16_384, number))).rows
+    assert [x["c"] for x in got["cells"] if x["r"] == 1] == list(range(16_001, 16_385)) and got["sheets"][0]["c2"] == 16_256
+
+
 def test_opendocument_chart(parsed):
     assert rows(parsed, "j.ods", "charts", "kind", "title") == [("bar", "Sales")]
     assert rows(parsed, "j.ods", "chart_points", "series_name", "pos", "category", "value") == [("North", 1, "Q1", 5.0), ("North", 2, "2.5", 7.0), ("North", 3, "3", None), (None, 1, "Q1", 8.0), (None, 2, "2.5", 9.0), (None, 3, "3", None)]
