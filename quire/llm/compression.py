@@ -34,8 +34,10 @@ class Bands:
     the share of its bytes that are not ASCII.
 
     A text longer than one chunk is also cut into chunks of ``chunk_bytes``; it is rejected if
-    more than ``max_bad_share`` of them lie outside ``chunk_limits``. A last part shorter than
-    half a chunk is left to the whole text's ratio.
+    more than ``max_bad_share`` or more than ``max_bad_chunks`` of them lie outside
+    ``chunk_limits``, or two in a row. A last part shorter than half a chunk is no chunk; with
+    the bytes before it to ``min_tail`` at least, it is judged by the limits of its own length,
+    and the text is rejected if it lies outside.
     """
 
     level: int = 3
@@ -56,6 +58,8 @@ class Bands:
     chunk_bytes: int = 8192
     chunk_limits: tuple[float, float] = (0.10, 0.62)
     max_bad_share: float = 0.2
+    max_bad_chunks: int = 2
+    min_tail: int = 1024
     min_words: int = 50
     max_repeat_percent: int = 50
     symbols: str = field(default=SYMBOLS)
@@ -100,7 +104,7 @@ def _repeat_words(words: list[bytes]) -> int:
     return int(hit.sum())
 
 
-def _within(raw: bytes, ratio: float, bands: Bands) -> bool:
+def _within(raw: bytes | memoryview, ratio: float, bands: Bands) -> bool:
     """Whether the ratio lies in the limits of the text's length."""
     low, high = next((lo, hi) for most, lo, hi in bands.limits if len(raw) <= most)
     if ratio > high:
@@ -117,14 +121,20 @@ def ratio_verdict(raw: bytes, bands: Bands, packer: zstandard.ZstdCompressor) ->
     judged = outside = 0
     if len(raw) > bands.chunk_bytes:
         view = memoryview(raw)
+        before = False
         for at in range(0, len(raw), bands.chunk_bytes):
             part = view[at : at + bands.chunk_bytes]
             if 2 * len(part) < bands.chunk_bytes:
+                part = view[min(at, len(raw) - bands.min_tail) :]
+                good = good and _within(part, len(packer.compress(part)) / len(part), bands)
                 break
             r = len(packer.compress(part)) / len(part)
+            bad = not bands.chunk_limits[0] <= r <= bands.chunk_limits[1]
             judged += 1
-            outside += not bands.chunk_limits[0] <= r <= bands.chunk_limits[1]
-        good = good and outside <= bands.max_bad_share * judged
+            outside += bad
+            good = good and not (bad and before)
+            before = bad
+        good = good and outside <= min(bands.max_bad_share * judged, bands.max_bad_chunks)
     return ratio, judged, outside, good
 
 

@@ -95,5 +95,22 @@ def test_encoded_noise_is_rejected_at_any_length(documents):
     assert [i for i in range(noisy, len(got)) if not got[i].kept] == []
 
 
+def test_tails_runs_and_counts_of_bad_chunks_reject(documents):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choice(vocab) for _ in range(n // 4))[:n]
+    same, k = "a" * 8192, 8192
+    noise = lambda n: base64.encodebytes(rng.randbytes(n)).decode()[:n]
+    tails = [prose(k) + same[:4000], prose(k) + noise(4000), prose(10 * k) + same[:2000], prose(k) + same[:1000]]
+    runs = [prose(20 * k) + same * 2 + prose(20 * k), prose(20 * k) + noise(2 * k) + prose(20 * k)]
+    mixed = lambda n, part: "".join(prose(12 * k) + part() for _ in range(n)) + prose(12 * k)
+    counts = [mixed(3, lambda: same), mixed(3, lambda: noise(k))]
+    good = [prose(k + 1), prose(k + 300), prose(k + 4000), prose(30 * k + 100), mixed(1, lambda: same), mixed(2, lambda: noise(k))]
+    bad = tails + runs + counts
+    got = {r.doc_id: r for r in compression.compression_bands(documents(list(enumerate(bad + good)))).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].kept for i in range(len(got))] == [False] * len(bad) + [True] * len(good)
+
+
 def test_empty(documents):
     assert compression.compression_bands(documents([])).collect() == []
