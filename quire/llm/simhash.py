@@ -171,7 +171,8 @@ def links(fingerprints: DataFrame, fp: str) -> DataFrame:
     # The rows grow by two orders of magnitude here, so they are spread over all tasks first.
     tasks = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = fingerprints.repartition(tasks).selectExpr(f"explode({_variants(f'`{fp}`')}) key", f"`{fp}` fp")
-    met = mapped(rows.repartition("key").sortWithinPartitions("key"), _meet, "u long, v long")
+    # Sorted by both columns: a task that runs again emits the same links, whatever order it fetched.
+    met = mapped(rows.repartition("key").sortWithinPartitions("key", "fp"), _meet, "u long, v long")
     return met.selectExpr("least(u, v) u", "greatest(u, v) v").distinct()
 
 

@@ -68,6 +68,19 @@ def test_every_link_meets(spark):
     assert got == want
 
 
+def test_groups_are_met_in_one_order(spark, monkeypatch):
+    """Rows reach a task sorted by variant and fingerprint, so an attempt that runs again emits the same links."""
+    rng = random.Random(8)
+    prints = list({sum(1 << b for b in rng.sample(range(64), 2)) for _ in range(200)})
+    rng.shuffle(prints)
+    seen, mapped = [], simhash.mapped
+    monkeypatch.setattr(simhash, "mapped", lambda df, *rest: seen.append(df) or mapped(df, *rest))
+    simhash.links(spark.createDataFrame([(simhash._signed(x),) for x in prints], "fp long"), "fp")
+    parts = seen[0].rdd.mapPartitions(lambda rows: [[(r.key, r.fp) for r in rows]]).collect()
+    assert sum(map(len, parts)) == 131 * len(prints) and any(a[0] == b[0] for p in parts for a, b in zip(p, p[1:]))
+    assert all(p == sorted(p) for p in parts)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(-5, -9), (7, 7)]
     out = {r.node: r.label for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
