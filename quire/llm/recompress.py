@@ -2,7 +2,8 @@
 
 A round names either runs of one symbol or pairs. For pairs, a bit of each symbol's name puts it
 left or right, and every left symbol followed by a right one is merged into a new symbol. A name is
-a hash of what it stands for, so the same content has the same name in every task.
+a hash of what it stands for, so the same content has the same name in every task. Different
+content may share a name; whoever finds equal names compares what they stand for.
 
 Whether two neighbours merge depends on these two alone. So inside a stretch of words all symbols
 are settled by the stretch itself, but for a few at its ends: a right symbol at its start may merge
@@ -16,11 +17,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 U = np.uint64
 ROUNDS = 24
-BASE = U(0x9E3779B97F4A7C15 | 5)
-INVERSE = U(pow(int(BASE), -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,68 +32,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_POWERS = [np.ones(1, U), np.ones(1, U)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """The first n powers of BASE and of its inverse; kept, and grown by doubling."""
-    if len(_POWERS[0]) < n:
-        for k, b in enumerate((BASE, INVERSE)):
-            _POWERS[k] = np.concatenate([np.ones(1, U), np.cumprod(np.full(max(n, 2 * len(_POWERS[k])) - 1, b, U))])
-    return _POWERS
-
-
-class Hashes:
-    """Hashes of all stretches of one sequence, by sums of symbols times powers."""
-
-    def __init__(self, symbols: np.ndarray) -> None:
-        n = len(symbols)
-        up, self.down = powers(n + 1)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(symbols * up[:n], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
-
-
-#: ASCII white space, and a random value for each byte.
+#: ASCII white space.
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-BYTES = mix(np.arange(1, 257, dtype=U))
 PART = 1 << 19
+#: Low bytes of a 64-bit load to keep, by their number.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
 
+def word_names(raw: bytes, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(name, first byte) of each word of UTF-8 text, in parts that end between words.
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of each word of UTF-8 text, in parts that end between words."""
+    Words of up to 16 bytes are mixed from two loads, longer ones are hashed with XXH3. Names are
+    cut to ``bits``.
+    """
     found, places, at = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
-    data = np.frombuffer(raw, np.uint8)
-    while at < len(data):
+    data = np.frombuffer(raw + bytes(16), np.uint8)
+    size = len(raw)
+    loads = np.ndarray((size + 9,), "<u8", data.data, strides=(1,))
+    while at < size:
         end = at + PART
-        while end < len(data) and not (cut := np.flatnonzero(SPACE[data[at:end]])).size:
+        while end < size and not (cut := np.flatnonzero(SPACE[data[at : min(end, size)]])).size:
             end += PART
-        part = data[at:end] if end >= len(data) else data[at : at + int(cut[-1]) + 1]
-        inside = np.zeros(len(part) + 2, np.int8)
-        inside[1:-1] = ~SPACE[part]
-        edge = np.flatnonzero(np.diff(inside))
+        end = size if end >= size else at + int(cut[-1]) + 1
+        inside = np.zeros(end - at + 2, np.int8)
+        inside[1:-1] = ~SPACE[data[at:end]]
+        edge = np.flatnonzero(np.diff(inside)) + at
         first, last = edge[::2], edge[1::2]
-        found.append(mix(Hashes(BYTES[part]).of(first, last) + (last - first).astype(U)))
-        places.append(first + at)
-        at += len(part)
+        length = last - first
+        low = loads[first] & KEEP[np.minimum(length, 8)]
+        high = loads[first + 8] & KEEP[np.clip(length - 8, 0, 8)]
+        name = mix(mix(low ^ (length.astype(U) << U(56))) + high * U(0x9E3779B97F4A7C15))
+        for k in np.flatnonzero(length > 16).tolist():
+            name[k] = xxhash.xxh3_64_intdigest(raw[first[k] : last[k]])
+        found.append(name & U((1 << bits) - 1))
+        places.append(first)
+        at = end
     return np.concatenate(found), np.concatenate(places)
 
 
-def batch_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes of all texts, ends of the texts among them)."""
-    hashes, places = word_hashes(b" ".join(texts))
+def batch_names(texts: list[bytes], bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(word names of all texts, ends of the texts among them)."""
+    names, places = word_names(b" ".join(texts), bits)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(places, ends)
+    return names, np.searchsorted(places, ends)
 
 
 @dataclass
 class Records:
     """Runs of consecutive windows with one anchor. Positions count from the start of the batch."""
 
-    name: np.ndarray  # the anchor's name
-    extent: np.ndarray  # hash of all words of these windows, and of where the anchor stands in them
+    name: np.ndarray  # of the anchor
     first: np.ndarray  # first window
     count: np.ndarray  # number of windows, at most the window's length
 
@@ -161,16 +149,13 @@ def anchors(words: np.ndarray, ends: np.ndarray, starts: np.ndarray, window: int
 
 
 def records(words: np.ndarray, ends: np.ndarray, window: int) -> Records:
-    """All windows of a batch of documents (word hashes, ends of documents) by anchor."""
+    """All windows of a batch of documents (word names, ends of documents) by anchor."""
     starts = window_starts(ends, window)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return Records(none.astype(U), none.astype(U), none, none)
+        return Records(none.astype(U), none, none)
     name, place = anchors(words, ends, starts, window)
     fresh = np.r_[True, (name[1:] != name[:-1]) | (place[1:] != place[:-1]) | (np.diff(starts) != 1)]
     at = np.flatnonzero(fresh)
     count = np.diff(np.r_[at, len(starts)])
-    first = starts[at]
-    extent = Hashes(words).of(first, first + count - 1 + window)
-    extent = mix(extent + mix((place[at] - first).astype(U) * U(4096) + count.astype(U)))
-    return Records(name[at], extent, first, count)
+    return Records(name[at], starts[at], count)

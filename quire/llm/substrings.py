@@ -3,19 +3,24 @@
 A word goes if a window of ``window`` consecutive words that covers it also starts in a document
 with a smaller doc_id. Windows are judged on the input.
 
-1. Each task names runs and pairs of its documents' words in rounds (see ``recompress``). Equal
-   windows have the same anchor symbol at the same place, and neighbouring windows share one, so
-   a record stands for a run of windows: the anchor's name and a hash of the run's whole extent.
-2. Records are grouped by name; names within one document are dropped. Groups are minima and
-   maxima, combined map side, so a name that a third of all documents have is one row a task.
-3. Records of shared names whose extent also stands in a smaller document are repeats as a whole.
-   Only where extents under one name differ, the first document of each extent has its windows
-   hashed one by one, and the smallest document of each window decides.
-
-No pairs are listed and no group is collected; per document only its own ranges are gathered. The
-joins by name are plain equi-joins, which AQE splits at hot names. Texts are dealt once by document
-with their ranges; a second time only those with windows still open. Equality rests on two 64-bit
-hashes each (name and extent, or name and window).
+1. Tasks name runs and pairs of their documents' words in rounds (see ``recompress``), from low to
+   high symbols. Equal windows have the same anchor symbol at the same place, and neighbouring
+   windows share one, so a record stands for a run of windows. A Spark round groups the anchors'
+   names over all documents and stages the table of those that two or more documents share.
+2. Under shared names the words themselves are compared: each record's extent, all words of its
+   windows, gets a 128-bit BLAKE2b digest of these words, and a second Spark round stages the first
+   document of each extent. Records whose extent also stands in a smaller document are repeats.
+3. Only where extents under one name differ, the first document of each extent has its windows
+   digested one by one, and a third Spark round finds the smallest document of each window.
+
+Names only say where to look: two contents that share a name are told apart by the digests of
+their words, so ``name_bits`` may be small (tests use it) and costs time, never a result.
+
+No pairs are listed and no group is collected; groups are minima, combined map side, so a name that
+a third of all documents have is one row a task. The joins are plain equi-joins on staged tables,
+which AQE splits at hot keys. Per document only its own ranges are gathered. Rows are numbered once,
+in a staged table, so rows that repeat a doc_id are never taken for each other. Texts are dealt once
+with their candidates; a second time only those that have some.
 
 Defined cases: null and empty texts have no words; texts of fewer words than a window keep all; a
 row with a null doc_id neither loses words nor makes others lose any; rows that repeat a doc_id are
@@ -34,12 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import mapped, staged
-from quire.llm.recompress import Hashes, Records, batch_hashes, mix, records
+from quire.llm.recompress import batch_names, records
 
 WINDOW = 50
-#: A place: first window << 32 | tag of the text << 8 | windows. The tag tells rows of one doc_id apart.
-TAG_BITS = 24
+#: A place is the first window << 8 | number of windows.
+COUNT = 255
 BATCH_BYTES = 3 << 19
+PLACES = "array<struct<name: bigint, first_doc: bigint, place: bigint>>"
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -59,127 +65,126 @@ def _pieces(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, list[bytes]
         yield first, held
 
 
-def _tag(text: str) -> str:
-    return f"(xxhash64({text}) & {(1 << TAG_BITS) - 1}L)"
-
-
-def window_records(documents: DataFrame, window: int) -> DataFrame:
-    """doc_id, tag, text -> name, extent, doc_id, place."""
+def window_records(numbered: DataFrame, window: int, name_bits: int = 64) -> DataFrame:
+    """row, doc_id, text -> name, row, doc_id, place: the anchors of all windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            rows, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for row, texts in _pieces(batch, 2):
-                hashes, ends = batch_hashes(texts)
-                got: Records = records(hashes, ends, window)
+                names, ends = batch_names(texts, name_bits)
+                got = records(names, ends, window)
                 which = np.searchsorted(ends, got.first, side="right")
-                begin = np.r_[0, ends][which]
-                place = (got.first - begin) << 32 | tags[row + which] << 8 | got.count
-                columns = [got.name.view(np.int64), got.extent.view(np.int64), ids[row + which], place]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "extent", "doc_id", "place"])
+                place = (got.first - np.r_[0, ends][which]) << 8 | got.count
+                name = got.name & np.uint64((1 << name_bits) - 1)
+                columns = [name.view(np.int64), rows[row + which], ids[row + which], place]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "row", "doc_id", "place"])
 
-    return mapped(documents.where("doc_id is not null and text is not null"), run, "name long, extent long, doc_id long, place long")
+    rows = numbered.where("doc_id is not null and text is not null").select("row", "doc_id", "text")
+    return mapped(rows, run, "name long, row long, doc_id long, place long")
 
 
 def _cover(n: int, places: list[int], window: int) -> np.ndarray:
     """Words covered by the windows of places."""
     edge = np.zeros(n + 1, np.int64)
     for p in places:
-        first, count = p >> 32, p & 255
+        first, count = p >> 8, p & COUNT
         edge[first] += 1
         edge[min(n, first + count - 1 + window)] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
-def _digest(words: list[bytes], gone: np.ndarray) -> tuple[int, str]:
-    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-    return len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
-
-
 def _judge(rows: DataFrame, window: int) -> DataFrame:
-    """doc_id, tag, text, found (places of repeats), open (places to look into) -> results.
-
-    Rows with open places keep what they need for a second look.
-    """
+    """doc_id, text, found (places of repeats) -> doc_id, n_words, n_removed, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "tag", "n_words", "n_removed", "kept_sha256", "text", "found", "open"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.struct([("name", pa.int64()), ("place", pa.int64())]))]
         for batch in batches:
             out = []
-            for doc, tag, text, found, still in zip(*batch.columns, strict=True):
-                words, more = _words(text.as_py()), still.as_py()
-                if more:
-                    out.append((doc.as_py(), tag.as_py(), len(words), None, None, text.as_py(), found.as_py() or [], more))
-                else:
-                    gone = _cover(len(words), found.as_py() or [], window)
-                    out.append((doc.as_py(), tag.as_py(), len(words), *_digest(words, gone), None, None, None))
+            for text, found in zip(batch.column(1), batch.column(2), strict=True):
+                words, places = _words(text.as_py()), found.as_py()
+                kept = words
+                if places:
+                    gone = _cover(len(words), places, window)
+                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*out, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return mapped(rows.select("doc_id", "text", "found"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
-    return mapped(rows.select("doc_id", "tag", "text", "found", "open"), 
-        run, "doc_id long, tag long, n_words long, n_removed long, kept_sha256 string, text string, found array<long>, open array<struct<name: long, place: long>>",
-    )
 
+def _digests(rows: DataFrame, window: int, column: str, each_window: bool) -> DataFrame:
+    """row, doc_id, text, ``column`` of places -> name, first_doc, row, doc_id, place and the digest of its words.
 
-def _open_windows(rows: DataFrame, window: int) -> DataFrame:
-    """Each window of the open places: name, hash, doc_id, place (of this window alone)."""
+    The digest covers the whole extent of a place, or with ``each_window`` each window of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = hashlib.blake2b
         for batch in batches:
-            ids, tags = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for row, texts in _pieces(batch, 2):
-                words, ends = batch_hashes(texts)
-                begin = np.r_[0, ends][:-1]
-                hashes = Hashes(words)
-                still = batch.column(3).slice(row, len(texts))
-                doc = np.repeat(np.arange(len(texts)), still.value_lengths().to_numpy(zero_copy_only=False))
-                names, places = (still.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("name", "place"))
-                count = places & 255
+            lists = batch.column(3)
+            keys = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)) for k in (0, 1)]
+            names, firsts, places = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("name", "first_doc", "place"))
+            if each_window:
+                count = places & COUNT
                 within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                doc, first = np.repeat(doc, count), np.repeat(places >> 32, count) + within
-                at = begin[doc] + first
-                digest = mix(hashes.of(at, at + window)).view(np.int64)
-                columns = [np.repeat(names, count), digest, ids[row + doc], first << 32 | tags[row + doc] << 8 | 1]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "hash", "doc_id", "place"])
-
-    return mapped(rows.select("doc_id", "tag", "text", "open"), run, "name long, hash long, doc_id long, place long")
-
-
-TAG_OF_PLACE = f"(shiftright(place, 8) & {(1 << TAG_BITS) - 1}L)"
-
-
-def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+            found, at = [], 0
+            for text, listed in zip(batch.column(2), lists, strict=True):
+                words = _words(text.as_py())
+                joined = b" ".join(words)
+                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                begins = np.r_[0, ends[:-1] + 1]
+                here = places[at : at + len(listed)]
+                first, size = here >> 8, (here & COUNT) - 1 + window
+                if each_window:
+                    own = count[at : at + len(listed)]
+                    done = int(count[:at].sum()) if at else 0
+                    first, size = np.repeat(first, own) + within[done : done + int(own.sum())], window
+                spans = zip(begins[first].tolist(), ends[first + size - 1].tolist(), strict=True)
+                found += [digest(joined[a:b], digest_size=16).digest() for a, b in spans]
+                at += len(listed)
+            halves = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+            if each_window:
+                keys = [np.repeat(k, count) for k in keys]
+                names, firsts, places = np.repeat(names, count), np.repeat(firsts, count), (np.repeat(places >> 8, count) + within) << 8 | 1
+            columns = [names, firsts, *keys, places, halves[:, 0].copy(), halves[:, 1].copy()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["name", "first_doc", "row", "doc_id", "place", "x", "y"])
+
+    schema = "name long, first_doc long, row long, doc_id long, place long, x long, y long"
+    return mapped(rows.select("row", "doc_id", "text", column), run, schema)
+
+
+def _numbered(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    docs = documents.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
+    return staged(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
+def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, name_bits: int = 64) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
-    if not 1 <= window <= 255:
+    if not 1 <= window <= COUNT:
         raise ValueError("a window has 1 to 255 words")
-    docs = documents.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"{_tag(f'`{text}`')} tag", f"`{text}` text")
-    found = window_records(docs, window)
-    shared = found.groupBy("name").agg(
-        F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), F.min("extent").alias("e0"), F.max("extent").alias("e1")
-    )
-    shared = staged(shared.where("d0 < d1").selectExpr("name", "d0", "e0 <> e1 mixed"), "names")
-    near = staged(found.join(shared, "name"), "records")
-    whole = near.where("not mixed and doc_id > d0").selectExpr("doc_id", "place", "cast(null as long) name")
-    mixed = near.where("mixed")
-    # Staged, so that the join below has its own exchange on either side, which AQE can split.
-    firsts = staged(mixed.groupBy("name", "extent").agg(F.min("doc_id").alias("first")), "firsts")
-    mixed = mixed.join(firsts, ["name", "extent"])
-    again = mixed.selectExpr("doc_id", "place", "case when doc_id = first then name end name")
-    ranges = whole.unionByName(again).groupBy("doc_id", F.expr(TAG_OF_PLACE).alias("tag")).agg(
-        F.expr("collect_list(place) filter (where name is null)").alias("found"),
-        F.expr("collect_list(struct(name, place)) filter (where name is not null)").alias("open"),
-    )
-    judged = staged(_judge(docs.join(ranges, ["doc_id", "tag"], "left"), window), "judged")
-    done = judged.where("kept_sha256 is not null").select("doc_id", "n_words", "n_removed", "kept_sha256")
-    left = judged.where("kept_sha256 is null").select("doc_id", "tag", "text", "found", "open")
-    windows = staged(_open_windows(left, window), "windows")
-    least = windows.groupBy("name", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    least = staged(least.where("first < last").drop("last"), "least")
-    late = windows.join(least, ["name", "hash"]).where("doc_id > first")
-    late = late.groupBy("doc_id", F.expr(TAG_OF_PLACE).alias("tag")).agg(F.collect_list("place").alias("more"))
-    rest = left.join(late, ["doc_id", "tag"], "left").selectExpr(
-        "doc_id", "tag", "text", "concat(found, coalesce(more, array())) found",
-        "cast(null as array<struct<name: bigint, place: bigint>>) open",
-    )
-    return done.unionByName(_judge(rest, window).select(*done.columns))
+    docs = _numbered(documents, doc_id, text)
+    # Round 1: names that two or more documents share.
+    found = staged(window_records(docs, window, name_bits), "records")
+    shared = found.groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    shared = staged(shared.where("first_doc < last_doc").select("name", "first_doc"), "names")
+    look = found.join(shared, "name").groupBy("row").agg(F.expr("collect_list(struct(name, first_doc, place))").alias("look"))
+    dealt = staged(docs.join(look, "row", "left"), "dealt")
+    left = dealt.where("look is not null")
+    # Round 2: the first document of each extent.
+    extents = staged(_digests(left, window, "look", False), "extents")
+    first = staged(extents.groupBy("x", "y").agg(F.min("doc_id").alias("least")), "firsts")
+    extents = staged(extents.join(first, ["x", "y"]).drop("x", "y"), "judged")
+    whole = extents.where("doc_id > least").select("row", "place")
+    # Round 3: windows under names whose extents differ, once for each extent.
+    firsts = extents.where("doc_id = least")
+    names = staged(firsts.where("doc_id > first_doc").select("name").distinct(), "open")
+    opened = firsts.join(names, "name", "left_semi").groupBy("row").agg(F.expr("collect_list(struct(name, first_doc, place))").alias("open"))
+    windows = staged(_digests(left.drop("look").join(opened, "row"), window, "open", True), "windows")
+    least = windows.groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
+    least = staged(least.where("least < last").drop("last"), "least")
+    late = windows.join(least, ["x", "y"]).where("doc_id > least").select("row", "place")
+    gone = whole.unionByName(late).groupBy("row").agg(F.collect_list("place").alias("found"))
+    none = dealt.where("look is null").selectExpr("doc_id", "text", "cast(null as array<bigint>) found")
+    some = left.join(gone, "row", "left").select("doc_id", "text", "found")
+    return _judge(none.unionByName(some), window)

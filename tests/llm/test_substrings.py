@@ -40,8 +40,8 @@ def corpus(rng, n, passages, vocab):
     return docs
 
 
-def run(documents, docs, window):
-    return sorted((str(r[0]), *tuple(r)[1:]) for r in substrings.remove_repeats(documents(docs), window=window).collect())
+def run(documents, docs, window, **options):
+    return sorted((str(r[0]), *tuple(r)[1:]) for r in substrings.remove_repeats(documents(docs), window=window, **options).collect())
 
 
 def test_matches_brute_force(documents):
@@ -53,6 +53,46 @@ def test_matches_brute_force(documents):
         assert run(documents, docs, window) == brute(docs, window), window
 
 
+def test_names_that_collide(documents):
+    rng = random.Random(6)
+    passages = [[f"p{rng.randrange(90)}" for _ in range(80)] for _ in range(3)]
+    docs = corpus(rng, 50, passages, 400)
+    for bits in (1, 3, 64):
+        assert run(documents, docs, 20, name_bits=bits) == brute(docs, 20), bits
+
+
+def test_long_words_of_like_structure(documents):
+    """Thue-Morse words, which polynomial hashes modulo a power of two cannot tell apart."""
+    rest = [f"w{k}" for k in range(49)]
+    for size in (1024, 4096):
+        bits = [bin(k).count("1") & 1 for k in range(size)]
+        words = ["".join("ab"[b ^ flip] for b in bits) for flip in (0, 1)]
+        docs = [(k, " ".join([*rest[:20], w, *rest[20:]])) for k, w in enumerate(words)]
+        assert [r[2] for r in run(documents, docs, 50)] == [0, 0]
+
+
+def test_rows_of_one_id_keep_their_own_ranges(documents):
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(70)]
+    docs = [(1, " ".join(passage))]
+    for k in range(120):  # one doc_id, long and short texts, ranges at different places
+        words = [f"w{rng.randrange(9999)}" for _ in range(rng.randrange(400) if k % 2 else 3)]
+        docs.append((7, " ".join([*words, *passage[: rng.randrange(40, 70)]])))
+    docs += [(7, None), (7, ""), docs[5]]
+    assert run(documents, docs, 50) == brute(docs, 50)
+
+
+def test_word_names():
+    rng = random.Random(2)
+    words = [bytes(rng.choice(b"abcdefgh\xc3\xa9") for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    words += [b"a" * k for k in range(1, 40)] + [b"\0" * k for k in range(1, 20)]
+    raw = b" \n".join(words)
+    names, places = recompress.word_names(raw)
+    assert [raw[p : p + len(w)] for p, w in zip(places.tolist(), words, strict=True)] == words
+    assert len(set(names.tolist())) == len(set(words)) == len(set(zip(words, names.tolist(), strict=True)))
+    assert recompress.word_names(b"")[0].size == 0 and recompress.word_names(b"x" * (1 << 20))[0].size == 1
+
+
 def test_empty_and_short(documents):
     assert run(documents, [], 50) == []
     assert run(documents, [(1, "a b"), (2, "a b")], 50) == brute([(1, "a b"), (2, "a b")], 50)
