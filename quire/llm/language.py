@@ -4,7 +4,7 @@ Letters are lower-cased, everything else is a space; n-grams of one to three cha
 to 2**16 numbers. Document frequencies cover all texts that may be learnt from (one row per task
 and number is summed). The regression is trained on the driver with follow-the-regularised-leader
 and elastic-net penalties, on at most about ``per_class`` texts of each language, chosen by a hash
-of doc_id; a part of them is kept for the temperature that calibrates the scores. Prediction is
+of doc_id and text; a part of them is kept for the temperature that calibrates the scores. Prediction is
 one map over whole texts, without a shuffle.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; with no labelled
@@ -49,26 +49,30 @@ def _hashed(code: np.ndarray) -> np.ndarray:
     return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def n_grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, counts) of a text's n-grams; both empty if it has no letter."""
+def n_grams(text: str | None, part: int = PART) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, counts) of a text's n-grams; both empty if it has no letter. ``part`` characters
+    are counted at a time, which does not change the result."""
     total = np.zeros(SIZE, np.int64)
-    text = text or ""
+    text = (text or "").lower()  # as a whole: some letters lower by their neighbours
     seen = False
-    for at in range(0, len(text), PART):
-        # Two characters of the part before, so that no n-gram is lost at a cut.
-        part = text[max(0, at - 2) : at + PART].lower()
-        code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space, shift = np.uint64(32), np.uint64(21)
+    tail = np.full(1, space)  # the last two characters before the part; a text begins and ends with a space
+    for at in range(0, len(text), part):
+        code = np.frombuffer(text[at : at + part].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters()[code]
         seen = seen or bool(letter.any())
         code = np.where(letter, code, np.uint32(32)).astype(np.uint64)
-        code = np.r_[np.uint64(32), code, np.uint64(32)]
-        keep = np.r_[True, (code[1:] != 32) | (code[:-1] != 32)]
-        code = code[keep]
-        one = code[code != 32]
-        two = (code[:-1] << np.uint64(21)) | code[1:]
-        three = (two[:-1] << np.uint64(21)) | code[2:]
+        if at + part >= len(text):
+            code = np.r_[code, space]
+        code = code[(code != space) | (np.r_[tail[-1], code[:-1]] != space)]
+        one = code[code != space]
+        code = np.r_[tail, code]
+        two = (code[:-1] << shift) | code[1:]
+        three = (two[:-1] << shift) | code[2:]
+        two = two[len(tail) - 1 :]  # those that the part before has not counted
         marks = [_hashed(g + np.uint64(k * 0x5851F42D)) for k, g in enumerate((one, two, three))]
         total += np.bincount(np.concatenate(marks), minlength=SIZE)
+        tail = code[-2:]
     if not seen:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     numbers = np.flatnonzero(total)
@@ -172,10 +176,11 @@ def fit_language(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "t
         return Model([], np.ones(SIZE), np.zeros((SIZE + 1, 0)), 1.0)
     df, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + df)) + 1
-    part = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11) / F.lit(float(1 << 53))
+    # By id and text: however many texts an id has, the share that is chosen is near the rate.
+    part = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id", "text"), 11) / F.lit(float(1 << 53))
     rate = F.create_map(*[F.lit(x) for name, k in sorted(count.items()) for x in (name, min(1.0, per_class / k))])
-    # Repeated texts are one example; the limit is only met if one id has very many texts.
-    chosen = rows.where(part < F.element_at(rate, F.col("lang"))).select("text", "lang").distinct().limit(2 * per_class * len(count))
+    # Repeated texts are one example.
+    chosen = rows.where(part < F.element_at(rate, F.col("lang"))).select("text", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

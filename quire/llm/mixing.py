@@ -8,7 +8,8 @@ document list is collected. A rerun gives the same mix.
 
 Defined cases: a null text has size 0; null sources form one source, ordered last; sources without
 any word have target 0; rows that repeat a whole document share a hash and are taken or left
-together; an empty table gives an empty result; only the named columns are read, so extra columns
+together; documents without a word get no copy beyond the full ones; no document is taken more
+than ``max_repeat`` times; an empty table gives an empty result; only the named columns are read, so extra columns
 never clash.
 """
 
@@ -130,22 +131,37 @@ def mix_plan(
     return sized, thresholds(sized, source_targets(totals, weights, max_repeat))
 
 
-def mix_report(documents: DataFrame, **options) -> DataFrame:
+def _copies(full: Column, below: Column, size: Column, h: Column, max_repeat: float) -> Column:
+    """How often a document is taken: ``full`` times, and once more below the threshold."""
+    more = (h < below) & (size > 0) & (full < F.lit(max_repeat))
+    return full + more.cast("long")
+
+
+def mix_report(documents: DataFrame, *, max_repeat: int = 3, **options) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    sized, limits = mix_plan(documents, **options)
+    sized, limits = mix_plan(documents, max_repeat=max_repeat, **options)
     to = limits.withColumnRenamed("source", "s")
-    copies = F.col("full") + (F.col("h") < F.col("below")).cast("long")
+    copies = _copies(F.col("full"), F.col("below"), F.col("size"), F.col("h"), max_repeat)
     return sized.join(to, F.col("source").eqNullSafe(F.col("s"))).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken")
     )
 
 
-def mix(documents: DataFrame, *, seed: int = 42, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mix(
+    documents: DataFrame,
+    *,
+    max_repeat: int = 3,
+    seed: int = 42,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    **options,
+) -> DataFrame:
     """The mixed documents: each row as often as the mix takes it, with its own columns."""
-    _, limits = mix_plan(documents, seed=seed, doc_id=doc_id, text=text, source=source, **options)
+    _, limits = mix_plan(documents, max_repeat=max_repeat, seed=seed, doc_id=doc_id, text=text, source=source, **options)
     s, full, below, copy = own_name(documents, "mix_source", "mix_full", "mix_below", "mix_copy")
     to = limits.select(F.col("source").alias(s), F.col("full").alias(full), F.col("below").alias(below))
-    copies = F.col(full) + (_hash(F.col(doc_id), F.col(text), seed) < F.col(below)).cast("long")
+    copies = _copies(F.col(full), F.col(below), word_count(F.col(text)), _hash(F.col(doc_id), F.col(text), seed), max_repeat)
     joined = documents.join(to, F.col(source).eqNullSafe(F.col(s)))
     out = joined.withColumn(copy, copies).where(F.col(copy) > 0)
     out = out.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy))))

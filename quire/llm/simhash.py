@@ -3,14 +3,14 @@
 Two fingerprints at 3 or fewer differing bits: cut the 64 bits into three blocks; unless the
 fingerprints are equal, some block holds a difference, and without that block at most 2 differing
 bits are left. So every distinct fingerprint emits, for each block left out, all variants of the
-remaining bits within half that distance (itself and each single flip: 132 variants in all). Two
+remaining bits within half that distance (itself and each single flip: 131 variants in all). Two
 linked fingerprints meet at one variant at least. Rows are dealt by variant, sorted, and the pairs
 that meet are verified on all 64 bits.
 
 Equal fingerprints are grouped before anything is emitted, so a group of exact copies costs one
 fingerprint however large it is. Inside a variant's group no pairs are listed: each member is
-compared once with the members not yet reached, and only links that join two components of the
-partition leave the task. Components are then found by alternating large-star and small-star
+compared once with the members not yet reached, and only links that join two components of what
+the task remembers (a bounded number of fingerprints) leave it. Components are then found by alternating large-star and small-star
 rounds over staged tables; no link, label or fingerprint list goes to the driver.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import mapped, own_name, staged
+from quire.llm.common import mapped, own_name, release, staged
 
 RADIUS = 3
 #: Bits of the three blocks, lowest first.
@@ -90,10 +90,14 @@ def _variants(fp: str) -> str:
 
 
 class _Forest:
-    """Union-find over the fingerprints of one task; says whether a link joins two components."""
+    """Union-find over fingerprints of one task; says whether a link joins two components.
 
-    def __init__(self) -> None:
+    It forgets all when it holds ``most``; what it then lets through again costs rows, not results.
+    """
+
+    def __init__(self, most: int = 1 << 20) -> None:
         self.up: dict[int, int] = {}
+        self.most = most
 
     def root(self, x: int) -> int:
         up = self.up
@@ -109,6 +113,9 @@ class _Forest:
         a, b = self.root(x), self.root(y)
         if a == b:
             return False
+        if len(self.up) >= self.most:
+            self.up.clear()
+            a, b = x, y
         self.up[max(a, b)] = min(a, b)
         self.up.setdefault(min(a, b), min(a, b))
         return True
@@ -193,7 +200,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v")
         small = small.selectExpr("m u", "v").unionByName(small.where("u <> m").selectExpr("m u", "u v"))
-        now = staged(small.where("u <> v").distinct(), "star")
+        before, now = now, staged(small.where("u <> v").distinct(), "star")
+        release(before, large)
         seen = tuple(now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
         if seen == mark or not seen[0]:
             break
@@ -225,18 +233,17 @@ def near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
 def drop_near_duplicates(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id (null if all are).
 
-    If several rows of a component carry that doc_id, one of them stays.
+    If several rows of a component carry that doc_id, one of them stays. Rows are numbered and staged
+    once with their fingerprints; the numbers of those that go are a staged table of their own, so
+    Spark broadcasts them only if that table is small, and deals the texts only if it is not.
     """
-    fp, fp2, label, first = own_name(documents, "near_fp", "near_fp2", "near_label", "near_first")
-    marked = with_fingerprints(documents, text, fp, shingle)
-    prints = staged(marked.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(fp).alias("fp")), "prints")
+    fp, row = own_name(documents, "near_fp", "near_row")
+    marked = with_fingerprints(documents.withColumn(row, F.monotonically_increasing_id()), text, fp, shingle)
+    marked = staged(marked, "marked")
+    prints = marked.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
     table = staged(component_table(prints, "doc_id", "fp"), "classes")
-    stay = prints.join(table, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = stay.groupBy("label", "component_id").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("rows"))
-    chosen = staged(chosen, "stay")
-    to = chosen.select(F.col("fp").alias(fp2), F.col("label").alias(label), F.col("component_id").alias(first))
-    kept = marked.join(to, (F.col(fp) == F.col(fp2)) & F.col(doc_id).cast("long").eqNullSafe(F.col(first)))
-    # Rows that share the id: either the fingerprint too, or each its own.
-    if (chosen.agg(F.max("rows")).first()[0] or 0) > 1:
-        kept = kept.dropDuplicates([label])
-    return kept.select(*documents.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    labelled = staged(prints.join(table, "fp").select("label", "doc_id", "row"), "labelled")
+    stay = labelled.groupBy("label").agg(first.alias("first")).select("first.row")
+    gone = staged(labelled.select("row").join(stay, "row", "left_anti"), "gone")
+    return marked.join(gone.withColumnRenamed("row", row), row, "left_anti").select(*documents.columns)

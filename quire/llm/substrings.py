@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import mapped, staged
+from quire.llm.common import mapped, release, staged
 from quire.llm.recompress import batch_names, records
 
 WINDOW = 50
@@ -170,6 +170,7 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     shared = staged(shared.where("first_doc < last_doc").select("name", "first_doc"), "names")
     look = found.join(shared, "name").groupBy("row").agg(F.expr("collect_list(struct(name, first_doc, place))").alias("look"))
     dealt = staged(docs.join(look, "row", "left"), "dealt")
+    release(found, shared)
     left = dealt.where("look is not null")
     # Round 2: the first document of each extent.
     extents = staged(_digests(left, window, "look", False), "extents")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import files
 from quire.llm.common import fresh_dir, mapped, staged, worker_state
-from quire.llm.pretokens import PATTERN, Cache, Coder, pieces
+from quire.llm.pretokens import PATTERN, Cache, Coder, load, pieces
 from quire.llm.rans import Model, block_size, decode_block, encode_block
 
 HEADER = struct.Struct("<4sHHI")
@@ -62,7 +62,7 @@ class _Ids:
 
 def encode_ids(documents: DataFrame, path: str, *, doc_id: str, text: str, end_id: int, width: int) -> DataFrame:
     """doc_id, ids, counts: one row per document, dealt and sorted by doc_id; behind the documents
-    of a task one row with only the counts of its symbols (pairs of uint32: symbol, count)."""
+    of a task one row with only the counts of its symbols (pairs of int64: symbol, count)."""
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
     # The other two keys let a range end inside one doc_id, however many rows repeat it.
@@ -83,7 +83,7 @@ def encode_ids(documents: DataFrame, path: str, *, doc_id: str, text: str, end_i
                 seen[: len(found)] += found
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(got, pa.binary()), pa.nulls(len(got), pa.binary())], names=names)
         if (at := np.flatnonzero(seen)).size:
-            pairs = np.stack([at, seen[at]], axis=1).astype("<u4").tobytes()
+            pairs = np.stack([at, seen[at]], axis=1).astype("<i8").tobytes()
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())], names=names)
 
     return mapped(rows, run, "doc_id long, ids binary, counts binary")
@@ -96,7 +96,7 @@ def symbol_counts(ids: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for v in batch.column(0):
-                symbol, n = np.frombuffer(v.as_py(), "<u4").reshape(-1, 2).T
+                symbol, n = np.frombuffer(v.as_py(), "<i8").reshape(-1, 2).T
                 total[symbol] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["s", "n"])
@@ -179,13 +179,17 @@ def write_tokens(
     doc_id: str = "doc_id",
     text: str = "text",
     end_id: int = END_ID,
-    vocabulary: int = 50257,
+    vocabulary: int | None = None,
     segment: int = 1 << 20,
     block: int = 1 << 19,
     folder: str | None = None,
 ) -> tuple[DataFrame, str]:
-    """Write the files; (manifest ``part, uri, docs, symbols, start``, uri of the frequency table)."""
+    """Write the files; (manifest ``part, uri, docs, symbols, start``, uri of the frequency table).
+
+    ``vocabulary`` bounds the ids; without it, the tokenizer's own greatest id does.
+    """
     spark = documents.sparkSession
+    vocabulary = max(vocabulary or 1 + max(load(path).get_vocab(True).values(), default=0), end_id + 1)
     folder = folder or fresh_dir(spark, "tokens")
     width = 2 if vocabulary <= 1 << 16 else 4
     raw = fresh_dir(spark, "ids")

@@ -7,7 +7,8 @@ the score little and neutral mentions of a group are not taken for toxicity.
 
 The classifier is fitted on the driver from at most about ``per_class`` labelled texts of each
 class, chosen by a hash of doc_id; class counts cover all labels. Only the chosen texts' feature
-numbers leave the executors. The list of chosen ids that is broadcast has the same bound. Scoring
+numbers leave the executors. The list of chosen ids that is broadcast has the same bound; where ids
+have so many texts that twice as many rows are found, a hash of the text chooses among them. Scoring
 is one map over whole texts without a shuffle.
 
 Defined cases: null and empty texts get the score of a text without words; labels with a null
@@ -140,8 +141,11 @@ def _examples(documents: DataFrame, chosen: DataFrame, doc_id: str, text: str, m
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(others, pa.binary()), batch.column(1)], names=["own", "other", "toxic"])
 
     rows = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    # Repeated documents are one example; the limit is only met if one id has very many texts.
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct().limit(most)
+    rows = rows.join(F.broadcast(chosen), "doc_id")
+    # Only if an id has very many texts, more rows are found than ids were chosen.
+    if (n := rows.count()) > most:
+        rows = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(8), "text"), 11) / F.lit(float(1 << 53)) < most / n)
+    rows = rows.select("text", "toxic").distinct()  # repeated documents are one example
     found = mapped(rows, run, "own binary, other binary, toxic int").collect()
     found.sort(key=lambda r: (r["toxic"], r["own"]))  # the order of rows is not fixed, the model is
     load = lambda raw: None if raw is None else np.frombuffer(raw, np.int32)

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 
 from quire.llm import language, toxicity
+from quire.llm.ftrl import FTRL
 
 LETTERS = {"en": "etaoinshrdlu", "de": "enisratdhulcäöü", "fr": "esaitnrulodcéè"}
 
@@ -50,12 +52,98 @@ def test_temperature_calibrates():
     assert language._temperature(truth * 5, labels) == pytest.approx(5, rel=0.2)
 
 
-def test_ngrams_do_not_depend_on_parts(monkeypatch):
-    text = "Der schnelle, braune Fuchs 12 ä " * 40
-    whole = language.n_grams(text)
-    monkeypatch.setattr(language, "PART", 64)
-    cut = language.n_grams(text)
-    assert set(whole[0]) <= set(cut[0])
+def brute_ngrams(text):
+    """Plain counts of hashed n-grams of one to three characters."""
+    out = {}
+    chars = "".join(c if c.isalpha() else " " for c in text.lower())
+    if not chars.strip():
+        return {}
+    chars = f" {' '.join(chars.split())} "
+    for size in (1, 2, 3):
+        for i in range(len(chars) - size + 1):
+            gram = chars[i : i + size]
+            if gram == " ":
+                continue
+            code = 0
+            for c in gram:
+                code = code << 21 | ord(c)
+            number = ((code + (size - 1) * 0x5851F42D) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 48
+            out[number] = out.get(number, 0) + 1
+    return out
+
+
+def test_ngrams_do_not_depend_on_parts():
+    rng = random.Random(7)
+    texts = ["Der schnelle, braune Fuchs 12 ä " * 9, "a", " a", "a ", "12 3", "ΑΣ ΑΣΑ İx", "  x  " * 20, "\ud800 é", "日本語 text"]
+    texts += ["".join(rng.choice(["a", "É", " ", "1", "日"]) for _ in range(rng.randrange(60))) for _ in range(60)]
+    for text in texts:
+        for part in (1, 2, 3, 7, 64, 1 << 18):
+            numbers, counts = language.n_grams(text, part)
+            assert dict(zip(numbers.tolist(), counts.tolist(), strict=True)) == brute_ngrams(text), (text, part)
+
+
+def plain_ftrl(rows, classes, epochs_order, alpha, l1, l2, beta=1.0):
+    """Follow the regularised leader, one number at a time, as the published algorithm has it."""
+    z, n = {}, {}
+
+    def weight(key):
+        zk = z.get(key, 0.0)
+        if abs(zk) <= l1:
+            return 0.0
+        return ((l1 if zk > 0 else -l1) - zk) / ((beta + math.sqrt(n.get(key, 0.0))) / alpha + l2)
+
+    for k in epochs_order:
+        at, x, label = rows[k]
+        w = {(i, c): weight((i, c)) for i in at for c in range(classes)}
+        logits = [sum(v * w[i, c] for i, v in zip(at, x, strict=True)) for c in range(classes)]
+        top = max(logits)
+        e = [math.exp(v - top) for v in logits]
+        for c in range(classes):
+            gap = e[c] / sum(e) - (c == label)
+            for i, v in zip(at, x, strict=True):
+                g, old = v * gap, n.get((i, c), 0.0)
+                z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[i, c]
+                n[i, c] = old + g * g
+    return weight
+
+
+def test_ftrl_matches_a_plain_loop():
+    rng = np.random.default_rng(5)
+    rows = [(sorted(rng.choice(30, 6, replace=False).tolist()), rng.random(6).tolist(), int(rng.integers(3))) for _ in range(200)]
+    order = [int(k) for _ in range(2) for k in rng.permutation(200)]
+    for alpha, l1, l2 in ((0.5, 0.1, 0.1), (2.0, 1.0, 0.0), (1.0, 0.0, 1.0)):
+        fit = FTRL(30, 3, alpha=alpha, l1=l1, l2=l2)
+        for k in order:
+            at, x, label = np.array(rows[k][0]), np.array(rows[k][1]), rows[k][2]
+            w = fit.weights(at)
+            gap = language._softmax(x @ w)
+            gap[label] -= 1
+            fit.step(at, x[:, None] * gap, w)
+        weight = plain_ftrl(rows, 3, order, alpha, l1, l2)
+        want = np.array([[weight((i, c)) for c in range(3)] for i in range(30)])
+        assert np.allclose(fit.weights(), want, atol=1e-9)
+        assert ((fit.weights() == 0) == (want == 0)).all()
+
+
+def test_predictions_match_a_plain_loop(documents):
+    """Scores of the query against softmax and TF-IDF written out."""
+    rng = random.Random(11)
+    rows = [(i, prose(rng, lang, rng.randrange(5, 40)), lang) for i in range(120) for lang in [rng.choice(list(LETTERS))]]
+    table = documents(rows)
+    model = language.fit_language(table)
+    got = {r.doc_id: r for r in language.languages(table).collect()}
+    df, learnt = {}, [t for i, t, _ in rows if held(i, 5)]
+    for t in learnt:
+        for k in brute_ngrams(t):
+            df[k] = df.get(k, 0) + 1
+    for i, text, _ in rows:
+        grams = brute_ngrams(text)
+        x = {k: (1 + math.log(c)) * (math.log((1 + len(learnt)) / (1 + df.get(k, 0))) + 1) for k, c in grams.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        logits = [sum(v / norm * model.weights[k, c] for k, v in x.items()) + model.weights[-1, c] for c in range(3)]
+        e = [math.exp((v - max(logits)) / model.temperature) for v in logits]
+        best = max(range(3), key=lambda c: e[c])
+        assert got[i].lang_pred == model.languages[best] and got[i].score == pytest.approx(e[best] / sum(e))
 
 
 def toxic_rows(rng, n):
@@ -110,6 +198,29 @@ def test_counterfactuals_lower_the_weight_of_identity_terms():
     assert weight(fair, "scum") > 2
 
 
+def test_toxicity_scores_match_a_plain_loop(documents, spark):
+    rows, labels = toxic_rows(random.Random(8), 300)
+    rows += [(5000, None), (5001, ""), (5002, "Idiot! idiot idiot")]
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    table = documents(rows)
+    model = toxicity.fit_toxicity(table, marks)
+    for r in toxicity.toxicity(table, marks).collect():
+        words = set("".join(c if c.isalpha() else " " for c in (dict(rows)[r.doc_id] or "").lower()).split())
+        numbers = {k for w in words for k in toxicity.word_features(w)}
+        want = 1 / (1 + math.exp(-(sum(model.weights[k] for k in numbers) + model.constant)))
+        assert r.score == pytest.approx(want)
+
+
+def test_an_id_with_very_many_texts_stays_within_the_bound(documents, spark):
+    rng = random.Random(1)
+    rows = [(1, prose(rng, "en", 9)) for _ in range(400)] + [(i, prose(rng, "en", 9)) for i in range(2, 40)]
+    marks = spark.createDataFrame([(i, 0, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    chosen = marks.select("doc_id", "toxic")
+    got = toxicity._examples(documents(rows), chosen, "doc_id", "text", 60)
+    assert 20 < len(got) < 110
+    assert len(toxicity._examples(documents(rows), chosen, "doc_id", "text", 1000)) > 400
+
+
 def test_toxicity_without_labels(documents, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(documents([(1, "a"), (2, None)]), none).collect()

@@ -50,6 +50,50 @@ def test_verdicts(documents):
     assert got[2].n_chunks == sum(2 * len(raw[i : i + 8192]) >= 8192 for i in range(0, len(raw), 8192))
 
 
+def brute_verdict(text, bands):
+    """The rule of the bands written out, without the operator's single pass."""
+    n, _, _, _, again = brute(text)
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if n < bands.min_words or 100 * again > bands.max_repeat_percent * n:
+        return False, None if not raw else len(zstandard.ZstdCompressor(level=bands.level, write_checksum=False).compress(raw)) / len(raw)
+    pack = lambda part: len(zstandard.ZstdCompressor(level=bands.level, write_checksum=False).compress(part)) / len(part)
+
+    def inside(part):
+        low, high = [(lo, hi) for most, lo, hi in bands.limits if len(part) <= most][0]
+        return low <= pack(part) <= high + bands.script_room * sum(b > 127 for b in part) / len(part)
+
+    size, ok = bands.chunk_bytes, inside(raw)
+    if len(raw) > size:
+        chunks = [raw[i : i + size] for i in range(0, len(raw), size)]
+        if 2 * len(chunks[-1]) < size:
+            tail = max(len(chunks.pop()), min(bands.min_tail, len(raw)))
+            ok = ok and inside(raw[-tail:])
+        bad = [not bands.chunk_limits[0] <= pack(c) <= bands.chunk_limits[1] for c in chunks]
+        ok = ok and sum(bad) <= bands.max_bad_share * len(bad) and sum(bad) <= bands.max_bad_chunks
+        ok = ok and not any(a and b for a, b in zip(bad, bad[1:], strict=False))
+    return ok, pack(raw)
+
+
+def test_verdicts_match_brute_force(documents):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("etaoinshrdlué日") for _ in range(rng.randrange(2, 9))) for _ in range(500)]
+    piece = [
+        lambda k: " ".join(rng.choice(vocab) for _ in range(k)),
+        lambda k: " ".join(f"{rng.randrange(9)}" for _ in range(k)),
+        lambda k: base64.encodebytes(rng.randbytes(4 * k)).decode(),
+        lambda k: "same " * k,
+    ]
+    rows = [(i, " ".join(rng.choice(piece)(rng.randrange(1, 120)) for _ in range(rng.randrange(1, 9)))) for i in range(150)]
+    rows += [(900, None), (901, ""), (902, " ")]
+    small = Bands(chunk_bytes=256, chunk_limits=(0.2, 0.72), min_tail=64, max_repeat_percent=80, min_words=20)
+    for bands in (small, Bands()):
+        got = {r.doc_id: r for r in compression.compression_bands(documents(rows), bands).collect()}
+        want = {i: brute_verdict(t, bands) for i, t in rows}
+        assert {i: (r.kept, r.ratio) for i, r in got.items()} == want
+    seen = [got[i].kept for i, _ in rows]
+    assert any(seen) and not all(seen)
+
+
 def test_chunks_reject_what_the_whole_hides(documents):
     rng = random.Random(3)
     vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(6)) for _ in range(2000)]

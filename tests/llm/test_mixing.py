@@ -57,6 +57,49 @@ def test_caps_are_shared_again(documents):
     assert got[2].target == pytest.approx((202 - 6) * 2 / 3)
 
 
+def brute_taken(docs, hashes, target, cap=3):
+    """Copies of each document of one source: whole rounds, then by rising hash while it brings the sum nearer."""
+    total = sum(size for _, size in docs)
+    full = int(target // total) if total else 0
+    left, taken = target - full * total, {i: full for i, _ in docs}
+    groups = {}
+    for i, size in docs:
+        groups.setdefault(hashes[i], []).append((i, size))
+    for h in sorted(groups):
+        here = sum(size for _, size in groups[h])
+        if not here:
+            continue
+        if full >= cap or left * 2 < here:
+            break
+        left -= here
+        for i, size in groups[h]:
+            taken[i] += size > 0
+    return taken
+
+
+def test_taken_matches_brute_force(documents):
+    rows = [(i, "w " * ((i * 7) % 13), "en", "abcde"[(i * i) % 5] if i % 2 else "a") for i in range(500)] + [(900, None, "en", "b"), (901, "x " * 400, "en", "c")]
+    df = documents(rows)
+    hashes = {r.doc_id: r.h for r in mixing.mix_plan(df)[0].collect()}
+    sizes, by = {}, {}
+    for i, text, _, s in rows:
+        n = len((text or "").split())
+        sizes[s] = sizes.get(s, 0) + n
+        by.setdefault(s, []).append((i, n))
+    target = brute_targets(sizes)
+    got = {r.doc_id: r.taken for r in mixing.mix_report(df).collect()}
+    for s, docs in by.items():
+        copies = brute_taken(docs, hashes, target[s])
+        assert {i: got[i] for i, _ in docs} == {i: copies[i] * n for i, n in docs}, s
+
+
+def test_no_document_is_there_more_than_the_cap(documents):
+    rows = [(i, "a b", "en", "a") for i in range(20)] + [(i, "", "en", "a") for i in range(100, 300)]
+    rows += [(i, "a " * 100, "en", s) for i, s in zip(range(400, 500), "bc" * 50, strict=True)]
+    out = mixing.mix(documents(rows)).groupBy("doc_id").count().collect()
+    assert max(r["count"] for r in out) == 3 and {r["count"] for r in out if r.doc_id < 300} == {3}
+
+
 def test_edges(documents, spark):
     assert mixing.mix_report(documents([])).collect() == []
     assert mixing.mix(documents([])).collect() == []

@@ -51,6 +51,24 @@ def test_matches_brute_force(documents):
     assert got == want
 
 
+def test_a_forgetful_forest_loses_no_component():
+    rng = random.Random(9)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(200)]
+
+    def parts(edges):
+        up = list(range(60))
+        find = lambda x: x if up[x] == x else find(up[x])
+        for a, b in edges:
+            up[find(a)] = find(b)
+        return [frozenset(y for y in range(60) if find(y) == find(x)) for x in range(60)]
+
+    for most in (2, 5, 1000):
+        forest = simhash._Forest(most)
+        passed = [p for p in pairs if p[0] != p[1] and forest.join(*p)]
+        assert parts(passed) == parts(pairs)
+        assert most < 1000 or len(passed) < 60
+
+
 def test_every_link_meets(spark):
     """All distances up to 3, with the differing bits anywhere."""
     rng = random.Random(2)
