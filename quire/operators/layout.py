@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.scalars import let
+
 
 def prefix_offsets(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, name: str = "start") -> DataFrame:
     """Sum of the sizes before each item."""
@@ -14,28 +16,31 @@ def prefix_offsets(df: DataFrame, keys: Sequence[str], order: Sequence[str], siz
     return df.withColumn(name, F.coalesce(F.sum(size).over(before), F.lit(0.0)))
 
 
-def pack(sizes: Column, limit: Column | float, breaks: Column | None = None) -> Column:
-    """Group numbers of an array of sizes, filled in order: a new group starts where the next size
-    would pass the limit (by over 0.01) or after an item marked in ``breaks``. None is empty."""
+def pack_starts(sizes: Column, limit: Column | float, breaks: Column | None = None) -> Column:
+    """Places (from 0) of the first items of the groups of an array of sizes, filled in order: a new
+    group starts where the next size would pass the limit (by over 0.01) or after an item marked in
+    ``breaks``. None is empty. The fold keeps starts only, so its cost is that of items and groups."""
     limit = limit if isinstance(limit, Column) else F.lit(float(limit))
     marks = breaks if breaks is not None else F.transform(sizes, lambda _: F.lit(False))
     items = F.arrays_zip(sizes.alias("size"), marks.alias("mark"))
-    start = F.struct(
-        F.lit(0).alias("group"), F.lit(0.0).alias("used"), F.lit(False).alias("cut"), F.lit(True).alias("fresh"),
-        F.array().cast("array<int>").alias("out"),
-    )
+    start = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("used"), F.lit(True).alias("cut"), F.array().cast("array<int>").alias("starts"))
 
     def add(state: Column, item: Column) -> Column:
         size = item["size"].cast("double")
-        turn = ~state["fresh"] & ((state["used"] + size > limit + 0.01) | state["cut"])
-        group = state["group"] + turn.cast("int")
+        turn = state["cut"] | (state["used"] + size > limit + 0.01)
         return F.struct(
-            group.alias("group"), (F.when(turn, 0.0).otherwise(state["used"]) + size).alias("used"),
-            F.coalesce(item["mark"], F.lit(False)).alias("cut"), F.lit(False).alias("fresh"),
-            F.concat(state["out"], F.array(group)).alias("out"),
+            (state["at"] + 1).alias("at"), (F.when(turn, 0.0).otherwise(state["used"]) + size).alias("used"), F.coalesce(item["mark"], F.lit(False)).alias("cut"),
+            F.when(turn, F.concat(state["starts"], F.array(state["at"]))).otherwise(state["starts"]).alias("starts"),
         )
 
-    return F.aggregate(items, start, add, lambda s: s["out"])
+    return F.aggregate(items, start, add, lambda s: s["starts"])
+
+
+def pack(sizes: Column, limit: Column | float, breaks: Column | None = None) -> Column:
+    """Group numbers (from 0) of an array of sizes, see ``pack_starts``."""
+    size = lambda p, s, g: F.coalesce(F.get(p["starts"], g + 1), p["n"]) - s
+    numbers = lambda p: F.flatten(F.transform(p["starts"], lambda s, g: F.array_repeat(g, size(p, s, g))))
+    return let(F.struct(pack_starts(sizes, limit, breaks).alias("starts"), F.size(sizes).alias("n")), numbers)
 
 
 def pack_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, limit: float, name: str = "page") -> DataFrame:
@@ -57,12 +62,13 @@ def page_number(row_group: Column, col_group: Column, row_groups: Column, col_gr
 def point_to_cell(points: DataFrame, spans: DataFrame, keys: Sequence[str], x: str, name: str = "cell") -> DataFrame:
     """The first span (keys, ``ord``, ``start``, ``size``) whose end is at x - 0.01 or behind.
 
-    Per key the ends become one sorted array, and each point counts the ends before it.
+    Ends and points are sorted together from the far end, and each point takes the last end seen.
     """
-    ends = spans.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((F.col("start") + F.col("size")).alias("end"), F.col("ord")))).alias("ends"))
-    found = points.join(ends, list(keys), "left")
-    first = F.get(F.filter("ends", lambda e: e["end"] >= F.col(x) - 0.01), F.lit(0))
-    return found.withColumn(name, first["ord"]).drop("ends")
+    ends = spans.select(*keys, (F.col("start") + F.col("size")).alias("_at"), F.lit(0).alias("_t"), F.col("ord").alias("_ord"))
+    asked = points.withColumns({"_at": F.col(x) - 0.01, "_t": F.lit(1)})
+    w = Window.partitionBy(*keys).orderBy(F.desc("_at"), "_t", F.desc("_ord")).rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(ends, allowMissingColumns=True).withColumn(name, F.last("_ord", ignorenulls=True).over(w))
+    return found.where("_t = 1").drop("_at", "_t", "_ord")
 
 
 def left_neighbour(cells: DataFrame, keys: Sequence[str], name: str = "left") -> DataFrame:
@@ -82,7 +88,8 @@ def overflow_width(cells: DataFrame, keys: Sequence[str], width: str, name: str
     total = F.sum(width).over(Window.partitionBy(*keys, "r"))
     out = cells.withColumn("_at", F.coalesce(upto, F.lit(0.0))).withColumn("_total", total)
     content = F.when(F.col("kind") != "empty", F.col("_at"))
-    following = F.first(content, ignorenulls=True).over(row.rowsBetween(1, Window.unboundedFollowing))
+    # From the right, so that the frame only grows.
+    following = F.last(content, ignorenulls=True).over(Window.partitionBy(*keys, "r").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1))
     room = F.coalesce(following, F.col("_total")) - F.col("_at") - 3.0
     return out.withColumn(name, F.greatest(room, F.lit(1.0))).drop("_at", "_total")
 

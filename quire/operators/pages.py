@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.layout import pack, page_number
+from quire.functions.scalars import let
+from quire.operators.layout import pack_starts, page_number
 
 
 def page_scale(options: Column, width: Column, height: Column) -> Column:
@@ -19,6 +20,13 @@ def page_scale(options: Column, width: Column, height: Column) -> Column:
     return F.when(options["fit_to_page"], fitted).otherwise(options["scale"])
 
 
+def _ends(items: str):
+    """From the groups' starts: the places of the first and the last item of each group."""
+    last = lambda starts, g: F.coalesce(F.get(starts, g + 1), F.size(items)) - 1
+    ends = lambda starts, s, g: F.struct(F.get(items, s)["at"].alias("a"), F.get(items, last(starts, g))["at"].alias("b"))
+    return lambda starts: F.transform(starts, lambda s, g: ends(starts, s, g))
+
+
 def sheet_pages(rows: DataFrame, columns: DataFrame, options: DataFrame, keys: Sequence[str] = ("doc_id", "sheet_idx")) -> DataFrame:
     """Pages of each sheet: (keys, page, row_group, col_group, r1, r2, c1, c2, scale).
 
@@ -36,17 +44,11 @@ def sheet_pages(rows: DataFrame, columns: DataFrame, options: DataFrame, keys: S
     sheets = sheets.withColumn("scale", page_scale(F.col("o"), total("cols"), total("rows")))
     for name, limit in (("rows", "printable_h"), ("cols", "printable_w")):
         sizes = F.transform(name, lambda x: x["size"] * F.col("scale"))
-        sheets = sheets.withColumn(f"{name}_of", pack(sizes, F.col("o")[limit], F.transform(name, lambda x: x["cut"])))
-    count = lambda name: F.array_max(f"{name}_of") + 1
-    grid = sheets.withColumn("rgs", count("rows")).withColumn("cgs", count("cols"))
-    grid = grid.withColumn("row_group", F.explode(F.sequence(F.lit(0), F.col("rgs") - 1)))
-    grid = grid.withColumn("col_group", F.explode(F.sequence(F.lit(0), F.col("cgs") - 1)))
-
-    def ends(name: str, group: str) -> Column:
-        places = F.transform(F.filter(F.arrays_zip(F.col(name).alias("x"), F.col(f"{name}_of").alias("g")), lambda z: z["g"] == F.col(group)), lambda z: z["x"]["at"])
-        return F.struct(F.array_min(places).alias("a"), F.array_max(places).alias("b"))
-
-    out = grid.withColumn("rr", ends("rows", "row_group")).withColumn("cc", ends("cols", "col_group"))
+        starts = pack_starts(sizes, F.col("o")[limit], F.transform(name, lambda x: x["cut"]))
+        sheets = sheets.withColumn(f"{name}_of", let(starts, _ends(name)))
+    grid = sheets.select(*keys, "o", "scale", F.size("rows_of").alias("rgs"), F.size("cols_of").alias("cgs"), "rows_of", "cols_of")
+    grid = grid.select("*", F.posexplode("rows_of").alias("row_group", "rr")).drop("rows_of")
+    out = grid.select("*", F.posexplode("cols_of").alias("col_group", "cc")).drop("cols_of")
     page = page_number(F.col("row_group"), F.col("col_group"), F.col("rgs"), F.col("cgs"), F.col("o.over_then_down"))
     return out.select(*keys, page.alias("page"), "row_group", "col_group", F.col("rr.a").alias("r1"), F.col("rr.b").alias("r2"), F.col("cc.a").alias("c1"), F.col("cc.b").alias("c2"), "scale")
 

@@ -7,37 +7,55 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEPTH = 32
+from quire.staging import release, staged
 
+#: Chains are read up to 2**ROUNDS styles long, so a circle ends.
+ROUNDS = 5
 
-def style_chain(styles: DataFrame, keys: Sequence[str], style: str = "style_id", parent: str = "parent_id", depth: int = DEPTH) -> DataFrame:
-    """(keys, style, ancestor, depth): each style with itself (0) and its ancestors, at most
-    ``depth`` styles long, so a circle ends.
 
-    Doubling: each round joins chains with chains, so ``log2(depth)`` joins of the style table.
+def style_chain(styles: DataFrame, keys: Sequence[str], style: str = "style_id", parent: str = "parent_id", rounds: int = ROUNDS) -> DataFrame:
+    """(keys, style, ancestor, depth): each style with itself (0) and its ancestors, up to
+    ``2**rounds`` styles long.
+
+    Doubling: each round joins chains with jumps of the length so far. Rounds are staged, so each
+    reads two tables.
     """
+    keys = list(keys)
     base = styles.select(*keys, F.col(style), F.col(parent).alias("_up"))
     chain = base.select(*keys, style, F.col(style).alias("ancestor"), F.lit(0).alias("depth"))
-    jump, step = base.where("_up is not null"), 1
-    while step < depth:
-        to = jump.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(style).alias("_from"), F.col("_up").alias("_to"))
-        on = [F.col("ancestor") == F.col("_from"), *[F.col(k) == F.col(f"_{k}") for k in keys]]
-        further = chain.join(to, on).select(*keys, style, F.col("_to").alias("ancestor"), (F.col("depth") + step).alias("depth"))
-        chain = chain.unionByName(further.where(F.col("depth") < depth))
-        on = [F.col("_up") == F.col("_from"), *[F.col(k) == F.col(f"_{k}") for k in keys]]
-        jump = jump.join(to, on).select(*keys, style, F.col("_to").alias("_up"))
-        step *= 2
+    jump = base.where("_up is not null")
+    for k in range(rounds):
+        to = jump.withColumnsRenamed({style: "ancestor", "_up": "_to"})
+        further = chain.join(to, [*keys, "ancestor"]).select(*keys, style, F.col("_to").alias("ancestor"), (F.col("depth") + (1 << k)).alias("depth"))
+        longer = staged(chain.unionByName(further), "chain")
+        if k + 1 < rounds:
+            to = jump.withColumnsRenamed({style: "_up", "_up": "_to"})
+            twice = staged(jump.join(to, [*keys, "_up"]).select(*keys, style, F.col("_to").alias("_up")), "jump")
+            release(jump)
+            jump = twice
+        release(chain)
+        chain = longer
     return chain
 
 
-def cascade(styles: DataFrame, keys: Sequence[str], properties: Sequence[str], style: str = "style_id", parent: str = "parent_id", depth: int = DEPTH) -> DataFrame:
-    """Each style with its effective properties: one aggregate for all of them."""
-    chain = style_chain(styles.select(*keys, style, parent), keys, style, parent, depth)
-    values = styles.select(*keys, F.col(style).alias("ancestor"), *properties)
-    joined = chain.join(values, [*keys, "ancestor"])
-    return joined.groupBy(*keys, style).agg(
-        *[F.max_by(F.col(p), F.when(F.col(p).isNotNull(), -F.col("depth"))).alias(p) for p in properties]
-    )
+def cascade(styles: DataFrame, keys: Sequence[str], properties: Sequence[str], style: str = "style_id", parent: str = "parent_id", rounds: int = ROUNDS) -> DataFrame:
+    """Each style with its effective properties: of itself and its ancestors, the nearest that sets one.
+
+    Pointers double: a style that has the properties of its next n styles takes those of the n
+    behind them from the style it points to. Rounds are staged, so each is one join of a table as
+    large as the styles, and they end when no style points further.
+    """
+    keys = list(keys)
+    now = styles.select(*keys, style, F.col(parent).alias("_up"), *properties)
+    for _ in range(rounds):
+        up = now.select(*keys, F.col(style).alias("_up"), F.col("_up").alias("_far"), *[F.col(p).alias(f"_{p}") for p in properties])
+        joined = now.join(up, [*keys, "_up"], "left")
+        further = staged(joined.select(*keys, style, F.col("_far").alias("_up"), *[F.coalesce(p, f"_{p}").alias(p) for p in properties]), "cascade")
+        release(now)
+        now = further
+        if now.where("_up is not null").isEmpty():
+            break
+    return now.drop("_up")
 
 
 def merge(*layers: Column) -> Column:
