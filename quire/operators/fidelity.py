@@ -13,9 +13,6 @@ from pyspark.sql.types import LongType, StringType
 
 from quire.functions.scalars import grade, word_tokens
 
-#: Longest sequence that word order is worked out for; longer pairs give null.
-MOST_WORDS = 20_000
-
 
 @pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
@@ -24,20 +21,37 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate(hyphens))
 
 
-def word_counts(df: DataFrame, keys: Sequence[str], text: str, words: Column | None = None) -> DataFrame:
-    """(keys, word, n) of a text's words."""
-    tokens = word_tokens(F.col(text)) if words is None else words
-    return df.select(*keys, F.explode(tokens).alias("word")).groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"))
+def _multiset_hit(a: Column, b: Column) -> Column:
+    """Sum over all words of the lesser count: half of both sizes less the differences of counts.
+
+    Both lists are sorted as one, so a word's entries follow each other and one pass counts them.
+    """
+    sign = lambda words, n: F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(n).cast("long").alias("n")))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(None).cast("string").alias("w"), zero.alias("n"), zero.alias("apart"))
+
+    def count(s: Column, x: Column) -> Column:
+        same = s["w"] == x["w"]
+        return F.struct(
+            x["w"].alias("w"), F.when(same, s["n"] + x["n"]).otherwise(x["n"]).alias("n"),
+            F.when(same, s["apart"]).otherwise(s["apart"] + F.abs(s["n"])).alias("apart"),
+        )
+
+    apart = F.aggregate(F.sort_array(F.concat(sign(a, 1), sign(b, -1))), start, count, lambda s: s["apart"] + F.abs(s["n"]))
+    return ((F.size(a) + F.size(b) - apart) / 2).cast("long")
 
 
 def overlap(source: DataFrame, extracted: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """(keys, source_words, extracted_words, hit): words as a multiset, the lesser count of each."""
-    a = word_counts(source, keys, text).withColumnRenamed("n", "a")
-    b = word_counts(extracted, keys, text).withColumnRenamed("n", "b")
-    both = a.join(b, [*keys, "word"], "full").na.fill(0, ["a", "b"])
-    sums = both.groupBy(*keys).agg(F.sum("a").alias("source_words"), F.sum("b").alias("extracted_words"), F.sum(F.least("a", "b")).alias("hit"))
-    every = source.select(*keys).union(extracted.select(*keys)).distinct()
-    return every.join(sums, list(keys), "left").na.fill(0, ["source_words", "extracted_words", "hit"])
+    """(keys, source_words, extracted_words, hit): words as a multiset, the lesser count of each.
+
+    Both sides are dealt by key once, as texts; words are counted inside the row.
+    """
+    keys = list(keys)
+    none = F.lit(None).cast("string")
+    sides = source.select(*keys, F.col(text).alias("a"), none.alias("b")).unionByName(extracted.select(*keys, none.alias("a"), F.col(text).alias("b")))
+    every = sides.groupBy(*keys).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    words = every.withColumns({side: F.flatten(F.transform(side, word_tokens)) for side in "ab"})
+    return words.select(*keys, F.size("a").cast("long").alias("source_words"), F.size("b").cast("long").alias("extracted_words"), _multiset_hit(F.col("a"), F.col("b")).alias("hit"))
 
 
 def recall_precision(source: DataFrame, extracted: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -47,22 +61,32 @@ def recall_precision(source: DataFrame, extracted: DataFrame, keys: Sequence[str
     return out.withColumn("recall", share("source_words")).withColumn("precision", share("extracted_words"))
 
 
-def _lcs(a: Sequence, b: Sequence) -> int:
-    """Length of the longest common subsequence, a bit row for each word of b."""
-    where: dict = {}
-    for k, w in enumerate(a):
-        where[w] = where.get(w, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    row = full
-    for w in b:
-        same = where.get(w, 0) & row
-        row = ((row + same) | (row - same)) & full
-    return len(a) - bin(row).count("1")
+def _lcs(a: Sequence, b: Sequence, block: int = 1 << 14) -> int:
+    """Length of the longest common subsequence: a bit row over a, updated for each word of b.
+
+    The row is cut into blocks, so that the bits of a block's words fit in memory however long a is;
+    what a block's addition carries over goes into the next block's.
+    """
+    carry, total = bytearray(len(b)), 0
+    for at in range(0, len(a), block):
+        part = a[at : at + block]
+        where: dict = {}
+        for k, w in enumerate(part):
+            where[w] = where.get(w, 0) | 1 << k
+        full = row = (1 << len(part)) - 1
+        for j, w in enumerate(b):
+            same = where.get(w, 0) & row
+            grown = row + same + carry[j]
+            carry[j] = grown >> len(part)
+            row = (grown | (row - same)) & full
+        total += len(part) - row.bit_count()
+    return total
 
 
 @pandas_udf(LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None or max(len(x), len(y)) > MOST_WORDS else _lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")
+    """Words of the longest common subsequence of two lists, of any length; null if one is null."""
+    return pd.Series([None if x is None or y is None else _lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
 def order_score(a: Column, b: Column) -> Column:

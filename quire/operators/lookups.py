@@ -28,12 +28,18 @@ def shared_strings(cells: DataFrame, strings: DataFrame) -> DataFrame:
 
 
 def with_default(df: DataFrame, index: str, table: DataFrame, keys: Sequence[str], key: str, values: Sequence[str], default: int = 0) -> DataFrame:
-    """Values by index; an index out of range takes entry ``default``."""
+    """Values by index; an index out of range takes entry ``default``, and null where there is none.
+
+    Of several entries with one index, the least values count.
+    """
     keys = list(keys)
-    known = table.select(*keys, F.col(key).alias("_k"), F.struct(*values).alias("_v"))
-    first = known.where(F.col("_k") == default).select(*keys, F.col("_v").alias("_d"))
+    known = table.groupBy(*keys, F.col(key).alias("_k")).agg(F.min(F.struct(*values)).alias("_v"))
+    first = known.where(F.col("_k") == default)
     joined = df.withColumn("_k", F.col(index)).join(known, [*keys, "_k"], "left")
-    joined = joined.join(first, keys, "left") if keys else joined.crossJoin(F.broadcast(first.limit(1)))
+    if keys:
+        joined = joined.join(first.select(*keys, F.col("_v").alias("_d")), keys, "left")
+    else:  # one value for all rows
+        joined = joined.withColumn("_d", first.agg(F.min("_v").alias("_d")).scalar())
     found = F.coalesce("_v", "_d")
     return joined.withColumns({v: found[v] for v in values}).drop("_k", "_v", "_d")
 
