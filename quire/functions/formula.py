@@ -231,10 +231,14 @@ class Area:
     unknown: Column
 
 
+def kind_letter(kind: Column) -> Column:
+    """A kind of the ``cells`` table as that of a value: number, shown, text, bool; else empty."""
+    return F.when(kind.isin("number", "shown"), "n").when(kind == "text", "s").when(kind == "bool", "b").otherwise("e")
+
+
 def cell_value(kind: Column, n: Column, s: Column, b: Column) -> Val:
-    """A cell of the ``cells`` table: kinds number, shown, text, bool; anything else is empty."""
-    k = F.when(kind.isin("number", "shown"), "n").when(kind == "text", "s").when(kind == "bool", "b").otherwise("e")
-    return Val(k, n, s, b)
+    """A cell of the ``cells`` table."""
+    return Val(kind_letter(kind), n, s, b)
 
 
 def _either(yes: Column, a: Val, b: Val) -> Val:

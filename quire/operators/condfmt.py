@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.formula import Area, Node, Ref, Val, _compile, _first, FormulaError, cell_value, parse
+from quire.functions.formula import Area, FormulaError, Node, Ref, Val, _compile, _first, cell_value, kind_letter, parse
 from quire.functions.numfmt import general
 from quire.operators import aggregates
 
@@ -89,8 +89,16 @@ def _trees(rules: Sequence[Rule]) -> list[list[Node | None]]:
     return out
 
 
-def rule_hits(rule: Rule, operands: list[Val | None], cell: Val, kind: Column) -> Column:
-    """Whether the rule hits; never null."""
+TEXT_KINDS = ("containsText", "notContainsText", "beginsWith", "endsWith")
+
+
+def lower_text(cell: Val) -> Column:
+    """A cell's text as the text rules see it."""
+    return F.coalesce(cell.pick(s=F.lower(cell.s), n=general(cell.n), b=F.lit(""), e=F.lit("")), F.lit(""))
+
+
+def rule_hits(rule: Rule, operands: list[Val | None], cell: Val, kind: Column, text: Column) -> Column:
+    """Whether the rule hits; never null. ``text`` is the cell's ``lower_text``."""
     no = F.lit(False)
 
     def operand(k: int) -> Column:
@@ -109,7 +117,7 @@ def rule_hits(rule: Rule, operands: list[Val | None], cell: Val, kind: Column) -
         hit = kind.isin("number", "shown") & tests.get(rule.operator, no)
     elif rule.kind == "expression":
         hit = operands[0].truthy() if operands and operands[0] is not None else no
-    elif rule.kind in ("containsText", "notContainsText", "beginsWith", "endsWith"):
+    elif rule.kind in TEXT_KINDS:
         if rule.text is not None:
             needle = F.lit(rule.text.lower())
         elif operands and operands[0] is not None:
@@ -118,7 +126,6 @@ def rule_hits(rule: Rule, operands: list[Val | None], cell: Val, kind: Column) -
             needle = F.when(~v.failed, v.pick(s=F.lower(v.s), n=truth, b=truth, e=truth))
         else:
             needle = F.lit(None).cast("string")
-        text = F.coalesce(cell.pick(s=F.lower(cell.s), n=general(cell.n), b=F.lit(""), e=F.lit("")), F.lit(""))
         hit = {
             "containsText": (needle != "") & text.contains(needle),
             "notContainsText": ~text.contains(needle),
@@ -207,7 +214,7 @@ def apply_rules(cells: DataFrame, rules: Sequence[Rule], *, name: str = "dxf", k
     def resolver(rule: Rule):
         def find(ref: Ref) -> Val:
             k = places[_place(rule, ref)]
-            return cell_value(F.coalesce(F.col(f"ref{k}_kind"), F.lit("empty")), F.col(f"ref{k}_num"), F.col(f"ref{k}_txt"), F.col(f"ref{k}_flag"))
+            return Val(F.col(f"ref{k}_letter"), F.col(f"ref{k}_num"), F.col(f"ref{k}_txt"), F.col(f"ref{k}_flag"))
 
         def area(a: Ref, b: Ref) -> Area | None:
             if not _grouped(a, b):
@@ -223,8 +230,14 @@ def apply_rules(cells: DataFrame, rules: Sequence[Rule], *, name: str = "dxf", k
         find.area = area
         return find
 
+    # Kinds and texts are columns of a projection below the rules, so each is worked out once a cell.
+    letters = {f"ref{k}_letter": kind_letter(F.col(f"ref{k}_kind")) for k in places.values()}
+    (letter, lowered) = ("cell_letter", "cell_text")
+    out = out.withColumns({letter: kind_letter(F.col("kind")), **letters})
     kind = F.col("kind")
-    cell = cell_value(F.coalesce(kind, F.lit("empty")), F.col("num"), F.col("txt"), F.col("flag"))
+    cell = Val(F.col(letter), F.col("num"), F.col("txt"), F.col("flag"))
+    if any(rule.kind in TEXT_KINDS for rule in rules):
+        out = out.withColumn(lowered, lower_text(cell))
     tests = []
     for ordinal in sorted(range(len(rules)), key=lambda k: (rules[k].priority, k)):
         rule, own = rules[ordinal], []
@@ -240,7 +253,7 @@ def apply_rules(cells: DataFrame, rules: Sequence[Rule], *, name: str = "dxf", k
             for ref in _refs(tree).union(*_ranges(tree)) if tree else ():
                 how_r, row, how_c, col = _place(rule, ref)
                 inside = inside & (F.lit(True) if how_r == "at" else F.col("r") + row >= 1) & (F.lit(True) if how_c == "at" else F.col("c") + col >= 1)
-        tests.append(F.when(inside & rule_hits(rule, own, cell, kind), F.lit(rule.dxf)))
+        tests.append(F.when(inside & rule_hits(rule, own, cell, kind, F.col(lowered)), F.lit(rule.dxf)))
     chosen = F.coalesce(*tests) if tests else F.lit(None).cast("int")
     return out.select(*cells.columns, chosen.alias(name))
 

@@ -96,9 +96,11 @@ FROM chosen WHERE dxf IS NOT NULL GROUP BY dxf, c
 )
 def condfmt_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over all sheets, the shown numbers, and totals by format: the flagship query."""
-    cells = condfmt.apply_rules(line_cells(spark, sf_dir), REPORT_RULES)
+    cells = condfmt.apply_rules(line_cells(spark, sf_dir), REPORT_RULES).select("c", "num", "dxf")
+    # A generator drops the cells without a format: a filter would be pushed below and choose each rule twice.
+    chosen = cells.select("c", "num", F.explode(F.array_compact(F.array("dxf"))).alias("dxf"))
     shown = F.when(F.col("c") == 3, numfmt.format_value(F.col("num"), "0%")).otherwise(numfmt.format_value(F.col("num"), "#,##0.00"))
-    return cells.where("dxf is not null").withColumn("shown", shown).groupBy("dxf", "c").agg(
+    return chosen.withColumn("shown", shown).groupBy("dxf", "c").agg(
         F.count(F.lit(1)).alias("n_cells"),
         F.sum(F.round(F.coalesce("num", F.lit(0.0)) * 100).cast("long")).alias("cents"),
         F.min("shown").alias("least_text"),
