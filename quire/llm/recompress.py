@@ -9,7 +9,8 @@ Whether two neighbours merge depends on these two alone. So inside a stretch of
 are settled by the stretch itself, but for a few at its ends: a right symbol at its start may merge
 with what is before, a left symbol at its end with what is behind, and a run there may go on. A
 window's anchor is the least name among its settled symbols in the last round that leaves any; it
-is a function of the window's words, wherever the window stands.
+is a function of the window's words, wherever the window stands. The half of the window before or
+behind the anchor's start, whichever it holds in full, is mixed into the anchor's name.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def batch_names(texts: list[bytes], bits: int = 64) -> tuple[np.ndarray, np.ndar
 class Records:
     """Runs of consecutive windows with one anchor. Positions count from the start of the batch."""
 
-    name: np.ndarray  # of the anchor
+    name: np.ndarray  # of the anchor and the half beside it
     first: np.ndarray  # first window
     count: np.ndarray  # number of windows, at most the window's length
 
@@ -148,6 +149,22 @@ def anchors(words: np.ndarray, ends: np.ndarray, starts: np.ndarray, window: int
     return name, place
 
 
+def stretch_names(words: np.ndarray, length: int) -> np.ndarray:
+    """A name for each stretch of ``length`` words, from names of stretches of 1, 2, 4, ... words."""
+    power, done, out = words, 0, None
+    size = 1
+    while True:
+        if length & size:
+            n = len(words) - done - size + 1
+            tail = power[done : done + max(n, 0)]
+            out = tail if out is None else mix(out[: len(tail)] * U(0xD6E8FEB86659FD93) + mix(tail + U(size)))
+            done += size
+        if 2 * size > length:
+            return out
+        power = mix(power[:-size] * U(0x9E3779B97F4A7C15) + mix(power[size:] + U(1))) if len(power) > size else power[:0]
+        size *= 2
+
+
 def records(words: np.ndarray, ends: np.ndarray, window: int) -> Records:
     """All windows of a batch of documents (word names, ends of documents) by anchor."""
     starts = window_starts(ends, window)
@@ -155,6 +172,9 @@ def records(words: np.ndarray, ends: np.ndarray, window: int) -> Records:
         none = np.zeros(0, np.int64)
         return Records(none.astype(U), none, none)
     name, place = anchors(words, ends, starts, window)
+    half = max(1, window // 2)
+    behind = place - starts < half  # else the window holds the half before the anchor
+    name = mix(name + mix(stretch_names(words, half)[np.where(behind, place, place - half)] + behind.astype(U)))
     fresh = np.r_[True, (name[1:] != name[:-1]) | (place[1:] != place[:-1]) | (np.diff(starts) != 1)]
     at = np.flatnonzero(fresh)
     count = np.diff(np.r_[at, len(starts)])

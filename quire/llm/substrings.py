@@ -94,64 +94,93 @@ def _cover(n: int, places: list[int], window: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _judge(rows: DataFrame, window: int) -> DataFrame:
+def _digest(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
+
+
+def _sorted_out(rows: DataFrame) -> DataFrame:
+    """row, doc_id, text, look -> with n_words, and kept_sha256 of rows without candidates, whose
+    text is not carried on."""
+    names = ["row", "doc_id", "n_words", "kept_sha256", "text", "look"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            look = batch.column(3)
+            done = look.is_null().to_pylist()
+            words = [_words(t.as_py()) for t in batch.column(2)]
+            counts = pa.array([len(w) for w in words], pa.int64())
+            kept = pa.array([_digest(w) if d else None for w, d in zip(words, done, strict=True)], pa.string())
+            text = pa.array([None if d else t.as_py() for t, d in zip(batch.column(2), done, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts, kept, text, look], names=names)
+
+    rows = rows.select("row", "doc_id", "text", "look")
+    return mapped(rows, run, rows.selectExpr("row", "doc_id", "0L n_words", "cast(null as string) kept_sha256", "text", "look").schema)
+
+
+def _cut(rows: DataFrame, window: int) -> DataFrame:
     """doc_id, text, found (places of repeats) -> doc_id, n_words, n_removed, kept_sha256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
-                words, places = _words(text.as_py()), found.as_py()
-                kept = words
-                if places:
-                    gone = _cover(len(words), places, window)
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+                words = _words(text.as_py())
+                gone = _cover(len(words), found.as_py() or [], window)
+                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                out.append((len(words), len(words) - len(kept), _digest(kept)))
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*out, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return mapped(rows.select("doc_id", "text", "found"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def _digests(rows: DataFrame, window: int, column: str, each_window: bool) -> DataFrame:
-    """row, doc_id, text, ``column`` of places -> name, first_doc, row, doc_id, place and the digest of its words.
-
-    The digest covers the whole extent of a place, or with ``each_window`` each window of its own.
-    """
+def _digests(rows: DataFrame, window: int) -> DataFrame:
+    """row, doc_id, text, look -> name, first_doc, row, doc_id, place and a digest of the words of the
+    place's whole extent (x, y)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = hashlib.blake2b
         for batch in batches:
             lists = batch.column(3)
             keys = [np.repeat(batch.column(k).to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)) for k in (0, 1)]
             names, firsts, places = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("name", "first_doc", "place"))
-            if each_window:
-                count = places & COUNT
-                within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             found, at = [], 0
             for text, listed in zip(batch.column(2), lists, strict=True):
-                words = _words(text.as_py())
-                joined = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-                begins = np.r_[0, ends[:-1] + 1]
                 here = places[at : at + len(listed)]
-                first, size = here >> 8, (here & COUNT) - 1 + window
-                if each_window:
-                    own = count[at : at + len(listed)]
-                    done = int(count[:at].sum()) if at else 0
-                    first, size = np.repeat(first, own) + within[done : done + int(own.sum())], window
-                spans = zip(begins[first].tolist(), ends[first + size - 1].tolist(), strict=True)
-                found += [digest(joined[a:b], digest_size=16).digest() for a, b in spans]
+                found += _digest_spans(text.as_py(), here >> 8, (here & COUNT) - 1 + window)
                 at += len(listed)
             halves = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-            if each_window:
-                keys = [np.repeat(k, count) for k in keys]
-                names, firsts, places = np.repeat(names, count), np.repeat(firsts, count), (np.repeat(places >> 8, count) + within) << 8 | 1
             columns = [names, firsts, *keys, places, halves[:, 0].copy(), halves[:, 1].copy()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["name", "first_doc", "row", "doc_id", "place", "x", "y"])
 
     schema = "name long, first_doc long, row long, doc_id long, place long, x long, y long"
-    return mapped(rows.select("row", "doc_id", "text", column), run, schema)
+    return mapped(rows.select("row", "doc_id", "text", "look"), run, schema)
+
+
+def _window_digests(rows: DataFrame, window: int) -> DataFrame:
+    """row, doc_id, text, open (places) -> row, doc_id, place and digest of each single window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, doc, text, listed in zip(*batch.columns, strict=True):
+                places = np.array(listed.as_py(), np.int64)
+                count = places & COUNT
+                within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                first = np.repeat(places >> 8, count) + within
+                halves = np.frombuffer(b"".join(_digest_spans(text.as_py(), first, window)), np.int64).reshape(-1, 2)
+                columns = [np.full(len(first), row.as_py()), np.full(len(first), doc.as_py()), first << 8 | 1, halves[:, 0].copy(), halves[:, 1].copy()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row", "doc_id", "place", "x", "y"])
+
+    return mapped(rows.select("row", "doc_id", "text", "open"), run, "row long, doc_id long, place long, x long, y long")
+
+
+def _digest_spans(text: str | None, first: np.ndarray, size: np.ndarray | int) -> list[bytes]:
+    """128-bit digests of the words [first, first + size) of a text."""
+    words = _words(text)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.r_[0, ends[:-1] + 1]
+    digest = hashlib.blake2b
+    return [digest(joined[a:b], digest_size=16).digest() for a, b in zip(begins[first].tolist(), ends[first + size - 1].tolist(), strict=True)]
 
 
 def _numbered(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -169,23 +198,24 @@ def remove_repeats(documents: DataFrame, *, doc_id: str = "doc_id", text: str =
     shared = found.groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     shared = staged(shared.where("first_doc < last_doc").select("name", "first_doc"), "names")
     look = found.join(shared, "name").groupBy("row").agg(F.expr("collect_list(struct(name, first_doc, place))").alias("look"))
-    dealt = staged(docs.join(look, "row", "left"), "dealt")
-    release(found, shared)
+    dealt = staged(_sorted_out(docs.join(look, "row", "left")), "dealt")
+    release(found, shared, docs)
     left = dealt.where("look is not null")
     # Round 2: the first document of each extent.
-    extents = staged(_digests(left, window, "look", False), "extents")
+    extents = staged(_digests(left, window), "extents")
     first = staged(extents.groupBy("x", "y").agg(F.min("doc_id").alias("least")), "firsts")
-    extents = staged(extents.join(first, ["x", "y"]).drop("x", "y"), "judged")
-    whole = extents.where("doc_id > least").select("row", "place")
+    judged = staged(extents.join(first, ["x", "y"]).drop("x", "y"), "judged")
+    release(extents, first)
+    whole = judged.where("doc_id > least").select("row", "place")
     # Round 3: windows under names whose extents differ, once for each extent.
-    firsts = extents.where("doc_id = least")
+    firsts = judged.where("doc_id = least")
     names = staged(firsts.where("doc_id > first_doc").select("name").distinct(), "open")
-    opened = firsts.join(names, "name", "left_semi").groupBy("row").agg(F.expr("collect_list(struct(name, first_doc, place))").alias("open"))
-    windows = staged(_digests(left.drop("look").join(opened, "row"), window, "open", True), "windows")
+    opened = firsts.join(names, "name", "left_semi").groupBy("row").agg(F.collect_list("place").alias("open"))
+    windows = staged(_window_digests(left.drop("look").join(opened, "row"), window), "windows")
     least = windows.groupBy("x", "y").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"))
     least = staged(least.where("least < last").drop("last"), "least")
     late = windows.join(least, ["x", "y"]).where("doc_id > least").select("row", "place")
-    gone = whole.unionByName(late).groupBy("row").agg(F.collect_list("place").alias("found"))
-    none = dealt.where("look is null").selectExpr("doc_id", "text", "cast(null as array<bigint>) found")
-    some = left.join(gone, "row", "left").select("doc_id", "text", "found")
-    return _judge(none.unionByName(some), window)
+    gone = staged(whole.unionByName(late).groupBy("row").agg(F.collect_list("place").alias("found")), "gone")
+    release(judged, names, windows, least)
+    done = dealt.where("look is null").selectExpr("doc_id", "n_words", "0L n_removed", "kept_sha256")
+    return done.unionByName(_cut(left.select("row", "doc_id", "text").join(gone, "row", "left"), window))

@@ -112,6 +112,19 @@ def test_anchor_depends_on_the_window_alone():
         assert len(seen) == 1
 
 
+def test_stretch_names_are_of_their_words_alone():
+    rng = np.random.default_rng(4)
+    words = recompress.mix(rng.integers(0, 3, 400).astype(np.uint64))
+    for length in (1, 2, 3, 7, 25, 32, 127):
+        got = recompress.stretch_names(words, length)
+        assert len(got) == 400 - length + 1
+        seen = {}
+        for k, name in enumerate(got.tolist()):
+            assert seen.setdefault(words[k : k + length].tobytes(), name) == name
+        assert len(set(seen.values())) == len(seen)
+        assert recompress.stretch_names(words[: length - 1], length).size == 0
+
+
 def test_records_cover_all_windows():
     rng = np.random.default_rng(2)
     words = recompress.mix(rng.integers(0, 500, 5000).astype(np.uint64))
