@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 
 SF = os.environ.get("QUIRE_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-PLAIN = sorted(set(entry.oracle_sql()) & (set(entry.sheets.QUERIES) | set(entry.documents.QUERIES) | set(entry.readers.QUERIES)))
+PLAIN = sorted(set(entry.oracle_sql()) & set().union(*(m.QUERIES for m in (entry.sheets, entry.documents, entry.readers, entry.values))))
 
 
 @pytest.fixture(scope="module")
