@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 PAGE = "width double, height double, top double, right double, bottom double, left double"
+FONT = "font string, size double, bold boolean, italic boolean, underline boolean, strike boolean, color string, fill string"
 TABLES: dict[str, str] = {
     "sections": f"section_idx int, {PAGE}, columns int, column_gap double, title_page boolean, page_start long, page_format string, header string, footer string",
     "blocks": "story string, path array<int>, section_idx int, kind string, style_id string, outline int, num_id string, list_level int, align string, before double, after double, mark_deleted boolean, text string",
@@ -21,7 +22,8 @@ TABLES: dict[str, str] = {
     "cells": "sheet_idx int, r int, c int, kind string, num double, txt string, flag boolean, xf int",
     "merges": "sheet_idx int, ordinal int, r1 int, c1 int, r2 int, c2 int",
     "cond_rules": "sheet_idx int, ordinal int, r1 int, c1 int, r2 int, c2 int, origin_r int, origin_c int, priority long, kind string, operator string, formulas array<string>, text string, dxf int",
-    "xfs": "idx int, num_fmt string, align string, wrap boolean",
+    "xfs": f"idx int, num_fmt string, align string, valign string, wrap boolean, indent double, {FONT}, borders array<struct<side: string, style: string, color: string>>",
+    "dxfs": f"idx int, num_fmt string, {FONT}",
     "comments": "sheet_idx int, r int, c int, author string, text string",
     "charts": "chart_id string, kind string, title string",
     "chart_points": "chart_id string, series_idx int, series_name string, pos int, category string, value double",

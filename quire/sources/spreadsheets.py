@@ -11,6 +11,7 @@ from quire.operators.condfmt import odf_condition
 from quire.sources.biff_formula import COMPARISONS, decompile
 from quire.sources.containers import Compound, Package, biff_records
 from quire.sources.parsed import Parsed
+from quire.sources.sheet_styles import BiffStyles, read_odf_styles, read_xlsx_styles
 from quire.sources.xmltree import Node, number, on, parse, whole
 
 MAX_ROW, MAX_COL = 1_048_576, 16_384
@@ -42,20 +43,6 @@ def _runs(node: Node) -> str:
     return "".join(t.text() for r in node.children("r") for t in r.children("t"))
 
 
-def _formats(root: Node | None, out: Parsed) -> None:
-    codes = dict(BUILTIN)
-    if root is None:
-        return
-    for f in root.child("numFmts").children("numFmt") if root.child("numFmts") else ():
-        codes[whole(f.get("numFmtId"), -1)] = f.get("formatCode", "General")
-    for k, xf in enumerate(root.child("cellXfs").children("xf") if root.child("cellXfs") else ()):
-        look = xf.child("alignment")
-        out.add(
-            "xfs", idx=k, num_fmt=codes.get(whole(xf.get("numFmtId"), 0), "General"),
-            align=look.get("horizontal") if look else None, wrap=bool(look and on(look.get("wrapText"), False)),
-        )
-
-
 def _cell(c: Node, strings: list[str]) -> tuple[str, float | None, str | None, bool | None]:
     """(kind, num, txt, flag). Only cached values are read; a date cell (t="d") is empty."""
     kind, v = c.get("t", "n"), c.child("v")
@@ -78,8 +65,10 @@ def _cell(c: Node, strings: list[str]) -> tuple[str, float | None, str | None, b
     return ("number", got, None, None) if got is not None and kind == "n" else ("empty", None, None, None)
 
 
-def _used(out: Parsed, sheet_idx: int, cells: list[dict], merges: list[dict]) -> dict:
-    filled = [(c["r"], c["c"]) for c in cells if c["kind"] != "empty"] + [(m["r2"], m["c2"]) for m in merges]
+def _used(cells: list[dict], merges: list[dict], formatted: list[bool]) -> dict:
+    """The used range: cells with content or with a fill or border of their format, and merges."""
+    looks = lambda xf: bool(formatted) and formatted[xf if xf is not None and 0 <= xf < len(formatted) else 0]
+    filled = [(c["r"], c["c"]) for c in cells if c["kind"] != "empty" or looks(c["xf"])] + [(m["r2"], m["c2"]) for m in merges]
     if not filled:
         return {}
     return {"r1": min(r for r, _ in filled), "c1": min(c for _, c in filled), "r2": max(r for r, _ in filled), "c2": max(c for _, c in filled)}
@@ -103,7 +92,7 @@ def _print_setup(root: Node, out: Parsed, k: int) -> None:
             out.add("breaks", sheet_idx=k, axis=axis, after=whole(b.get("id"), 0))
 
 
-def _sheet(root: Node, out: Parsed, k: int, strings: list[str]) -> dict:
+def _sheet(root: Node, out: Parsed, k: int, strings: list[str], formatted: list[bool]) -> dict:
     """Rows, cells, merges, columns and rules of one sheet; its used range."""
     own, merged = [], []
     row_no = 0
@@ -138,7 +127,7 @@ def _sheet(root: Node, out: Parsed, k: int, strings: list[str]) -> dict:
                     formulas=[f.text() for f in rule.children("formula")], text=rule.get("text"), dxf=whole(rule.get("dxfId"), 0),
                 )
                 ordinal += 1
-    return _used(out, k, own, merged)
+    return _used(own, merged, formatted)
 
 
 def read_xlsx(content: bytes) -> Parsed:
@@ -152,7 +141,8 @@ def read_xlsx(content: bytes) -> Parsed:
     raw = part("sharedStrings")
     strings = [_runs(si) for si in parse(raw).children("si")] if raw else []
     raw = part("styles")
-    _formats(parse(raw) if raw else None, out)
+    theme = part("theme")
+    formatted = read_xlsx_styles(parse(raw) if raw else None, parse(theme) if theme else None, out)
     for k, sheet in enumerate(book.child("sheets").children("sheet") if book.child("sheets") else ()):
         state = sheet.get("state", "visible")
         row = out.add("sheets", sheet_idx=k, name=sheet.get("name"), state=state)
@@ -164,7 +154,7 @@ def read_xlsx(content: bytes) -> Parsed:
         look = root.child("sheetFormatPr")
         if look is not None:
             row.update(default_row_height=number(look.get("defaultRowHeight")), default_col_width=number(look.get("defaultColWidth")))
-        row.update(_sheet(root, out, k, strings))
+        row.update(_sheet(root, out, k, strings, formatted))
         out.rows["page_options"][-1]["print_area"] = areas.get(k)
         for path in pack.related(rel[1], "comments"):
             notes = parse(pack.part(path) or b"<x/>")
@@ -211,7 +201,7 @@ def _odf_columns(node: Node) -> list[Node]:
     return out
 
 
-def odf_sheet(table: Node, out: Parsed, k: int) -> dict:
+def odf_sheet(table: Node, out: Parsed, k: int, styles: dict[str, int], formatted: list[bool]) -> dict:
     own, merged = [], []
     at = 1
     for n, col in enumerate(_odf_columns(table)):
@@ -225,8 +215,11 @@ def odf_sheet(table: Node, out: Parsed, k: int) -> dict:
         for cell in row.children("table-cell", "covered-table-cell"):
             repeat = whole(cell.get("number-columns-repeated"), 1)
             kind, num, txt, flag = _odf_value(cell)
-            if kind != "empty":
-                cells += [(c + i, kind, num, txt, flag, i < USED_REPEAT) for i in range(min(repeat, MAX_COL - c + 1))]
+            xf = styles.get(cell.get("style-name") or "", 0)
+            if kind != "empty" or formatted[xf]:
+                # Empty cells are only kept for their look, as far as the used range counts them.
+                most = min(repeat, MAX_COL - c + 1) if kind != "empty" else min(repeat, MAX_COL - c + 1, USED_REPEAT)
+                cells += [(c + i, kind, num, txt, flag, xf, i < USED_REPEAT) for i in range(most)]
             rows, cols = whole(cell.get("number-rows-spanned"), 1), whole(cell.get("number-columns-spanned"), 1)
             if rows > 1 or cols > 1:
                 merged.append(out.add("merges", sheet_idx=k, ordinal=len(merged), r1=r, c1=c, r2=r + rows - 1, c2=c + cols - 1))
@@ -235,8 +228,8 @@ def odf_sheet(table: Node, out: Parsed, k: int) -> dict:
         for i in range(min(times, ROW_REPEAT) if cells or hidden else 0):
             if hidden:
                 out.add("sheet_rows", sheet_idx=k, r=r + i, hidden=True)
-            for col, kind, num, txt, flag, used in cells:
-                added = out.add("cells", sheet_idx=k, r=r + i, c=col, kind=kind, num=num, txt=txt, flag=flag, xf=0)
+            for col, kind, num, txt, flag, xf, used in cells:
+                added = out.add("cells", sheet_idx=k, r=r + i, c=col, kind=kind, num=num, txt=txt, flag=flag, xf=xf)
                 if used:
                     own.append(added)
         r += times
@@ -252,7 +245,7 @@ def odf_sheet(table: Node, out: Parsed, k: int) -> dict:
                     priority=rank, kind=kind, operator=operator, formulas=list(formulas), text=text, dxf=ordinal,
                 )
                 ordinal += 1
-    return _used(out, k, own, merged)
+    return _used(own, merged, formatted)
 
 
 def read_ods(content: bytes) -> Parsed:
@@ -265,11 +258,12 @@ def read_ods(content: bytes) -> Parsed:
         if look is not None and look.get("display") == "false":
             hidden.add(style.get("name"))
     body = root.find("spreadsheet")
+    styles, formatted = read_odf_styles(root, out)
     for k, table in enumerate(body.children("table") if body else ()):
         state = "hidden" if table.get("style-name") in hidden else "visible"
         row = out.add("sheets", sheet_idx=k, name=table.get("name"), state=state)
         if state == "visible":
-            row.update(odf_sheet(table, out, k))
+            row.update(odf_sheet(table, out, k, styles, formatted))
     return out
 
 
@@ -334,7 +328,7 @@ def read_xls(content: bytes) -> Parsed:
         raise ValueError("an older workbook" if files.stream("Book") is not None else "no workbook stream")
     records = list(biff_records(stream))
     strings: list[str] = []
-    codes, formats, sheets = dict(BUILTIN), [], []
+    codes, styles, sheets = dict(BUILTIN), BiffStyles(), []
     for kind, at, parts in records:
         body = parts[0]
         if kind == 0x0809 and at == 0 and struct.unpack_from("<H", body)[0] != 0x0600:
@@ -347,21 +341,20 @@ def read_xls(content: bytes) -> Parsed:
             strings = [reader.text() for _ in range(unique)]
         elif kind == 0x041E:
             codes[struct.unpack_from("<H", body)[0]] = _Strings([body[2:]]).text()
-        elif kind == 0x00E0:
-            formats.append(struct.unpack_from("<H", body, 2)[0])
+        elif kind in BiffStyles.KINDS:
+            styles.take(kind, body)
         elif kind == 0x0085:
             pos, state, sort = struct.unpack_from("<IBB", body)
             sheets.append((pos, ("visible", "hidden", "veryHidden")[min(state & 3, 2)], sort, _Strings([body[6:]]).text(False)))
-    for k, code in enumerate(formats):
-        out.add("xfs", idx=k, num_fmt=codes.get(code, "General"), wrap=False)
+    formatted = styles.fill(out, codes)
     for k, (pos, state, sort, name) in enumerate(sheets):
         row = out.add("sheets", sheet_idx=k, name=name, state=state)
         if state == "visible" and sort == 0:
-            row.update(_xls_sheet([r for r in records if r[1] >= pos], out, k, strings))
+            row.update(_xls_sheet([r for r in records if r[1] >= pos], out, k, strings, formatted))
     return out
 
 
-def _xls_sheet(records: list, out: Parsed, k: int, strings: list[str]) -> dict:
+def _xls_sheet(records: list, out: Parsed, k: int, strings: list[str], formatted: list[bool]) -> dict:
     own, merged, depth = [], [], 0
     waiting: dict | None = None
     boxes: list[tuple[int, int, int, int]] = []
@@ -445,4 +438,4 @@ def _xls_sheet(records: list, out: Parsed, k: int, strings: list[str]) -> dict:
             r, _, _, height, _, _, options = struct.unpack_from("<HHHHHHH", b)
             if options & 0x20 or not height & 0x8000:
                 out.add("sheet_rows", sheet_idx=k, r=r + 1, height=(height & 0x7FFF) / 20, hidden=bool(options & 0x20))
-    return _used(out, k, own, merged)
+    return _used(own, merged, formatted)
