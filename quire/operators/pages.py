@@ -1,4 +1,4 @@
-"""Sheets to pages: scale, groups of rows and columns, page order, notes."""
+"""Sheets to pages: scale, groups of rows and columns, page order, notes, cells as shown."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import let
-from quire.operators.layout import pack_starts, page_number
+from quire.operators.condfmt import match_rectangles
+from quire.operators.layout import overflow_width, pack_starts, page_number
 
 
 def page_scale(options: Column, width: Column, height: Column) -> Column:
@@ -64,3 +65,59 @@ def page_notes(comments: DataFrame, pages: DataFrame, rows: DataFrame, columns:
     ys = left.join(tall, keys).where("_m >= r1 and _m < r").groupBy(*keys, "r", "c", "page").agg((F.sum("height") * F.first("scale")).alias("y"))
     out = left.select(*keys, "r", "c", "page", "text").join(xs, [*keys, "r", "c", "page"]).join(ys, [*keys, "r", "c", "page"], "left")
     return out.withColumn("y", F.coalesce("y", F.lit(0.0)))
+
+
+FONT_FIELDS = ("font", "size", "bold", "italic", "underline", "strike", "color")
+
+
+def auto_row_heights(cells: DataFrame, xfs: DataFrame, rows: DataFrame, default: float, keys: Sequence[str] = ("doc_id", "sheet_idx")) -> DataFrame:
+    """``rows`` (keys, r, height) with heights that are not set by the largest font of the row's cells,
+    where it is larger than the workbook's first font and needs more than the default."""
+    doc = keys[0]
+    sized = xfs.select(doc, F.col("idx").alias("xf"), F.coalesce("size", F.lit(10.0)).alias("_size"))
+    first = sized.where("xf = 0").select(doc, F.col("_size").alias("_base"))
+    largest = cells.join(sized, [doc, "xf"]).groupBy(*keys, "r").agg(F.max("_size").alias("_size"))
+    out = rows.join(largest, [*keys, "r"], "left").join(first, doc, "left")
+    need = F.col("_size") * 1.117 + 2.0
+    grown = F.when((F.col("_size") > F.coalesce("_base", F.lit(10.0)) + 0.01) & (need > default), need)
+    return out.withColumn("height", F.coalesce("height", grown, F.lit(default))).drop("_size", "_base")
+
+
+def page_cells(cells: DataFrame, pages: DataFrame, columns: DataFrame, xfs: DataFrame, dxfs: DataFrame, merges: DataFrame, keys: Sequence[str] = ("doc_id", "sheet_idx")) -> DataFrame:
+    """The cells of each page as they are shown: one view of format, rule, merge and overflow.
+
+    ``cells``: keys, r, c, kind, xf, dxf (the rule's format or null) and more columns, a row for each
+    cell of the used range; ``pages``: keys, page, r1, r2, c1, c2; ``columns``: keys, c, width;
+    ``xfs`` and ``dxfs``: the document's formats by idx; ``merges``: keys, ordinal, r1, c1, r2, c2.
+
+    Cells covered by a merge go, but for its first column: below its first row they stand for the
+    merge going on. A span ends at the page's last column. The rule's font, fill and number format
+    replace the cell's own. Without wrapping, text has the room up to the next cell with content.
+    """
+    keys = list(keys)
+    doc = keys[0]
+    boxes = merges.select(*keys, "ordinal", *[F.col(n).alias(f"m_{n}") for n in ("r1", "c1", "r2", "c2")])
+    areas = boxes.withColumns({n: F.col(f"m_{n}") for n in ("r1", "c1", "r2", "c2")})
+    held = match_rectangles(cells.select(*keys, "r", "c"), areas, keys=keys).groupBy(*keys, "r", "c")
+    held = held.agg(F.min(F.struct("ordinal", "m_r1", "m_c1", "m_r2", "m_c2")).alias("_merge"))
+    placed = cells.join(held, [*keys, "r", "c"], "left").join(columns.select(*keys, "c", "width"), [*keys, "c"], "left")
+    paged = match_rectangles(placed, pages.select(*keys, "page", "r1", "c1", "r2", "c2"), keys=keys).withColumnRenamed("c2", "_last").drop("r1", "c1", "r2")
+    # Rooms are those of the page's own columns, before covered cells go.
+    paged = overflow_width(paged, [*keys, "page"], "width", "room")
+    merge, r, c = F.col("_merge"), F.col("r"), F.col("c")
+    shown = paged.where(merge.isNull() | (c == merge["m_c1"]))
+    goes_on = F.coalesce(r != merge["m_r1"], F.lit(False))
+    own = xfs.select(doc, F.col("idx").alias("xf"), F.struct(*[n for n in xfs.columns if n not in (doc, "idx")]).alias("_xf"))
+    over = dxfs.select(doc, F.col("idx").alias("dxf"), F.struct(*[n for n in dxfs.columns if n not in (doc, "idx")]).alias("_dxf"))
+    out = shown.join(own, [doc, "xf"], "left").join(over, [doc, "dxf"], "left")
+    field = lambda name: F.when(~goes_on, F.coalesce(F.col(f"_dxf.{name}"), F.col(f"_xf.{name}")))
+    default = F.when(F.col("kind").isin("number", "shown", "bool"), "right").when(F.col("kind") == "error", "center").otherwise("left")
+    extra = [n for n in cells.columns if n not in (*keys, "r", "c", "kind", "xf", "dxf")]
+    return out.select(
+        *keys, "page", "r", "c", "kind", *extra,
+        F.when(merge.isNull(), 1).otherwise(F.least(merge["m_c2"], "_last") - merge["m_c1"] + 1).cast("int").alias("span"),
+        F.when(goes_on, "continue").when(merge["m_r2"] > merge["m_r1"], "restart").alias("vmerge"),
+        *[field(n).alias(n) for n in (*FONT_FIELDS, "fill")], F.when(~goes_on, F.coalesce("_dxf.num_fmt", "_xf.num_fmt", F.lit("General"))).alias("code"),
+        F.when(~goes_on, F.col("_xf.borders")).alias("borders"), F.when(~goes_on, F.coalesce("_xf.align", default)).alias("align"), F.when(~goes_on, F.col("_xf.valign")).alias("valign"),
+        F.when(~goes_on & ~F.coalesce("_xf.wrap", F.lit(False)), F.col("room")).alias("room"),
+    )

@@ -520,3 +520,44 @@ SELECT doc_id, r, c, left_c FROM f"""
 def left_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = layout.left_neighbour(line_cells(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", "r", "c", F.col("left.c").alias("left_c"))
+
+
+PAGE_CELLS_SQL = (
+    CELLS
+    + """, styled AS (SELECT *, CAST(r % 3 AS INTEGER) AS xf, CASE WHEN c = 1 AND num > 40 THEN 0 WHEN c = 3 AND num < 0.02 THEN 1 END AS dxf FROM cells),
+box AS (SELECT o_orderkey AS doc_id, 1 AS r1, 2 AS c1, 2 AS r2, 4 AS c2 FROM orders WHERE o_orderkey % 4 = 0),
+held AS (SELECT s.*, b.r1, b.c1, b.c2, CASE WHEN s.c <= 3 THEN 1 ELSE 2 END AS page, CASE WHEN s.c <= 3 THEN 3 ELSE 5 END AS last FROM styled s LEFT JOIN box b ON b.doc_id = s.doc_id AND s.r BETWEEN b.r1 AND b.r2 AND s.c BETWEEN b.c1 AND b.c2),
+room AS (SELECT *, min(CASE WHEN kind <> 'empty' THEN c END) OVER (PARTITION BY doc_id, page, r ORDER BY c ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS following FROM held)
+SELECT doc_id, page, r, c, CAST(CASE WHEN r1 IS NULL THEN 1 ELSE least(c2, last) - c1 + 1 END AS INTEGER) AS span, CASE WHEN r > r1 THEN 'continue' WHEN r1 IS NOT NULL THEN 'restart' END AS vmerge,
+  CASE WHEN r > r1 THEN NULL ELSE coalesce(CASE dxf WHEN 0 THEN TRUE END, xf = 1) END AS bold, CASE WHEN r > r1 THEN NULL ELSE coalesce(CASE dxf WHEN 0 THEN '#ff0000' END, CASE xf WHEN 2 THEN '#00ff00' END) END AS fill,
+  CASE WHEN r > r1 THEN NULL ELSE coalesce(CASE dxf WHEN 1 THEN '0%' END, CASE xf WHEN 0 THEN 'General' ELSE '0.00' END) END AS code,
+  CASE WHEN r > r1 THEN NULL WHEN xf = 2 THEN 'center' WHEN kind IN ('number', 'bool') THEN 'right' ELSE 'left' END AS align,
+  CASE WHEN r > r1 OR xf = 1 THEN NULL ELSE greatest(10.0 * (coalesce(following, last + 1) - c) - 3, 1) END::DOUBLE AS room
+FROM room WHERE r1 IS NULL OR c = c1"""
+)
+
+
+@query(PAGE_CELLS_SQL)
+def page_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of two pages side by side with format, rule, merge and room in one view."""
+    from quire.operators import pages
+
+    cells = line_cells(spark, sf_dir).withColumn("xf", (F.col("r") % 3).cast("int"))
+    area = (1, 1, 1_000_000, 1)
+    cells = condfmt.apply_rules(cells, (condfmt.Rule(area, 1, 0, "cellIs", "greaterThan", ("40",)), condfmt.Rule((1, 3, 1_000_000, 3), 1, 1, "cellIs", "lessThan", ("0.02",))))
+    docs = table(spark, sf_dir, "orders").selectExpr("o_orderkey doc_id")
+    sheets = docs.selectExpr("doc_id", "0 sheet_idx")
+    look = lambda rows, names: docs.selectExpr("doc_id", f"inline(array({', '.join(rows)}))").toDF("doc_id", *names)
+    nothing = "cast(null as string), cast(null as double)"
+    rest = "cast(null as boolean), cast(null as boolean), cast(null as boolean), cast(null as string)"
+    names = ["idx", "num_fmt", "align", "valign", "wrap", "indent", "font", "size", "bold", "italic", "underline", "strike", "color", "fill", "borders"]
+    xf = lambda k, code, align, wrap, bold, fill: f"struct({k}, '{code}', {align}, 'bottom', {wrap}, 0.0D, {nothing}, {bold}, {rest}, {fill}, array('x'))"
+    none = "cast(null as string)"
+    xfs = look([xf(0, "General", none, "false", "false", none), xf(1, "0.00", none, "true", "true", none), xf(2, "0.00", "'center'", "false", "false", "'#00ff00'")], names)
+    dxf = lambda k, code, bold, fill: f"struct({k}, {code}, {nothing}, {bold}, {rest}, {fill})"
+    dxfs = look([dxf(0, none, "true", "'#ff0000'"), dxf(1, "'0%'", "cast(null as boolean)", none)], ["idx", "num_fmt", *names[6:14]])
+    merges = sheets.where("doc_id % 4 = 0").selectExpr("*", "0 ordinal", "1 r1", "2 c1", "2 r2", "4 c2")
+    parts = sheets.selectExpr("*", "inline(array(struct(1, 1, 1000, 1, 3), struct(2, 1, 1000, 4, 5)))").toDF("doc_id", "sheet_idx", "page", "r1", "r2", "c1", "c2")
+    columns = sheets.selectExpr("*", "explode(sequence(1, 5)) c", "10.0D width")
+    out = pages.page_cells(cells.drop("num", "txt", "flag"), parts, columns, xfs, dxfs, merges)
+    return out.select("doc_id", "page", "r", "c", "span", "vmerge", "bold", "fill", "code", "align", "room")
