@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.scalars import nice_axis
+from quire.operators.condfmt import match_rectangles
 
 
 def chart_points(df: DataFrame, keys: Sequence[str], category: str, series: str, value: str) -> DataFrame:
@@ -65,3 +66,29 @@ def table_band(row: Column, first_row: Column, banded: Column) -> Column:
     """Look of a table row: 'header', 'band1', 'band2' or 'plain'."""
     inner = row - F.when(first_row, 1).otherwise(0)
     return F.when(first_row & (row == 0), "header").when(~banded, "plain").when(inner % 2 == 0, "band1").otherwise("band2")
+
+
+def area_points(areas: DataFrame, cells: DataFrame, keys: Sequence[str] = ("doc_id", "sheet_idx")) -> DataFrame:
+    """Points of charts from the sheet areas that they refer to.
+
+    ``areas``: keys, chart, series_idx, role (values, categories, name), r1, c1, r2, c2; ``cells``:
+    keys, r, c, kind, num, shown (the text of a cell). Returns keys, chart, series_idx, series_name,
+    pos, category, value: an area is read row by row, empty cells are null values and empty
+    categories. The first series with categories gives them to all, further ones are numbers.
+    """
+    keys = list(keys)
+    one = [*keys, "chart", "series_idx"]
+    wide = F.col("c2") - F.col("c1") + 1
+    size = (F.col("r2") - F.col("r1") + 1) * wide
+    filled = cells.where("kind <> 'empty'").select(*keys, "r", "c", "kind", "num", "shown")
+    found = match_rectangles(filled, areas, keys=keys).withColumn("pos", ((F.col("r") - F.col("r1")) * wide + F.col("c") - F.col("c1") + 1).cast("int"))
+    number = F.when(F.col("kind").isin("number", "shown"), F.col("num"))
+    values = found.where("role = 'values'").select(*one, "pos", number.alias("value"))
+    names = found.where("role = 'name'").groupBy(*one).agg(F.min_by("shown", "pos").alias("series_name"))
+    places = areas.where("role = 'values'").select(*one, F.explode(F.sequence(F.lit(1), size.cast("int"))).alias("pos"))
+    axis = areas.where("role = 'categories'").groupBy(*keys, "chart").agg(F.min(F.struct("series_idx", size.cast("int").alias("n"))).alias("first"))
+    axis = axis.select(*keys, "chart", F.col("first.series_idx").alias("_series"), F.col("first.n").alias("_n"))
+    told = found.where("role = 'categories'").select(*keys, "chart", F.col("series_idx").alias("_series"), "pos", F.col("shown").alias("_told"))
+    out = places.join(values, [*one, "pos"], "left").join(names, one, "left").join(axis, [*keys, "chart"], "left").join(told, [*keys, "chart", "_series", "pos"], "left")
+    category = F.when(F.col("pos") <= F.col("_n"), F.coalesce("_told", F.lit(""))).otherwise(F.col("pos").cast("string"))
+    return out.select(*one, "series_name", "pos", category.alias("category"), "value")

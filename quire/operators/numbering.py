@@ -113,6 +113,18 @@ def join_deleted_marks(paragraphs: DataFrame, keys: Sequence[str], order: str, d
     return out.agg(F.min(order).alias(order), F.array_join(F.transform(parts, lambda p: p[text]), "").alias(text)).drop("_group")
 
 
+def outline_lists(blocks: DataFrame, levels: DataFrame, outline_list: str = "outline") -> DataFrame:
+    """Headings without a list take the outline's numbering, at their own level.
+
+    ``blocks``: doc_id, outline (level from 0, null for no heading), num_id, list_level; ``levels``:
+    doc_id, level, numbered: which levels of the outline have a number or a bullet.
+    """
+    numbered = levels.where("numbered").select("doc_id", F.col("level").alias("outline"), F.lit(True).alias("_on")).distinct()
+    out = blocks.join(numbered, ["doc_id", "outline"], "left")
+    takes = F.col("num_id").isNull() & F.coalesce("_on", F.lit(False))
+    return out.withColumns({"num_id": F.when(takes, outline_list).otherwise(F.col("num_id")), "list_level": F.when(takes, F.col("outline")).otherwise(F.col("list_level"))}).select(*blocks.columns)
+
+
 def visible_numbers(slides: DataFrame, keys: Sequence[str], order: str, shown: str, name: str = "number") -> DataFrame:
     """Slides that are shown, numbered among themselves."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.scalars import let
 from quire.operators.condfmt import match_rectangles
-from quire.operators.layout import overflow_width, pack_starts, page_number
+from quire.operators.layout import overflow_width, pack_starts, page_number, point_to_cell, prefix_offsets
 
 
 def page_scale(options: Column, width: Column, height: Column) -> Column:
@@ -67,6 +67,23 @@ def page_notes(comments: DataFrame, pages: DataFrame, rows: DataFrame, columns:
     return out.withColumn("y", F.coalesce("y", F.lit(0.0)))
 
 
+def drawings_on_pages(drawings: DataFrame, pages: DataFrame, rows: DataFrame, columns: DataFrame, keys: Sequence[str] = ("doc_id", "sheet_idx")) -> DataFrame:
+    """Drawings (keys, idx, x, y in points from the sheet's corner) on the page of the cell that holds
+    their corner: with page, and x and y from the page's corner, to its scale."""
+    keys = list(keys)
+    spans = []
+    for table, at, size in ((columns, "c", F.col("width")), (rows, "r", F.when(F.coalesce("hidden", F.lit(False)), 0.0).otherwise(F.col("height")))):
+        spans.append(prefix_offsets(table.select(*keys, F.col(at).alias("ord"), size.cast("double").alias("size")), keys, ["ord"], "size"))
+    corner = drawings.withColumns({"_x": F.col("x") + 0.01, "_y": F.col("y") + 0.01})
+    corner = point_to_cell(point_to_cell(corner, spans[0], keys, "_x", "c"), spans[1], keys, "_y", "r").drop("_x", "_y")
+    on_page = match_rectangles(corner, pages.select(*keys, "page", "r1", "c1", "r2", "c2", "scale"), keys=keys)
+    left = spans[0].select(*keys, F.col("ord").alias("c1"), F.col("start").alias("_left"))
+    top = spans[1].select(*keys, F.col("ord").alias("r1"), F.col("start").alias("_top"))
+    out = on_page.join(left, [*keys, "c1"]).join(top, [*keys, "r1"])
+    place = {"x": (F.col("x") - F.col("_left")) * F.col("scale"), "y": (F.col("y") - F.col("_top")) * F.col("scale")}
+    return out.withColumns(place).select(*drawings.columns, "page", "r", "c")
+
+
 FONT_FIELDS = ("font", "size", "bold", "italic", "underline", "strike", "color")
 
 

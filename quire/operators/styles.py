@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.staging import release, staged
@@ -79,6 +79,26 @@ def merge_border(weak: Column, strong: Column) -> Column:
     return F.coalesce(strong, weak)
 
 
+def table_border(own: Column, at_edge: Column, outer: Column, inside: Column) -> Column:
+    """A side of a table's cell: its own, where it is unset the table's outer side at the edge, else
+    the inner line. 'none' is a side of its own."""
+    return F.coalesce(own, F.when(at_edge, outer).otherwise(inside))
+
+
+def table_borders(cells: DataFrame, keys: Sequence[str], table: Column) -> DataFrame:
+    """``cells`` (keys, r, c, span, top, right, bottom, left) with the sides that are drawn; ``table``:
+    struct(top, right, bottom, left, inside_h, inside_v) of the table's own lines."""
+    whole = Window.partitionBy(*keys)
+    last_row, end = F.max("r").over(whole), F.max(F.col("c") + F.col("span")).over(whole)
+    out = cells.withColumns({"_t": table, "_last": last_row, "_end": end})
+    t = F.col("_t")
+    sides = {
+        "top": table_border(F.col("top"), F.col("r") == 0, t["top"], t["inside_h"]), "bottom": table_border(F.col("bottom"), F.col("r") == F.col("_last"), t["bottom"], t["inside_h"]),
+        "left": table_border(F.col("left"), F.col("c") == 0, t["left"], t["inside_v"]), "right": table_border(F.col("right"), F.col("c") + F.col("span") >= F.col("_end"), t["right"], t["inside_v"]),
+    }
+    return out.withColumns(sides).drop("_t", "_last", "_end")
+
+
 def relative_size(chain: Column, base: Column) -> Column:
     """Font size along a chain from the root: numbers replace, percentages scale."""
     return F.aggregate(chain, base, lambda a, s: F.when(s["percent"].isNotNull(), a * s["percent"] / 100.0).otherwise(F.coalesce(s["size"], a)))

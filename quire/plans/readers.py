@@ -420,3 +420,78 @@ def dispatch_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     extension = F.element_at(F.array(*map(F.lit, ("ODS", "odt", "doc", "markdown", "xlsx", "csv"))), kind + 1)
     parsed = parse_files(table(spark, sf_dir, "nation").select(F.concat_ws(".", F.col("n_nationkey").cast("string"), extension).alias("path"), content.alias("content")))
     return parsed.select(F.regexp_extract("doc_id", r"^\d+", 0).cast("int").alias("n_nationkey"), "format", "status", F.size("cells").alias("n_cells"), F.size("blocks").alias("n_blocks"))
+
+
+@query(
+    """SELECT CAST(p_partkey % 50 AS BIGINT) AS deck, CAST(row_number() OVER (PARTITION BY p_partkey % 50 ORDER BY p_partkey) - 1 AS INTEGER) AS idx, p_name AS name, 'pic' AS kind, 10.0 + p_size * 2.0 AS x, 20.0 + p_size * 1.0 AS y, 8.0 AS width, 4.0 AS height, 'ppt/media/image1.png' AS part FROM part"""
+)
+def pptx_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures on slides in points, through the group around them, with the part that they show."""
+    emu = lambda c: (c * 12700).cast("long")
+    frame = lambda tag, x, y, w, h: f'<a:{tag}off x="{x}" y="{y}"/><a:{tag}ext cx="{w}" cy="{h}"/>'.replace(":chext", ":chExt").replace(":choff", ":chOff")
+    size = F.col("p_size")
+    pic = xml('<p:pic><p:nvPicPr><p:cNvPr id="2" name="', escaped(F.col("p_name")), '"/></p:nvPicPr><p:blipFill><a:blip r:embed="i1"/></p:blipFill><p:spPr><a:xfrm><a:off x="', emu(size), '" y="', emu(size), '"/><a:ext cx="50800" cy="50800"/></a:xfrm></p:spPr></p:pic>')
+    decks = table(spark, sf_dir, "part").withColumn("deck", F.col("p_partkey") % 50).groupBy("deck").agg(listed(["p_partkey"], pic).alias("pics"))
+    group = "<p:grpSp><p:nvGrpSpPr/><p:grpSpPr><a:xfrm>" + frame("", 127000, 254000, 2540000, 1270000) + frame("ch", 0, 0, 1270000, 1270000) + "</a:xfrm></p:grpSpPr>"
+    content = package({
+        "_rels/.rels": relationships(("r1", "officeDocument", "ppt/presentation.xml")),
+        "ppt/presentation.xml": F.lit(f'<p:presentation xmlns:p="p" xmlns:r="{OFFICE_RELS}"><p:sldIdLst><p:sldId id="1" r:id="s1"/></p:sldIdLst></p:presentation>'),
+        "ppt/_rels/presentation.xml.rels": relationships(("s1", "slide", "slides/s1.xml")),
+        "ppt/slides/s1.xml": xml(f'<p:sld xmlns:p="p" xmlns:a="a" xmlns:r="{OFFICE_RELS}"><p:cSld><p:spTree>{group}', F.col("pics"), "</p:grpSp></p:spTree></p:cSld></p:sld>"),
+        "ppt/slides/_rels/s1.xml.rels": relationships(("i1", "image", "../media/image1.png")),
+    })
+    shapes = read_back(decks, "deck", content, "pptx", "drawings")
+    return shapes.select("deck", "idx", "name", "kind", "x", "y", "width", "height", "part")
+
+
+@query(
+    """SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, 'Pictures/' || n_nationkey || '.gif' AS part, 'gif' AS format, CAST(3 + length(n_name) AS BIGINT) AS size, n_name AS label FROM nation WHERE n_nationkey % 4 <> 3"""
+)
+def odt_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media parts of OpenDocument packages with their bytes; parts that are no image are left out."""
+    k = F.col("n_nationkey").cast("string")
+    part = F.struct("n_nationkey", xml("Pictures/", k, ".gif").alias("name"), F.when(F.col("n_nationkey") % 4 == 3, F.col("n_name")).otherwise(xml("GIF", F.col("n_name"))).alias("text"))
+    texts = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    content = f"<office:document-content {ODF}><office:body><office:text><text:p>x</text:p></office:text></office:body></office:document-content>"
+    fixed = F.array(F.lit("mimetype"), F.lit("application/vnd.oasis.opendocument.text"), F.lit("content.xml"), F.lit(content))
+    parts = F.concat(fixed, F.flatten(F.transform("parts", lambda p: F.array(p["name"], p["text"]))))
+    media = read_back(texts, "n_regionkey", zipped(parts), "odt", "media")
+    return media.select("n_regionkey", "part", "format", "size", F.substring(F.decode("data", "UTF-8"), 4, 1000).alias("label"))
+
+
+@query(
+    SUPPLIED + """SELECT l_suppkey, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY r) - 1 AS INTEGER) AS idx, CAST(r AS INTEGER) AS from_r, CAST(l_linenumber AS INTEGER) AS from_c, l_quantity AS x, 2.0 AS width, CASE WHEN l_linenumber % 2 = 0 THEN CAST(r + 1 AS INTEGER) END AS to_r, 'line ' || l_linenumber AS text FROM lines WHERE r % 10 = 1"""
+)
+def xlsx_drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of sheet drawings: the cell they start in, offset, size or the cell they end in, text."""
+    r, c = F.col("r"), F.col("l_linenumber")
+    corner = lambda tag, row, col, off: xml(f"<x:{tag}><x:col>", col, "</x:col><x:colOff>", off, "</x:colOff><x:row>", row, f"</x:row><x:rowOff>0</x:rowOff></x:{tag}>")
+    ends = F.when(c % 2 == 0, corner("to", r, c, F.lit(0))).otherwise('<x:ext cx="25400" cy="25400"/>')
+    anchor = xml("<x:oneCellAnchor>", corner("from", r - 1, c - 1, (F.col("l_quantity") * 12700).cast("long")), ends, "<x:sp><x:txBody><a:p><a:r><a:t>line ", c, "</a:t></a:r></a:p></x:txBody></x:sp></x:oneCellAnchor>")
+    books = supplied(spark, sf_dir).where("r % 10 = 1").groupBy("l_suppkey").agg(listed(["r"], anchor).alias("anchors"))
+    content = package({
+        "_rels/.rels": relationships(("r1", "officeDocument", "xl/workbook.xml")),
+        "xl/workbook.xml": F.lit(f'<workbook xmlns="s" xmlns:r="{OFFICE_RELS}"><sheets><sheet name="One" sheetId="1" r:id="r1"/></sheets></workbook>'),
+        "xl/_rels/workbook.xml.rels": relationships(("r1", "worksheet", "worksheets/sheet1.xml")),
+        "xl/worksheets/sheet1.xml": F.lit('<worksheet xmlns="s"><sheetData/></worksheet>'),
+        "xl/worksheets/_rels/sheet1.xml.rels": relationships(("d1", "drawing", "../drawings/drawing1.xml")),
+        "xl/drawings/drawing1.xml": xml('<x:wsDr xmlns:x="x" xmlns:a="a">', F.col("anchors"), "</x:wsDr>"),
+    })
+    drawn = read_back(books, "l_suppkey", content, "xlsx", "drawings")
+    return drawn.select("l_suppkey", "idx", "from_r", "from_c", "x", F.coalesce("width", F.lit(2.0)).alias("width"), "to_r", "text")
+
+
+@query(
+    """SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '&L' || s_name || ' && co&R&P of &N' WHEN 1 THEN '&C&A  x' END AS header FROM supplier"""
+)
+def ods_header_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of OpenDocument sheets as codes: regions, fields, counted spaces; one that is off has none."""
+    k = F.col("s_suppkey") % 3
+    inner = (
+        F.when(k == 0, xml("<style:region-left><text:p>", escaped(F.col("s_name")), " &amp; co</text:p></style:region-left><style:region-right><text:p><text:page-number>1</text:page-number> of <text:page-count/></text:p></style:region-right>"))
+        .when(k == 1, '<text:p><text:sheet-name>S</text:sheet-name><text:span><text:s text:c="2"/>x</text:span></text:p>').otherwise("<text:p>off</text:p>")
+    )
+    header = xml("<style:header", F.when(k == 2, ' style:display="false"').otherwise(""), ">", inner, "</style:header>")
+    body = F.lit("<office:spreadsheet><table:table/></office:spreadsheet>")
+    content = F.encode(xml(f'<?xml version="1.0"?><office:document {ODF} office:mimetype="application/vnd.oasis.opendocument.spreadsheet"><office:master-styles><style:master-page style:name="Default">', header, "</style:master-page></office:master-styles><office:body>", body, "</office:body></office:document>"), "UTF-8")
+    return read_back(table(spark, sf_dir, "supplier"), "s_suppkey", content, "fods", "page_options").select("s_suppkey", "header")

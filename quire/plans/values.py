@@ -364,3 +364,61 @@ def previous_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value of the run before beside this one's."""
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "o_totalprice price")
     return fidelity.with_previous(rows.where("o_orderkey % 2 = 1"), rows.where("o_orderkey % 2 = 0"), ["o_custkey"], "price")
+
+
+@query(
+    CELLS
+    + """, m AS (SELECT doc_id, max(r) AS n FROM cells GROUP BY 1), p AS (SELECT doc_id, unnest(range(1, n + 2)) AS pos FROM m), s AS (SELECT p.*, i AS series_idx FROM p, range(2) t(i))
+SELECT s.doc_id, CAST(series_idx AS INTEGER) AS series_idx, CASE WHEN series_idx = 0 THEN printf('%.1f', f.num) END AS series_name, CAST(s.pos AS INTEGER) AS pos, CASE WHEN s.pos <= 2 THEN coalesce(k.txt, '') ELSE s.pos || '' END AS category,
+  v.num AS value FROM s LEFT JOIN cells v ON v.doc_id = s.doc_id AND v.r = s.pos AND v.c = series_idx + 1 LEFT JOIN cells k ON k.doc_id = s.doc_id AND k.r = s.pos AND k.c = 4 LEFT JOIN cells f ON f.doc_id = s.doc_id AND f.r = 1 AND f.c = 1"""
+)
+def chart_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts of a sheet: values, categories and names from the areas that they refer to."""
+    cells = line_cells(spark, sf_dir).withColumn("shown", F.coalesce("txt", F.call_function("format_number", F.col("num"), F.lit("0.0"))))
+    last = cells.groupBy("doc_id", "sheet_idx").agg(F.max("r").cast("int").alias("n"))
+    area = "struct(0 as chart, {} as series_idx, '{}' as role, 1 as r1, {} as c1, {} as r2, {} as c2)"
+    areas = [area.format(k, "values", k + 1, "n + 1", k + 1) for k in (0, 1)] + [area.format(0, "categories", 4, 2, 4), area.format(0, "name", 1, 1, 1)]
+    spread = last.selectExpr("doc_id", "sheet_idx", f"inline(array({', '.join(areas)}))")
+    return charts.area_points(spread, cells).select("doc_id", "series_idx", "series_name", "pos", "category", "value")
+
+
+@query(
+    """WITH d AS (SELECT p_partkey, p_partkey % 20 AS doc_id, CAST(p_size * 7 AS DOUBLE) AS x, CAST(p_size * 3 AS DOUBLE) AS y FROM part),
+c AS (SELECT *, greatest(ceil(x / 50) - 1, 0) AS ci, greatest(ceil(y / 20) - 1, 0) AS ri FROM d)
+SELECT p_partkey, CAST(ci + 1 AS INTEGER) AS c, CAST(ri + 1 AS INTEGER) AS r, CAST(1 + floor(ri / 4) + 2 * floor(ci / 4) AS INTEGER) AS page, (x - 200 * floor(ci / 4)) / 2 AS x, (y - 80 * floor(ri / 4)) / 2 AS y FROM c WHERE ri < 8 AND ci < 8"""
+)
+def drawings_on_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings on the page of the cell under their corner, placed from the page's corner."""
+    keys = ["doc_id"]
+    drawn = table(spark, sf_dir, "part").selectExpr("p_partkey % 20 doc_id", "p_partkey", "cast(p_size * 7 as double) x", "cast(p_size * 3 as double) y")
+    docs = spark.range(20).withColumnRenamed("id", "doc_id")
+    rows = docs.selectExpr("doc_id", "explode(sequence(1, 8)) r").selectExpr("*", "20.0D height", "false hidden", "false break_after")
+    columns = docs.selectExpr("doc_id", "explode(sequence(1, 8)) c").selectExpr("*", "50.0D width", "false break_after")
+    options = docs.selectExpr("doc_id", "100.0D printable_w", "40.0D printable_h", "0.5D scale", "false fit_to_page", "0 fit_width", "0 fit_height", "false over_then_down")
+    found = pages.drawings_on_pages(drawn, pages.sheet_pages(rows, columns, options, keys), rows, columns, keys)
+    return found.select("p_partkey", "c", "r", "page", "x", "y")
+
+
+@query(
+    """WITH c AS (SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey, r, CASE WHEN o_orderkey % 5 = 0 THEN 'none' WHEN r = 0 THEN 'outer' ELSE 'inner' END AS top, CASE WHEN r = n - 1 THEN 'outer' ELSE 'inner' END AS bottom, 'outer' AS "left", CASE WHEN r > 0 AND o_orderkey % 2 = 0 THEN 'own' ELSE 'outer' END AS "right" FROM c"""
+)
+def table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sides of table cells: their own, the table's at its edges, the inner lines between."""
+    k = F.col("o_orderkey")
+    row = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).cast("int")
+    none = F.lit(None).cast("string")
+    cells = table(spark, sf_dir, "orders").select("o_custkey", row.alias("r"), F.lit(0).alias("c"), F.lit(1).alias("span"), F.when(k % 5 == 0, "none").alias("top"), none.alias("bottom"), none.alias("left"), F.when((row > 0) & (k % 2 == 0), "own").alias("right"))
+    lines = F.struct(*[F.lit(v).alias(n) for n, v in (("top", "outer"), ("right", "outer"), ("bottom", "outer"), ("left", "outer"), ("inside_h", "inner"), ("inside_v", "inner"))])
+    return styles.table_borders(cells, ["o_custkey"], lines).select("o_custkey", "r", "top", "bottom", "left", "right")
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 3 = 0 AND turn < 6 AND role = 'user' THEN 'outline' WHEN role <> 'user' THEN 'own' END AS num_id, CASE WHEN role <> 'user' THEN 7 WHEN turn % 3 = 0 AND turn < 6 THEN CAST(turn // 3 AS INTEGER) END AS list_level FROM conversations"""
+)
+def outline_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings without a list take the outline's numbering where its level has one."""
+    turn, own = F.col("turn"), F.col("role") != "user"
+    blocks = table(spark, sf_dir, "conversations").select("conv_id", F.col("conv_id").alias("doc_id"), "turn", F.when(turn % 3 == 0, (turn / 3).cast("int")).alias("outline"), F.when(own, "own").alias("num_id"), F.when(own, 7).alias("list_level"))
+    levels = table(spark, sf_dir, "conversations").selectExpr("conv_id doc_id").distinct().selectExpr("doc_id", "inline(array(struct(0, true), struct(1, true)))").toDF("doc_id", "level", "numbered")
+    return numbering.outline_lists(blocks, levels).select("conv_id", "turn", "num_id", "list_level")

@@ -14,7 +14,7 @@ FUNCTIONS = {
     112: ("LOWER", 1), 113: ("UPPER", 1), 115: ("LEFT", None), 116: ("RIGHT", None), 117: ("EXACT", 2), 118: ("TRIM", 1), 127: ("ISTEXT", 1), 128: ("ISNUMBER", 1),
     129: ("ISBLANK", 1), 131: ("N", 1), 169: ("COUNTA", None), 347: ("COUNTBLANK", 1),
 }
-#: Rule operators by number.
+#: Rule operators by number.
 COMPARISONS = ("", "between", "notBetween", "equal", "notEqual", "greaterThan", "lessThan", "greaterThanOrEqual", "lessThanOrEqual")
 
 

@@ -27,7 +27,8 @@ TABLES: dict[str, str] = {
     "comments": "sheet_idx int, r int, c int, author string, text string",
     "charts": "chart_id string, kind string, title string",
     "chart_points": "chart_id string, series_idx int, series_name string, pos int, category string, value double",
-    "media": "part string, format string, size long",
+    "media": "part string, format string, size long, width int, height int, data binary",
+    "drawings": "section_idx int, sheet_idx int, idx int, kind string, name string, x double, y double, width double, height double, from_r int, from_c int, to_r int, to_c int, to_x double, to_y double, part string, text string",
 }
 
 

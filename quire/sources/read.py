@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.sources import sniff, spreadsheets, texts, worddoc
+from quire.sources.drawings import read_media
 from quire.sources.odf_charts import read_package_charts
 from quire.sources.parsed import SCHEMA, TABLES, Parsed
 
@@ -31,6 +32,7 @@ def parse_one(kind: str | None, content: bytes | None, most: int = MOST_BYTES) -
         parsed = READERS[kind](content)
         if kind in ("ods", "odt", "odp"):
             read_package_charts(content, parsed)
+        read_media(content, parsed)
         return 0, None, parsed
     except RecursionError:
         return 1, "nested too deep", Parsed()

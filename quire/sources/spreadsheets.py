@@ -10,6 +10,7 @@ from quire.functions.numfmt import BUILTIN
 from quire.operators.condfmt import odf_condition
 from quire.sources.biff_formula import COMPARISONS, decompile
 from quire.sources.containers import Compound, Package, biff_records
+from quire.sources.drawings import read_sheet_drawings
 from quire.sources.parsed import Parsed
 from quire.sources.sheet_styles import BiffStyles, read_odf_styles, read_xlsx_styles
 from quire.sources.xmltree import Node, number, on, parse, whole
@@ -156,6 +157,7 @@ def read_xlsx(content: bytes) -> Parsed:
             row.update(default_row_height=number(look.get("defaultRowHeight")), default_col_width=number(look.get("defaultColWidth")))
         row.update(_sheet(root, out, k, strings, formatted))
         out.rows["page_options"][-1]["print_area"] = areas.get(k)
+        read_sheet_drawings(pack, rel[1], k, out)
         for path in pack.related(rel[1], "comments"):
             notes = parse(pack.part(path) or b"<x/>")
             authors = [a.text() for a in notes.child("authors").children("author")] if notes.child("authors") else []
@@ -248,10 +250,43 @@ def odf_sheet(table: Node, out: Parsed, k: int, styles: dict[str, int], formatte
     return _used(own, merged, formatted)
 
 
+def _field_codes(node) -> str:
+    """Text of a header paragraph with codes for its fields."""
+    fixed = {"sheet-name": "&A", "page-number": "&P", "page-count": "&N", "tab": " "}
+    out = (node.text or "").replace("&", "&&")
+    for kid in node:
+        name = kid.tag.rpartition("}")[2]
+        if name == "s":
+            out += " " * int(next((v for k, v in kid.attrib.items() if k.endswith("}c")), "1"))
+        else:
+            out += fixed.get(name) or _field_codes(kid)
+        out += (kid.tail or "").replace("&", "&&")
+    return out
+
+
+def odf_header_code(node: Node | None) -> str | None:
+    """A header or footer as codes: regions left, center and right, or all of it in the center; null
+    if it is off or shows nothing."""
+    if node is None or node.get("display") == "false":
+        return None
+    text = lambda n: "\n".join(_field_codes(p.el) for p in n.children("p"))
+    regions = [(code, node.child(f"region-{name}")) for code, name in (("&L", "left"), ("&C", "center"), ("&R", "right"))]
+    parts = [(code, text(n)) for code, n in regions if n is not None] or [("&C", text(node))]
+    return "".join(code + t for code, t in parts) if any(t.strip() for _, t in parts) else None
+
+
+def _odf_headers(root: Node) -> dict[str, tuple[str | None, str | None]]:
+    """Header and footer codes of each master page."""
+    return {n.get("name", ""): (odf_header_code(n.child("header")), odf_header_code(n.child("footer"))) for n in root.walk() if n.name == "master-page"}
+
+
 def read_ods(content: bytes) -> Parsed:
     """Shown tables of an OpenDocument sheet, packed or flat."""
     out = Parsed()
     root = parse(content) if content[:2] != b"PK" else parse(Package(content).part("content.xml") or b"")
+    looks = Package(content).part("styles.xml") if content[:2] == b"PK" else None
+    headers = _odf_headers(parse(looks) if looks else root)
+    masters = {n.get("name"): n.get("master-page-name") for n in root.walk() if n.name == "style" and n.get("family") == "table"}
     hidden = set()
     for style in (n for n in root.walk() if n.name == "style" and n.get("family") == "table"):
         look = style.child("table-properties")
@@ -264,6 +299,8 @@ def read_ods(content: bytes) -> Parsed:
         row = out.add("sheets", sheet_idx=k, name=table.get("name"), state=state)
         if state == "visible":
             row.update(odf_sheet(table, out, k, styles, formatted))
+            header, footer = headers.get(masters.get(table.get("style-name")) or "Default", (None, None))
+            out.add("page_options", sheet_idx=k, header=header, footer=footer)
     return out
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 
 from quire.sources.containers import Package
+from quire.sources.drawings import read_slide_shapes
 from quire.sources.parsed import Parsed
+from quire.sources.sheet_styles import read_odf_styles
 from quire.sources.spreadsheets import odf_sheet
 from quire.sources.xmltree import Node, number, on, parse, whole
 
@@ -89,10 +91,6 @@ class _Docx:
             for note in notes.kids if notes else ():
                 if note.get("type") not in ("separator", "continuationSeparator", "continuationNotice"):
                     self.blocks(note, f"{kind[:-1]}:{note.get('id')}", ())
-        for path in (p for k, p in self.rels.values() if k == "image"):
-            data = self.pack.part(path)
-            if data is not None and (kind := image_kind(data)):
-                self.out.add("media", part=path, format=kind, size=len(data))
         for path in (p for k, p in self.rels.values() if k == "chart"):
             if raw := self.pack.part(path):
                 read_chart(parse(raw), path, self.out)
@@ -238,13 +236,6 @@ def read_docx(content: bytes) -> Parsed:
     return _Docx(content).read()
 
 
-def image_kind(data: bytes) -> str | None:
-    for magic, kind in ((b"\x89PNG", "png"), (b"\xff\xd8", "jpeg"), (b"GIF", "gif")):
-        if data.startswith(magic):
-            return kind
-    return "svg" if b"<" in data[:512] and b"<svg" in data[:2048] else None
-
-
 # Charts ------------------------------------------------------------------------------------------
 
 CHARTS = {"barChart": "column", "lineChart": "line", "pieChart": "pie", "areaChart": "area", "doughnutChart": "pie", "bar3DChart": "column", "pie3DChart": "pie", "line3DChart": "line", "area3DChart": "area"}
@@ -373,6 +364,8 @@ def read_pptx(content: bytes) -> Parsed:
             node = parse(data)
             layers.append((node, at))
         shape = 0
+        if slide.child("cSld", "spTree") is not None:
+            read_slide_shapes(slide.child("cSld", "spTree"), shown, pack.relationships(rel[1]), out)
         for node, at in reversed(layers):
             tree = node.child("cSld", "spTree")
             if tree is not None:
@@ -502,11 +495,12 @@ def read_odp(content: bytes) -> Parsed:
     root, roots = _odf_roots(content)
     body = root.find("presentation")
     pages = body.children("page") if body else []
+    styles = read_odf_styles(root, out)
     for k, page in enumerate(pages):
         out.add("sections", section_idx=k, **_odf_page(roots), columns=1, title_page=False)
         _odf_blocks(page, out, f"slide:{k}", k, (k,), 0, None)
         for table in (t for t in page.walk() if t.name == "table"):
-            odf_sheet(table, out, k)
+            odf_sheet(table, out, k, *styles)
     return out
 
 
