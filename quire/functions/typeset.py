@@ -7,19 +7,29 @@ from pyspark.sql import functions as F
 
 SANS, SERIF, MONO, SYMBOLS = "Liberation Sans", "Liberation Serif", "Liberation Mono", "OpenSymbol"
 #: Families that stand for others.
-ALIASES = {
-    SYMBOLS: "symbol|wingdings|wingdings 2|wingdings 3|webdings|opensymbol|starsymbol|starbats",
-    "Carlito": "calibri|calibri light|carlito",
-    "Caladea": "cambria|cambria math|caladea",
-    SANS: "arial|arial narrow|helvetica|helvetica neue|arimo|albany|verdana|tahoma|segoe ui|trebuchet ms|century gothic|franklin gothic|franklin gothic book|gill sans|gill sans mt"
-    "|lucida sans|candara|corbel|open sans|roboto|avenir|futura|aptos|aptos display|lato|montserrat|inter|dejavu sans|noto sans",
-    SERIF: "times new roman|times|tinos|thorndale|nimbus roman|georgia|garamond|book antiqua|palatino|palatino linotype|century schoolbook|bookman old style|constantia|minion pro|baskerville|perpetua",
-    MONO: "courier new|courier|cousine|cumberland|consolas|lucida console|menlo|monaco|source code pro|fira code|cascadia code",
-}
+ALIASES: dict[str, tuple[str, ...]] = {
+    SYMBOLS: ("symbol", "wingdings", "wingdings 2", "wingdings 3", "webdings", "opensymbol", "starsymbol", "starbats"),
+    "Carlito": ("calibri", "calibri light", "carlito"),
+    "Caladea": ("cambria", "cambria math", "caladea"),
+    SANS: (
+        "arial", "arial narrow", "helvetica", "helvetica neue", "arimo", "albany", "verdana", "tahoma", "segoe ui", "trebuchet ms", "century gothic",
+        "franklin gothic", "franklin gothic book", "gill sans", "gill sans mt", "lucida sans", "candara", "corbel", "open sans", "roboto", "avenir",
+        "futura", "aptos", "aptos display", "lato", "montserrat", "inter", "dejavu sans", "noto sans",
+    ),
+    SERIF: (
+        "times new roman", "times", "tinos", "thorndale", "nimbus roman", "georgia", "garamond", "book antiqua", "palatino", "palatino linotype",
+        "century schoolbook", "bookman old style", "constantia", "minion pro", "baskerville", "perpetua",
+    ),
+    MONO: ("courier new", "courier", "cousine", "cumberland", "consolas", "lucida console", "menlo", "monaco", "source code pro", "fira code", "cascadia code"),
+}
 
 
 def font_alias(name: Column, generic: Column | None = None) -> Column:
-    """The family that stands for a font: by name, else its generic kind, else words in its name."""
+    """The family that stands for a font: by name, else its generic kind, else words in its name.
+
+    The words decide in this order: a fixed-width name, a serif name, a name of roman or book type,
+    else sans. A document without the font gets the family that its producer would have put in.
+    """
     low = F.lower(F.trim(name))
     out = (
         F.when(low.rlike("mono|courier|code"), MONO)
@@ -30,7 +40,7 @@ def font_alias(name: Column, generic: Column | None = None) -> Column:
     if generic is not None:
         out = F.when(generic == "serif", SERIF).when(generic == "mono", MONO).when(generic == "sans", SANS).otherwise(out)
     for family, names in ALIASES.items():
-        out = F.when(low.isin(*names.split("|")), family).otherwise(out)
+        out = F.when(low.isin(*names), family).otherwise(out)
     return out
 
 
@@ -112,9 +122,9 @@ def overflow_extent(cells: DataFrame, widths: DataFrame, keys: list[str], most:
     """
     import pyspark.sql as sql
 
-    row = sql.Window.partitionBy(*keys, "r").orderBy("c").rowsBetween(1, sql.Window.unboundedFollowing)
+    row = sql.Window.partitionBy(*keys, "r").orderBy(F.desc("c")).rowsBetween(sql.Window.unboundedPreceding, -1)  # from the right
     content = F.when(F.col("kind") != "empty", F.col("c"))
-    marked = cells.withColumn("_stop", F.coalesce(F.first(content, ignorenulls=True).over(row), F.lit(most + 1)))
+    marked = cells.withColumn("_stop", F.coalesce(F.last(content, ignorenulls=True).over(row), F.lit(most + 1)))
     loose = marked.where("kind = 'text' and not coalesce(wrap, false) and coalesce(align, 'left') = 'left'")
     need = F.char_length("txt") * F.coalesce("size", F.lit(11.0)) * 0.5 + 3.0
     lined = widths.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("c", "width"))).alias("_w"))

@@ -48,10 +48,12 @@ def counters_with_overrides(items: DataFrame, instances: DataFrame, levels: int
 
     ``items``: doc_id, ord, num_id, level; ``instances``: doc_id, num_id, abstract_id, starts
     (array<long>), overrides (map<int, long>). The first use of an instance's level sets that
-    counter to its override. State runs in order through a document, so each document's list items
-    are one group of rows, read in order.
+    counter to its override, which needs the items in order; all other lists are windows.
     """
-    known = items.join(instances, ["doc_id", "num_id"])
+    state = instances.withColumn("_plain", F.coalesce(F.size("overrides") < 1, F.lit(True)))
+    plain = F.min(F.col("_plain")).over(Window.partitionBy("doc_id", "abstract_id"))
+    alike = F.size(F.collect_set("starts").over(Window.partitionBy("doc_id", "abstract_id"))) <= 1
+    known = items.join(state.withColumn("_plain", plain & alike), ["doc_id", "num_id"])
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in items.schema)}, counts array<long>"
     names = items.columns
 
@@ -77,7 +79,12 @@ def counters_with_overrides(items: DataFrame, instances: DataFrame, levels: int
             out.append(list(now))
         return group[names].assign(counts=out)
 
-    return known.groupBy("doc_id").applyInPandas(run, schema)
+    # Lists without overrides are windows; a list with some is read in order, an abstract list at a time.
+    held = known.where("not _plain").groupBy("doc_id", "abstract_id").applyInPandas(run, schema)
+    free = level_counts(known.where("_plain"), ["doc_id", "abstract_id"], "ord", "level", levels)
+    counts = F.transform(F.slice("counts", F.lit(1), F.size("starts")), lambda n, k: n + F.get("starts", k) - 1)
+    free = free.withColumn("counts", F.when(F.col("level") < F.size("starts"), counts))
+    return held.unionByName(free.select(*names, F.col("counts").cast("array<long>").alias("counts")))
 
 
 def item_numbers(items: DataFrame, keys: Sequence[str], order: str, start: str, name: str = "number") -> DataFrame:

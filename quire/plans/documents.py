@@ -355,7 +355,18 @@ def unmappable_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", scalars.unmappable(F.col("text")).alias("n"))
 
 
-@query()
+#: The table of longest common subsequences, row by row: a row is the running maximum of what the row above allows.
+LCS = r"""WITH RECURSIVE i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
+p AS (SELECT x.item_id, x.ws AS a, y.ws AS b FROM i x JOIN i y ON y.item_id = x.item_id + 1),
+d AS (
+  SELECT item_id, a, b, 0 AS k, list_transform(range(len(b) + 1), lambda j: 0) AS best FROM p
+  UNION ALL
+  SELECT item_id, a, b, k + 1, list_prepend(0, list_transform(range(1, len(b) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda m: CASE WHEN b[m] = a[k + 1] THEN best[m] + 1 ELSE best[m + 1] END)))) FROM d WHERE k < len(a)
+)
+SELECT item_id, CAST(best[len(b) + 1] AS BIGINT) AS lcs, CASE WHEN least(len(a), len(b)) = 0 THEN 1.0 ELSE best[len(b) + 1] / least(len(a), len(b)) END AS score FROM d WHERE k = len(a)"""
+
+
+@query(LCS)
 def lcs_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word order of each benchmark item against the next one."""
     items = table(spark, sf_dir, "benchmark").select("item_id", scalars.word_tokens(F.col("text")).alias("a"))

@@ -282,3 +282,83 @@ def test_other_labels(spark):
     data = [(1, 1, "a", None, False, "S"), (1, 2, None, "a", False, "T"), (1, 3, None, None, True, "T"), (1, 4, None, None, False, "S"), (1, 5, None, None, True, "U")]
     got = rows(numbering.list_keys(spark.createDataFrame(data, "doc_id int, ord int, list_id string, continue_list string, continue_numbering boolean, style string")).orderBy("ord"), "key")
     assert [k for (k,) in got] == ["list-1", "list-1", "list-1", "list-4", "list-5"]
+
+
+def test_lists_without_overrides_are_counted_alike(spark):
+    rng = random.Random(5)
+    items = [(d, i, f"{rng.choice('ab')}{d}", rng.randrange(4)) for d in (1, 2) for i in range(60)]
+    starts = {"x": [1, 5, 2], "y": [3, 1, 1]}
+    state, want = {}, {}
+    for d, i, num, level in items:
+        abstract = "x" if num[0] == "a" or d == 2 else "y"
+        first = starts[abstract]
+        now = state.setdefault((d, abstract), [x - 1 for x in first])
+        if level < 3:
+            now[level] += 1
+            now[level + 1 :] = [x - 1 for x in first[level + 1 :]]
+        want[d, i] = list(now) if level < 3 else None
+    inst = [(d, f"{n}{d}", "x" if n == "a" or d == 2 else "y", starts["x" if n == "a" or d == 2 else "y"], None) for d in (1, 2) for n in "ab"]
+    got = numbering.counters_with_overrides(
+        spark.createDataFrame(items, "doc_id int, ord int, num_id string, level int"),
+        spark.createDataFrame(inst, "doc_id int, num_id string, abstract_id string, starts array<long>, overrides map<int,long>"),
+    )
+    assert {(r.doc_id, r.ord): r.counts for r in got.collect()} == want
+
+
+def test_lcs_of_long_texts_by_blocks():
+    rng = random.Random(6)
+    for _ in range(40):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(50))] for _ in range(2))
+        assert {fidelity._lcs(a, b, block) for block in (1, 2, 7, 16, 1 << 14)} == {fidelity._lcs(b, a, 3)}
+    a = [str(k % 997) for k in range(30_000)]
+    assert fidelity._lcs(a, a[::2] + ["x"] * 10) == 15_000
+
+
+def test_large_sheets_pack_in_linear_time(spark):
+    n = 200_000
+    df = spark.range(n).selectExpr("1 sheet", "id r", "10.0D size")
+    got = layout.pack_rows(df, ["sheet"], ["r"], "size", 500.0)
+    assert got.where(F.col("page") != F.floor(F.col("r") / 50)).count() == 0 and got.count() == n
+
+
+def test_points_take_the_first_end(spark):
+    spans = spark.createDataFrame([(1, 1, 0.0, 10.0), (1, 2, 10.0, 0.0), (1, 3, 10.0, 5.0)], "k int, ord int, start double, size double")
+    points = spark.createDataFrame([(1, x) for x in (0.0, 10.0, 10.005, 10.02, 15.0, 99.0)] + [(2, 1.0)], "k int, x double")
+    got = {(r.k, r.x): r.cell for r in layout.point_to_cell(points, spans, ["k"], "x").collect()}
+    assert got == {(1, 0.0): 1, (1, 10.0): 1, (1, 10.005): 1, (1, 10.02): 3, (1, 15.0): 3, (1, 99.0): None, (2, 1.0): None}
+
+
+def test_defaults_keep_every_row(spark):
+    df = spark.createDataFrame([(1, 0), (2, 7), (3, None)], "k int, i int")
+    table = spark.createDataFrame([(0, "a"), (5, "b"), (0, "z")], "idx int, v string")
+    assert sorted(rows(lookups.with_default(df, "i", table, [], "idx", ["v"]), "k", "v")) == [(1, "a"), (2, "a"), (3, "a")]
+    assert sorted(rows(lookups.with_default(df, "i", table, [], "idx", ["v"], default=9), "k", "v"), key=str) == [(1, "a"), (2, None), (3, None)]
+    assert sorted(rows(lookups.with_default(df, "i", table.limit(0), [], "idx", ["v"]), "k", "v"), key=str) == [(1, None), (2, None), (3, None)]
+
+
+def test_row_heights_follow_the_largest_font(spark):
+    from quire.operators import pages
+
+    cells = spark.createDataFrame([(1, 0, 1, 0), (1, 0, 2, 1), (1, 0, 3, 1)], "doc_id int, sheet_idx int, r int, xf int")
+    xfs = spark.createDataFrame([(1, 0, 11.0), (1, 1, 20.0)], "doc_id int, idx int, size double")
+    heights = spark.createDataFrame([(1, 0, 1, None), (1, 0, 2, None), (1, 0, 3, 50.0), (1, 0, 4, None)], "doc_id int, sheet_idx int, r int, height double")
+    got = {r.r: round(r.height, 3) for r in pages.auto_row_heights(cells, xfs, heights, 15.0).collect()}
+    assert got == {1: 15.0, 2: 24.34, 3: 50.0, 4: 15.0}
+
+
+def test_media_and_header_codes():
+    from quire.sources import drawings, spreadsheets
+    from quire.sources.parsed import Parsed
+    from quire.sources.xmltree import parse
+
+    assert sorted(["image10.png", "image9.png", "a.gif", "image2.png"], key=drawings.part_order) == ["a.gif", "image2.png", "image9.png", "image10.png"]
+    png = bytes.fromhex("89504E470D0A1A0A0000000D49484452000000100000000A")
+    import builders as B
+
+    out = Parsed()
+    rel = lambda t: B.rels(i=("image", t, ""))
+    drawings.read_media(B.package({"ppt/slides/_rels/s.xml.rels": rel("../media/a.png"), "ppt/media/a.png": png, "ppt/media/unused.png": png, "Pictures/x.gif": b"GIF8", "Pictures/y.txt": b"no"}), out)
+    assert [(m["part"], m["format"], m["width"], m["height"], m["data"]) for m in out.rows["media"]] == [("Pictures/x.gif", "gif", None, None, b"GIF8"), ("ppt/media/a.png", "png", 16, 10, png)]
+    code = lambda inner: spreadsheets.odf_header_code(parse(f'<style:header {B.OFFICE}>{inner}</style:header>'.encode()))
+    assert code("<text:p>a &amp; b</text:p><text:p><text:page-number>3</text:page-number></text:p>") == "&Ca && b\n&P"
+    assert code("<style:region-left><text:p>x</text:p></style:region-left><style:region-right/>") == "&Lx&R" and code("<text:p> </text:p>") is None
