@@ -210,6 +210,12 @@ def percent_share(t: Column) -> Column:
     return F.regexp_extract(F.trim(t), r"^([+-]?[0-9]*\.?[0-9]+)\s*%$", 1).try_cast("double") / 100.0
 
 
+def clamped_size(width: Column, height: Column, most: Column) -> Column:
+    """struct(width, height) of a picture no wider than ``most``, its shape kept."""
+    scale = F.least(F.lit(1.0), F.coalesce(F.try_divide(most, width), F.lit(1.0)))
+    return F.struct((width * scale).alias("width"), (height * scale).alias("height"))
+
+
 def emu_points(n: Column) -> Column:
     return n / 12700.0
 

@@ -79,6 +79,11 @@ def merge_border(weak: Column, strong: Column) -> Column:
     return F.coalesce(strong, weak)
 
 
+def merge_border_space(weak: Column, strong: Column) -> Column:
+    """The space of a border: only one above 0 replaces it."""
+    return F.when(F.coalesce(strong, F.lit(0.0)) > 0, strong).otherwise(weak)
+
+
 def table_border(own: Column, at_edge: Column, outer: Column, inside: Column) -> Column:
     """A side of a table's cell: its own, where it is unset the table's outer side at the edge, else
     the inner line. 'none' is a side of its own."""

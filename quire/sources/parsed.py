@@ -10,7 +10,8 @@ TABLES: dict[str, str] = {
     "sections": f"section_idx int, {PAGE}, columns int, column_gap double, title_page boolean, page_start long, page_format string, header string, footer string",
     "blocks": "story string, path array<int>, section_idx int, kind string, style_id string, outline int, num_id string, list_level int, align string, before double, after double, mark_deleted boolean, text string",
     "inlines": "path array<int>, pos int, kind string, text string, style_id string, bold boolean, italic boolean, underline boolean, strike boolean, size double, color string, hidden boolean, link string",
-    "table_cells": "table_path array<int>, r int, c int, span int, vmerge string, shading string, text string",
+    "table_cells": "table_path array<int>, r int, c int, span int, vmerge string, shading string, text string, top string, right string, bottom string, left string",
+    "table_lines": "table_path array<int>, top string, right string, bottom string, left string, inside_h string, inside_v string",
     "styles": "style_id string, parent_id string, kind string, name string, is_default boolean, bold boolean, italic boolean, size double, color string, align string, before double, after double, num_id string, list_level int",
     "list_levels": "abstract_id string, level int, start long, format string, text string, legal boolean",
     "list_instances": "num_id string, abstract_id string, overrides map<int, long>",

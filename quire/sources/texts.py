@@ -63,6 +63,25 @@ def _word_para_props(p: Node | None) -> dict:
     }
 
 
+#: Names of the sides of tables and cells; left and right also go by start and end.
+LINES = {"top": ("top",), "right": ("right", "end"), "bottom": ("bottom",), "left": ("left", "start"), "inside_h": ("insideH",), "inside_v": ("insideV",)}
+
+
+def border_style(node: Node | None, *names: str) -> str | None:
+    """The style of a side; ``none`` if it says that there is no line, null if it says nothing."""
+    side = next((c for c in node.kids if c.name in names), None) if node is not None else None
+    return None if side is None else {"nil": "none"}.get(side.get("val", "none"), side.get("val", "none"))
+
+
+def points(text: str | None) -> float | None:
+    """A length with its unit; a bare number is pixels of 0.75 points."""
+    from quire.functions.scalars import POINTS
+
+    m = re.fullmatch(r"([+-]?[0-9.]+)\s*([a-z]*)", text or "")
+    value = number(m[1]) if m else None
+    return value * POINTS.get(m[2] or "px", 1.0) if value is not None else None
+
+
 class _Docx:
     def __init__(self, content: bytes) -> None:
         self.pack, self.out = Package(content), Parsed()
@@ -70,6 +89,7 @@ class _Docx:
         self.rels = self.pack.relationships(self.main)
         self.section = 0
         self.slots: dict[str, str] = {}
+        self.cells = 0  # table cells around the block that is read
 
     def part(self, kind: str) -> Node | None:
         path = next((p for k, p in self.rels.values() if k == kind), None)
@@ -135,6 +155,12 @@ class _Docx:
         texts: list[str] = []
         self.runs(p, path, texts, fields, [0], None)
         row["text"] = "".join(texts)
+        mark = props.child("rPr") if props is not None else None
+        if self.cells and mark is not None and on(mark.val("vanish", "1"), True) and mark.child("vanish") is not None and not row["text"].strip():
+            # A cell's paragraph with a hidden mark and nothing to show is not there.
+            self.out.rows["blocks"].remove(row)
+            self.out.rows["inlines"] = [x for x in self.out.rows["inlines"] if x["path"] != list(path)]
+            return
         if story == "body" and props is not None and props.child("sectPr") is not None:
             self.page(props.child("sectPr"))
 
@@ -177,6 +203,7 @@ class _Docx:
             kind, text = "note", f"{t.name[:-9]}:{t.get('id')}"
         elif t.name in ("drawing", "pict", "object"):
             kind, text = "drawing", ""
+            self.drawing(t)
         if kind is None:
             return
         self.out.add("inlines", path=list(path), pos=pos[0], kind=kind, text=text, link=link, **props)
@@ -184,7 +211,30 @@ class _Docx:
         if kind in ("text", "tab", "line_break") and not props.get("hidden"):
             texts.append(text)
 
+    def drawing(self, node: Node) -> None:
+        """A drawing's kind, place and size in points, and the part that it shows."""
+        if node.name == "drawing":
+            for frame in node.children("inline", "anchor"):
+                size, about, blip = frame.child("extent"), frame.child("docPr"), frame.find("blip")
+                place = [n.child("posOffset") if n is not None else None for n in (frame.child("positionH"), frame.child("positionV"))]
+                rel = self.rels.get((blip.full("}embed") or "") if blip is not None else "")
+                self.out.add(
+                    "drawings", section_idx=self.section, idx=len(self.out.rows["drawings"]), kind=frame.name, name=about.get("name") if about is not None else None, part=rel[1] if rel else None,
+                    **{k: emu(p.text().strip()) if p is not None else None for k, p in zip("xy", place, strict=True)}, width=emu(size.get("cx")) if size is not None else None, height=emu(size.get("cy")) if size is not None else None,
+                )
+            return
+        for shape in (n for n in node.walk() if n.name in ("shape", "rect", "roundrect", "oval", "line")):
+            style = dict(p.split(":", 1) for p in (shape.get("style") or "").split(";") if ":" in p)
+            style = {k.strip(): v.strip() for k, v in style.items()}
+            data = shape.find("imagedata")
+            rel = self.rels.get((data.full("}id") or "") if data is not None else "")
+            sizes = {k: points(style.get(n)) for k, n in (("x", "margin-left"), ("y", "margin-top"), ("width", "width"), ("height", "height"))}
+            self.out.add("drawings", section_idx=self.section, idx=len(self.out.rows["drawings"]), kind="vml", name=shape.get("id"), part=rel[1] if rel else None, **sizes)
+
     def table(self, tbl: Node, story: str, path: tuple[int, ...]) -> None:
+        lines = tbl.child("tblPr", "tblBorders")
+        if lines is not None:
+            self.out.add("table_lines", table_path=list(path), **{k: border_style(lines, *n) for k, n in LINES.items()})
         self.out.add("blocks", story=story, path=list(path), section_idx=self.section, kind="table", style_id=(tbl.child("tblPr").val("tblStyle") if tbl.child("tblPr") else None))
         for r, tr in enumerate(n for n in tbl.kids if n.name == "tr"):
             c = whole(tr.child("trPr").val("gridBefore"), 0) if tr.child("trPr") else 0
@@ -195,10 +245,12 @@ class _Docx:
                 shade = look.child("shd") if look else None
                 cell = self.out.add(
                     "table_cells", table_path=list(path), r=r, c=c, span=span, vmerge=None if merge is None else merge.get("val", "continue"),
-                    shading=shade.get("fill") if shade else None,
+                    shading=shade.get("fill") if shade else None, **{k: border_style(look.child("tcBorders") if look else None, *LINES[k]) for k in ("top", "right", "bottom", "left")},
                 )
                 first = len(self.out.rows["blocks"])
+                self.cells += 1
                 self.blocks(tc, story, (*path, r, c))
+                self.cells -= 1
                 cell["text"] = "\n".join(b["text"] or "" for b in self.out.rows["blocks"][first:] if b["kind"] == "paragraph")
                 c += span
 

@@ -149,3 +149,34 @@ def test_files_on_disk(spark, tmp_path):
     q = ingest.write_available(ingest.stream_documents(spark, f"{tmp_path}/in").select("doc_id", "format", "status"), f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_docx_drawings_lines_and_hidden_cells():
+    from quire.sources import texts
+
+    body = """<w:body><w:p><w:r><w:drawing><wp:anchor><wp:positionH><wp:posOffset>127000</wp:posOffset></wp:positionH><wp:extent cx="254000" cy="127000"/><wp:docPr name="pic"/><a:blip r:embed="i"/></wp:anchor></w:drawing></w:r>
+      <w:r><w:pict><v:shape id="s" style="width: 36pt;height:1in; margin-left:4px"><v:imagedata r:id="i"/></v:shape></w:pict></w:r></w:p>
+      <w:tbl><w:tblPr><w:tblBorders><w:top w:val="single"/><w:insideV w:val="nil"/></w:tblBorders></w:tblPr><w:tr><w:tc><w:tcPr><w:tcBorders><w:start w:val="double"/><w:bottom w:val="none"/></w:tcBorders></w:tcPr>
+      <w:p><w:pPr><w:rPr><w:vanish/></w:rPr></w:pPr><w:r><w:rPr><w:vanish/></w:rPr><w:t>unseen</w:t></w:r></w:p><w:p><w:pPr><w:rPr><w:vanish/></w:rPr></w:pPr><w:r><w:t>seen</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body>"""
+    pack = B.package({
+        "_rels/.rels": B.rels(r1=("officeDocument", "word/document.xml", "")), "word/_rels/document.xml.rels": B.rels(i=("image", "media/a.png", "")),
+        "word/document.xml": f'<w:document {B.W} xmlns:wp="wp" xmlns:a="a" xmlns:v="v">{body}</w:document>',
+    })
+    got = texts.read_docx(pack).rows
+    assert [(d["kind"], d["name"], d["x"], d["y"], d["width"], d["height"], d["part"]) for d in got["drawings"]] == [("anchor", "pic", 10.0, None, 20.0, 10.0, "word/media/a.png"), ("vml", "s", 3.0, None, 36.0, 72.0, "word/media/a.png")]
+    assert [(t["top"], t["inside_v"], t["left"]) for t in got["table_lines"]] == [("single", "none", None)]
+    cell = got["table_cells"][0]
+    assert (cell["left"], cell["bottom"], cell["top"], cell["text"]) == ("double", "none", None, "seen")
+    assert [b["text"] for b in got["blocks"] if b["kind"] == "paragraph"] == ["", "seen"] and all(x["text"] != "unseen" for x in got["inlines"])
+
+
+def test_sinks(parsed, spark, tmp_path):
+    from quire.sources import sinks
+
+    sinks.write_views(parsed, f"{tmp_path}/views", ["cells", "media"])
+    assert spark.read.parquet(f"{tmp_path}/views/cells").count() == read.view(parsed, "cells").count()
+    assert spark.read.parquet(f"{tmp_path}/views/documents").count() == parsed.count()
+    sinks.write_report(parsed.select("doc_id", "error"), f"{tmp_path}/report")
+    assert {"doc_id", "error"} == set(spark.read.json(f"{tmp_path}/report").columns)
+    with pytest.raises(ValueError, match="nosuch"):
+        sinks.write_views(parsed, f"{tmp_path}/x", ["nosuch"])
