@@ -353,7 +353,7 @@ def median_warm_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median time by engine without each case's first round, which is cold."""
     first = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
     warm = table(spark, sf_dir, "events").withColumn("round", first).where("round > 1")
-    return warm.groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), F.median((F.col("value") * 100).cast("long")).alias("warm_ms"))
+    return warm.groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), F.median(F.round(F.col("value") * 100).cast("long")).alias("warm_ms"))
 
 
 @query(
