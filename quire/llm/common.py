@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from quire.staging import fresh_dir, release, shared_dir, staged
 
-__all__ = ["fresh_dir", "mapped", "own_name", "release", "shared_dir", "staged", "table", "word_count", "worker_state"]
+__all__ = ["fresh_dir", "mapped", "own_name", "release", "shared_dir", "staged", "table", "tasks_for", "word_count", "worker_state"]
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -62,6 +62,18 @@ def worker_state(key: tuple, make: Callable):
     return _STATE[key]
 
 
+def tasks_for(df: DataFrame, bytes_each: int) -> int:
+    """Tasks for an exchange of ``df``: the session's shuffle partitions, or more where the tables that
+    it reads are estimated at more than ``bytes_each`` a task.
+
+    Estimates of joins are products of both sides and say nothing, nor do those of unknown sources.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    return least if size >= 1 << 58 or "Join" in plan.toString() else max(least, -(-size // bytes_each))
+
+
 def word_count(text: Column) -> Column:
     """Number of words as a long, 0 for null. Two linear passes, no array of words."""
     marks = F.translate(F.regexp_replace(text, WORD, "x"), ASCII_SPACE, "")

@@ -28,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import mapped, own_name, release, staged
+from quire.llm.common import mapped, own_name, release, staged, tasks_for
 
 RADIUS = 3
 #: Bits of the three blocks, lowest first.
 BLOCKS = ((0, 22), (22, 43), (43, 64))
 SEED = 42
+#: Bytes of fingerprints for one task; their variants are about 260 times as much.
+TASK_BYTES = 1 << 20
 
 
 def _signed(x: int) -> int:
@@ -176,10 +178,10 @@ def links(fingerprints: DataFrame, fp: str) -> DataFrame:
     ``fingerprints`` has one row for each distinct value.
     """
     # The rows grow by two orders of magnitude here, so they are spread over all tasks first.
-    tasks = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks_for(fingerprints, TASK_BYTES)
     rows = fingerprints.repartition(tasks).selectExpr(f"explode({_variants(f'`{fp}`')}) key", f"`{fp}` fp")
     # Sorted by both columns: a task that runs again emits the same links, whatever order it fetched.
-    met = mapped(rows.repartition("key").sortWithinPartitions("key", "fp"), _meet, "u long, v long")
+    met = mapped(rows.repartition(tasks, "key").sortWithinPartitions("key", "fp"), _meet, "u long, v long")
     return met.selectExpr("least(u, v) u", "greatest(u, v) v").distinct()
 
 

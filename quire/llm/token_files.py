@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import files
-from quire.llm.common import fresh_dir, mapped, staged, worker_state
+from quire.llm.common import fresh_dir, mapped, staged, tasks_for, worker_state
 from quire.llm.pretokens import PATTERN, Cache, Coder, load, pieces
 from quire.llm.rans import Model, block_size, decode_block, encode_block
 
@@ -39,6 +39,8 @@ SEGMENT = struct.Struct("<QQQQI")  # offset, bytes, documents, symbols, checksum
 TRAILER = struct.Struct("<QII4s")  # footer's offset, segments, checksum, magic
 NO_ID = -(1 << 63)
 END_ID = 2
+#: Bytes of input for one file.
+FILE_BYTES = 256 << 20
 
 class _Ids:
     """Ids of texts as little-endian bytes, through a worker's cache of pre-tokens."""
@@ -63,8 +65,8 @@ class _Ids:
 def encode_ids(documents: DataFrame, path: str, *, doc_id: str, text: str, end_id: int, width: int) -> DataFrame:
     """doc_id, ids, counts: one row per document, dealt and sorted by doc_id; behind the documents
     of a task one row with only the counts of its symbols (pairs of int64: symbol, count)."""
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.selectExpr(f"cast(`{doc_id}` as long) doc_id", f"`{text}` text")
+    parts = tasks_for(rows, FILE_BYTES)
     # The other two keys let a range end inside one doc_id, however many rows repeat it.
     rows = rows.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     rows = rows.repartitionByRange(parts, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
@@ -260,7 +262,9 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, model_uri: str) -> Dat
                 )
 
     parts = mapped(manifest.select("uri", "start"), split, "uri string, at long, size long, crc long, start long")
-    parts = parts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A segment is a row here and a decoded block of ids later.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), manifest.count())
+    parts = parts.repartition(tasks)
     return mapped(parts, decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

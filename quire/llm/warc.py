@@ -278,7 +278,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, *, split_bytes: int
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     runs = mapped(archives.select("uri"), splits, split)
-    runs = runs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    runs = runs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), archives.count()))
     return mapped(runs, records, RECORD)
 
 

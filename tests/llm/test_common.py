@@ -30,3 +30,13 @@ def test_the_callers_batch_size_stays(spark):
         assert spark.conf.get(key) == "1000000"
     finally:
         spark.conf.set(key, before)
+
+
+def test_tasks_follow_the_tables(spark, tmp_path):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.range(200_000).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t").where("id > 3")
+    assert common.tasks_for(df, 1 << 40) == least
+    assert common.tasks_for(df, 10_000) > 10 * least
+    assert common.tasks_for(df.join(df.withColumnRenamed("id", "k"), df.id == 1, "left"), 1) == least
+    assert common.tasks_for(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "a int"), 1 << 40) == least
