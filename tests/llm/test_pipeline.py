@@ -69,3 +69,23 @@ def test_run_is_the_stages_in_turn(spark, tmp_path):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     starts = sorted((r.start, r.n_tokens) for r in rows)
     assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
+def test_stages_keep_clashing_columns_and_odd_rows(spark, tmp_path):
+    """Nulls, ties, repeated rows and columns with the stages' own names; then no rows at all."""
+    sf_dir, items = make(spark, tmp_path)
+    extra = ("toxic_score", "near_fp", "near_row", "n_words", "found", "full", "hit_bits", "mix_copy", "key", "label", "tie", "row")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60 or doc_id > 2000")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "some null id", None, None, 3), (5, "five", "en", "s1", 4), (5, "five", "en", "s1", 4), (5, None, "en", None, None)], docs.schema)
+    docs = docs.unionByName(odd).selectExpr("*", *[f"'{c}' as {c}" for c in extra])
+    none = docs.limit(0)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out, empty = stage(spark, docs, sf_dir), stage(spark, none, sf_dir)
+        assert empty.count() == 0
+        if name != "tokens":
+            assert out.columns == docs.columns == empty.columns
+            out.write.parquet(f"{tmp_path}/odd-{k}")
+            docs = spark.read.parquet(f"{tmp_path}/odd-{k}")
+            kept = docs.collect()
+            assert kept and all(r[c] == c for r in kept for c in extra)
+    assert out.count() == docs.count()
