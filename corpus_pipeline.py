@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the
 last return the columns of ``documents``.
+
+Defined cases, for every stage: null and empty texts have no words, so they are clean, near-duplicates
+of each other, and fill no budget; null ids, languages and sources stay as they are; of rows tied in
+a group of near-duplicates, the least doc_id stays, among rows with that id one of them; repeated
+rows are judged alike; an empty table passes through; columns beside those of ``documents`` pass
+through all stages but the last, under any name, also one that a stage uses inside.
 """
 
 from __future__ import annotations
