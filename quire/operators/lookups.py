@@ -80,3 +80,42 @@ def placeholders(shapes: DataFrame, layout: DataFrame, master: DataFrame, values
         first = side.withColumn("_key", key).groupBy("doc_id", "_key").agg(*[F.min_by(F.col(v), "ordinal").alias(f"{name}_{v}") for v in values])
         out = out.join(first, ["doc_id", "_key"], "left")
     return out.withColumns({v: F.coalesce(v, f"layout_{v}", f"master_{v}") for v in values}).drop("_key", *[f"{s}_{v}" for s in ("layout", "master") for v in values])
+
+
+#: Layers of text properties on slides, from the weakest: the presentation's default, the master's title, body or other
+#: text, the master's placeholder, the layout's, the shape's own list style.
+LEVEL_SCOPES = ("default", "text", "master", "layout", "shape")
+
+
+def level_properties(paragraphs: DataFrame, levels: DataFrame, values: Sequence[str], keys: Sequence[str] = ("doc_id",), scopes: Sequence[str] = LEVEL_SCOPES) -> DataFrame:
+    """Paragraphs with the properties of their level: what they set themselves, else what the strongest
+    layer gives that sets it.
+
+    ``paragraphs``: keys, level, the values, and for each scope ``<scope>_owner`` (null where the
+    paragraph has no such layer); ``levels``: keys, scope, owner, level, the values. One join a layer.
+    """
+    keys = list(keys)
+    out, found = paragraphs, []
+    for scope in scopes:
+        side = levels.where(F.col("scope") == scope).groupBy(*keys, F.col("owner").alias(f"{scope}_owner"), "level")
+        side = side.agg(*[F.min(v).alias(f"_{scope}_{v}") for v in values])
+        out = out.join(side, [*keys, f"{scope}_owner", "level"], "left")
+        found.append(scope)
+    set_by = lambda v: F.coalesce(F.col(v), *[F.col(f"_{scope}_{v}") for scope in reversed(found)])
+    return out.withColumns({v: set_by(v) for v in values}).select(*paragraphs.columns)
+
+
+def list_formats(instances: DataFrame, levels: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Levels of each list format of a binary document: those of its list, replaced where the format
+    overrides a level, and with its start where it overrides that alone.
+
+    ``instances``: doc_id, format_id, list_id; ``levels``: doc_id, list_id, level, start, form, text;
+    ``overrides``: doc_id, format_id, level, start, form (null: only the start), text.
+    """
+    over = overrides.select("doc_id", "format_id", "level", F.struct("start", "form", "text").alias("_o"))
+    out = instances.join(levels, ["doc_id", "list_id"]).join(over, ["doc_id", "format_id", "level"], "left")
+    whole = F.col("_o.form").isNotNull()
+    new = {
+        "start": F.coalesce("_o.start", "start"), "form": F.coalesce("_o.form", "form"), "text": F.when(whole, F.col("_o.text")).otherwise(F.col("text")),
+    }
+    return out.withColumns(new).select("doc_id", "format_id", "list_id", "level", "start", "form", "text")

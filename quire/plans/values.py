@@ -422,3 +422,36 @@ def outline_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "conversations").select("conv_id", F.col("conv_id").alias("doc_id"), "turn", F.when(turn % 3 == 0, (turn / 3).cast("int")).alias("outline"), F.when(own, "own").alias("num_id"), F.when(own, 7).alias("list_level"))
     levels = table(spark, sf_dir, "conversations").selectExpr("conv_id doc_id").distinct().selectExpr("doc_id", "inline(array(struct(0, true), struct(1, true)))").toDF("doc_id", "level", "numbered")
     return numbering.outline_lists(blocks, levels).select("conv_id", "turn", "num_id", "list_level")
+
+
+@query(
+    """WITH p AS (SELECT c_custkey, c_custkey % 10 AS doc_id, c_custkey % 3 AS level, CASE c_custkey % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'body' ELSE 'other' END AS kind, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal END AS size FROM customer)
+SELECT c_custkey, coalesce(size, CASE WHEN c_custkey % 5 = 0 AND level = 0 THEN 11.0 END, CASE WHEN kind = 'body' AND level < 2 THEN 24.0 - level END, CASE WHEN kind = 'title' THEN 44.0 WHEN kind = 'body' THEN 32.0 - 2 * level END, 18.0)::DOUBLE AS size,
+  CASE WHEN kind = 'body' AND level < 2 THEN 'left' WHEN kind = 'title' THEN 'center' END AS align FROM p"""
+)
+def slide_text_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text on slides by level: shape, layout, master and default layers, the strongest that sets a property."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 4 == 0, "title").when(k % 4 == 1, "body").otherwise("other")
+    paras = table(spark, sf_dir, "customer").select("c_custkey", (k % 10).alias("doc_id"), (k % 3).cast("int").alias("level"), F.when(k % 7 == 0, F.col("c_acctbal")).alias("size"), F.lit(None).cast("string").alias("align"), kind.alias("text_owner"))
+    none = F.lit(None).cast("string")
+    paras = paras.withColumns({"default_owner": F.lit("all"), "master_owner": none, "layout_owner": F.when(F.col("text_owner") == "body", "ph1"), "shape_owner": F.when(k % 5 == 0, "s")})
+    row = lambda scope, owner, level, size, align="null": f"struct('{scope}', '{owner}', {level}, cast({size} as double), cast({align} as string))"
+    rows = [row("default", "all", n, 18) for n in range(3)] + [row("text", "title", n, 44, "'center'") for n in range(3)] + [row("text", "body", n, 32 - 2 * n) for n in range(3)]
+    rows += [row("layout", "ph1", n, 24 - n, "'left'") for n in range(2)] + [row("shape", "s", 0, 11)]
+    levels = spark.range(10).selectExpr("id doc_id", f"inline(array({', '.join(rows)}))").toDF("doc_id", "scope", "owner", "level", "size", "align")
+    return lookups.level_properties(paras, levels, ["size", "align"]).select("c_custkey", "size", "align")
+
+
+@query(
+    """SELECT o_custkey AS doc_id, CAST(o_orderkey AS BIGINT) AS format_id, CAST(i AS INTEGER) AS level, CASE WHEN i = 0 AND o_orderkey % 2 = 0 THEN 5 WHEN i = 1 AND o_orderkey % 3 = 0 THEN 7 ELSE 1 END AS start,
+  CASE WHEN i = 1 AND o_orderkey % 3 = 0 THEN 'upperRoman' ELSE 'decimal' END AS form, CASE WHEN i = 1 AND o_orderkey % 3 = 0 THEN o_orderstatus ELSE '%' || (i + 1) END AS text FROM orders, range(2) t(i)"""
+)
+def doc_list_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels of list formats in binary documents: replaced levels, and starts alone."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_custkey doc_id", "o_orderkey format_id", "o_orderstatus")
+    instances = orders.selectExpr("doc_id", "format_id", "1 list_id")
+    levels = orders.select("doc_id").distinct().selectExpr("doc_id", "1 list_id", "inline(array(struct(0, 1, 'decimal', '%1'), struct(1, 1, 'decimal', '%2')))").toDF("doc_id", "list_id", "level", "start", "form", "text")
+    starts = orders.where("format_id % 2 = 0").selectExpr("doc_id", "format_id", "0 level", "5 start", "cast(null as string) form", "cast(null as string) text")
+    whole = orders.where("format_id % 3 = 0").selectExpr("doc_id", "format_id", "1 level", "7 start", "'upperRoman' form", "o_orderstatus text")
+    return lookups.list_formats(instances, levels, starts.unionByName(whole)).select("doc_id", "format_id", "level", "start", "form", "text")
