@@ -282,6 +282,12 @@ def nice_axis(low: Column, high: Column) -> Column:
     return F.struct((F.floor(lo / step).cast("double") * step).alias("low"), top.alias("high"), step.alias("step"))
 
 
+def axis_ticks(axis: Column) -> Column:
+    """Places of an axis' ticks, from its low to its high end."""
+    n = F.floor((axis["high"] - axis["low"]) / axis["step"] + 0.01).cast("int")
+    return F.transform(F.sequence(F.lit(0), n), lambda k: axis["low"] + k * axis["step"])
+
+
 def next_tab(stops: Column, x: Column, left: Column, hanging: Column, grid: Column, by_indent: bool = False) -> Column:
     """The nearest tab stop behind x, the indent among them if it hangs, else the next grid line."""
     stop = F.array_min(F.filter(stops, lambda s: s > x + 0.01))
@@ -299,6 +305,12 @@ def digit_width(size: Column, family: Column) -> Column:
     return F.coalesce(size, F.lit(10.0)) * F.when(narrow, 0.507).when(serif, 0.5).otherwise(0.556)
 
 
+def column_points(chars: Column, size: Column, family: Column, hidden: Column | None = None) -> Column:
+    """Points of a column that is so many characters wide; a hidden one has none."""
+    width = chars * digit_width(size, family)
+    return width if hidden is None else F.when(hidden, 0.0).otherwise(width)
+
+
 #: Widths of border styles in points; a style not listed is 0.5.
 BORDERS = {"medium": 1.0, "mediumDashed": 1.0, "mediumDashDot": 1.0, "mediumDashDotDot": 1.0, "thick": 1.5, "double": 1.5, "hair": 0.25}
 

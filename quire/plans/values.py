@@ -455,3 +455,29 @@ def doc_list_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = orders.where("format_id % 2 = 0").selectExpr("doc_id", "format_id", "0 level", "5 start", "cast(null as string) form", "cast(null as string) text")
     whole = orders.where("format_id % 3 = 0").selectExpr("doc_id", "format_id", "1 level", "7 start", "'upperRoman' form", "o_orderstatus text")
     return lookups.list_formats(instances, levels, starts.unionByName(whole)).select("doc_id", "format_id", "level", "start", "form", "text")
+
+
+@query(
+    """SELECT p_partkey, p_size * (11.0::DOUBLE * 0.507) AS width, CASE WHEN p_size % 2 = 0 THEN 0.0::DOUBLE ELSE p_size * (10.0::DOUBLE * 0.556) END AS shown, least(p_size * 75, 1000)::DOUBLE AS picture_w, CASE WHEN p_size * 75 > 1000 THEN (p_size * 30) * (1000.0::DOUBLE / (p_size * 75)) ELSE (30 * p_size)::DOUBLE END AS picture_h,
+  CAST(CASE WHEN p_size = 1 THEN 7 WHEN p_size <= 4 THEN 2 * p_size + 2 WHEN p_size <= 9 THEN p_size + 2 WHEN p_size <= 18 THEN p_size // 2 + 2 WHEN p_size <= 45 THEN p_size // 5 + 2 ELSE p_size // 10 + 2 END AS INTEGER) AS n_ticks FROM part"""
+)
+def widths_pictures_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column widths from characters, pictures clamped to the text's width, ticks of axes."""
+    size = F.col("p_size").cast("double")
+    picture = scalars.clamped_size(size * 75, size * 30, F.lit(1000.0))
+    ticks = scalars.axis_ticks(scalars.nice_axis(F.lit(0.0), size))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", scalars.column_points(size, F.lit(11.0), F.lit("Calibri")).alias("width"), scalars.column_points(size, F.lit(10.0), F.lit("Arial"), F.col("p_size") % 2 == 0).alias("shown"),
+        picture["width"].alias("picture_w"), picture["height"].alias("picture_h"), F.size(ticks).alias("n_ticks"),
+    )
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 1.0 WHEN c_custkey % 3 = 0 THEN 36.0 WHEN c_custkey % 5 = 0 THEN 9.0 ELSE 0.0 END::DOUBLE AS indent, CASE WHEN c_custkey % 5 = 0 THEN 4.0 ELSE 2.0 END::DOUBLE AS space, CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE 'single' END AS side FROM customer"""
+)
+def paragraph_merge_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defaults, style, numbering level, direct properties: later layers win; a border's space only above 0, and none is a side."""
+    k = F.col("c_custkey")
+    indent = styles.merge(F.lit(0.0), F.when(k % 5 == 0, 9.0), F.when(k % 3 == 0, 36.0), F.when(k % 2 == 0, 1.0))
+    space = styles.merge_border_space(F.lit(2.0), F.when(k % 5 == 0, 4.0).when(k % 3 == 0, 0.0))
+    return table(spark, sf_dir, "customer").select("c_custkey", indent.alias("indent"), space.alias("space"), styles.merge_border(F.lit("single"), F.when(k % 4 == 0, "none")).alias("side"))
