@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.formula import Area, FormulaError, Node, Ref, Val, _compile, _first, cell_value, kind_letter, parse
 from quire.functions.numfmt import general
+from quire.functions.scalars import let
 from quire.operators import aggregates
 
 
@@ -230,14 +231,12 @@ def apply_rules(cells: DataFrame, rules: Sequence[Rule], *, name: str = "dxf", k
         find.area = area
         return find
 
-    # Kinds and texts are columns of a projection below the rules, so each is worked out once a cell.
+    # Kinds are columns of a projection below the rules, so each is worked out once a cell. Texts are
+    # not: only cells that a text rule gets to see need theirs.
     letters = {f"ref{k}_letter": kind_letter(F.col(f"ref{k}_kind")) for k in places.values()}
-    (letter, lowered) = ("cell_letter", "cell_text")
-    out = out.withColumns({letter: kind_letter(F.col("kind")), **letters})
+    out = out.withColumns({"cell_letter": kind_letter(F.col("kind")), **letters})
     kind = F.col("kind")
-    cell = Val(F.col(letter), F.col("num"), F.col("txt"), F.col("flag"))
-    if any(rule.kind in TEXT_KINDS for rule in rules):
-        out = out.withColumn(lowered, lower_text(cell))
+    cell = Val(F.col("cell_letter"), F.col("num"), F.col("txt"), F.col("flag"))
     tests = []
     for ordinal in sorted(range(len(rules)), key=lambda k: (rules[k].priority, k)):
         rule, own = rules[ordinal], []
@@ -253,9 +252,11 @@ def apply_rules(cells: DataFrame, rules: Sequence[Rule], *, name: str = "dxf", k
             for ref in _refs(tree).union(*_ranges(tree)) if tree else ():
                 how_r, row, how_c, col = _place(rule, ref)
                 inside = inside & (F.lit(True) if how_r == "at" else F.col("r") + row >= 1) & (F.lit(True) if how_c == "at" else F.col("c") + col >= 1)
-        tests.append(F.when(inside & rule_hits(rule, own, cell, kind, F.col(lowered)), F.lit(rule.dxf)))
+        tests.append(F.when(inside & rule_hits(rule, own, cell, kind, lower_text(cell)), F.lit(rule.dxf)))
     chosen = F.coalesce(*tests) if tests else F.lit(None).cast("int")
-    return out.select(*cells.columns, chosen.alias(name))
+    # As a lambda's value the choice stays out of the row loop's generated method, which grows too large
+    # for the JVM to compile with a few rules.
+    return out.select(*cells.columns, let(F.lit(0), lambda _: chosen).alias(name))
 
 
 def match_rectangles(cells: DataFrame, areas: DataFrame, *, keys: Sequence[str] = KEYS, bucket: int = 64) -> DataFrame:
