@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quire.operators import aggregates, charts, condfmt, fidelity, layout, lookups, numbering, styles
+from quire.plans import documents
 
 
 def rows(df, *columns):
@@ -119,6 +120,17 @@ def test_counters(spark):
     assert [g[0] for g in got] == ["1.)0", "1.a)0", "1.b)0", "1.b)I", "2.)0", "2.a)0", "2.a)I", "2.a)II"]
 
 
+def test_a_supplier_with_key_0_stands_below_its_nation(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(0, "R")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    spark.createDataFrame([(k, f"N{k}", 0) for k in range(3)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(k, f"S{k}", 1) for k in range(3)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    made = documents._outline
+    for first in (F.asc, F.desc):  # whichever level an exchange brings first
+        monkeypatch.setattr(documents, "_outline", lambda *a, first=first: made(*a).coalesce(1).orderBy(first("lvl")))
+        got = dict(rows(documents.list_numbering_3level(spark, str(tmp_path)), "name", "label"))
+        assert got == {"R": "1.", "N0": "1.1", "N1": "1.2", "N2": "1.3", "S0": "1.2.1", "S1": "1.2.2", "S2": "1.2.3"}
+
+
 def test_overrides_share_the_abstract_list(spark):
     items = spark.createDataFrame([(1, i, n, lv) for i, (n, lv) in enumerate([("a", 0), ("a", 0), ("b", 0), ("a", 0), ("b", 1), ("b", 0), ("z", 0)])], "doc_id int, ord int, num_id string, level int")
     inst = spark.createDataFrame([(1, "a", "x", [1, 1], None), (1, "b", "x", [1, 1], {0: 7})], "doc_id int, num_id string, abstract_id string, starts array<long>, overrides map<int,long>")
