@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from quire.batches import mapped
 from quire.staging import fresh_dir, release, shared_dir, staged
 
 __all__ = ["fresh_dir", "mapped", "own_name", "release", "shared_dir", "staged", "table", "tasks_for", "word_count", "worker_state"]
@@ -20,37 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-#: Bytes of an Arrow batch: a worker holds a few batches, whatever the length of the texts.
-BATCH_BYTES = 4 << 20
-#: Spark's own value of the setting, which stands for no choice of the caller.
-UNSET_BYTES = "67108864b"
-
-
-def _give_back() -> None:
-    """Return freed memory to the system: workers live on while other stages need the room."""
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
-def mapped(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` over batches of bounded size; a task gives its memory back at its end.
-
-    Spark has no bound for a single call, so the session's is set, unless the caller has set one.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(key) == UNSET_BYTES:
-        conf.set(key, str(BATCH_BYTES))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            _give_back()
-
-    return df.mapInArrow(whole, schema)
-
-
 _STATE: dict = {}
 
 
