@@ -42,7 +42,7 @@ def condfmt_range_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.pmod("l_suppkey", F.lit(3)).cast("int")
     lines = table(spark, sf_dir, "lineitem").withColumn("doc_id", doc).withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
     cells = lines.selectExpr("doc_id", "0 sheet_idx", "r", "1 c", "'number' kind", "l_quantity num", "cast(null as string) txt", "cast(null as boolean) flag")
-    area = (1, 1, 1_048_576, 1)
+    area = (1, 1, 2**31 - 1, 1)  # the whole column, however many lines a document has
     rules = (condfmt.Rule(area, 2, 1, "cellIs", "greaterThan", ("AVERAGE($A$1:$A$30000)",)), condfmt.Rule(area, 1, 2, "expression", "", ("A1=MAX($A$1:$A$30000)",)))
     return condfmt.apply_rules(cells, rules).groupBy("doc_id", "dxf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("num").cast("long")).alias("total"))
 
