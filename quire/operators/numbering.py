@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from quire.batches import mapped
 from quire.functions.scalars import numeral
 
 
@@ -54,33 +57,36 @@ def counters_with_overrides(items: DataFrame, instances: DataFrame, levels: int
     plain = F.min(F.col("_plain")).over(Window.partitionBy("doc_id", "abstract_id"))
     alike = F.size(F.collect_set("starts").over(Window.partitionBy("doc_id", "abstract_id"))) <= 1
     known = items.join(state.withColumn("_plain", plain & alike), ["doc_id", "num_id"])
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in items.schema)}, counts array<long>"
     names = items.columns
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ord", kind="stable")
-        state: dict[str, list[int]] = {}
-        used: set[tuple[str, int]] = set()
-        out = []
-        for row in group.itertuples(index=False):
-            starts = [int(x) for x in row.starts]
-            now = state.setdefault(row.abstract_id, [x - 1 for x in starts])
-            k = int(row.level)
-            if k >= len(now):
-                out.append(None)
-                continue
-            if (row.num_id, k) not in used:
-                used.add((row.num_id, k))
-                given = dict(row.overrides or {}).get(k)
-                if given is not None:
-                    now[k] = int(given) - 1
-            now[k] += 1
-            now[k + 1 :] = [x - 1 for x in starts[k + 1 :]]
-            out.append(list(now))
-        return group[names].assign(counts=out)
-
-    # Lists without overrides are windows; a list with some is read in order, an abstract list at a time.
-    held = known.where("not _plain").groupBy("doc_id", "abstract_id").applyInPandas(run, schema)
+    schema = StructType([*items.schema.fields, StructField("counts", ArrayType(LongType()))])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now, used = None, [], set()
+        for batch in batches:
+            rows = batch.to_pydict()
+            out: list[list[int] | None] = []
+            for *this, num_id, level, starts, overrides in zip(*[rows[c] for c in ("doc_id", "abstract_id", "num_id", "level", "starts", "overrides")], strict=True):
+                if this != key:
+                    key, now, used = this, [x - 1 for x in starts], set()
+                k = int(level)
+                if k >= len(now):
+                    out.append(None)
+                    continue
+                if (num_id, k) not in used:
+                    used.add((num_id, k))
+                    given = dict(overrides or ()).get(k)
+                    if given is not None:
+                        now[k] = given - 1
+                now[k] += 1
+                now[k + 1 :] = [x - 1 for x in starts[k + 1 :]]
+                out.append(list(now))
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(out, arrow.field("counts").type)], names=[*names, "counts"])
+
+    # Lists without overrides are windows; a list with some is read in order. A task runs through its lists one
+    # after another, with the state of one at a time.
+    lists = known.where("not _plain").repartition("doc_id", "abstract_id").sortWithinPartitions("doc_id", "abstract_id", F.asc_nulls_last("ord"))
+    held = mapped(lists.select(*names, "abstract_id", "starts", "overrides"), run, schema)
     free = level_counts(known.where("_plain"), ["doc_id", "abstract_id"], "ord", "level", levels)
     counts = F.transform(F.slice("counts", F.lit(1), F.size("starts")), lambda n, k: n + F.get("starts", k) - 1)
     free = free.withColumn("counts", F.when(F.col("level") < F.size("starts"), counts))

@@ -20,3 +20,27 @@ def test_range_rules_reach_lines_beyond_a_sheets_rows(spark, tmp_path):
     duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     got = [tuple(r) for r in entry.queries()["condfmt_range_rule"](spark, str(tmp_path)).select("doc_id", "dxf", "n", "total").collect()]
     assert sorted(got, key=str) == sorted(duck.execute(f"SELECT doc_id, dxf, n, total FROM ({entry.oracle_sql()['condfmt_range_rule']})").fetchall(), key=str)
+
+
+def test_lists_with_overrides_take_no_frame_each(spark):
+    r = random.Random(7)
+    items = [(d, o, r.choice("ab"), r.choice([0, 0, 1, 2])) for d in range(6) for o in range(30)]
+    instances = [(d, n, "x", [1, 3], {0: 10} if n == "b" else {}) for d in range(6) for n in "ab"]
+    left = spark.createDataFrame(items, "doc_id long, ord long, num_id string, level int").repartition(3)
+    out = numbering.counters_with_overrides(left, spark.createDataFrame(instances, "doc_id long, num_id string, abstract_id string, starts array<bigint>, overrides map<int, bigint>"))
+    assert "FlatMapGroupsInPandas" not in plan(out)
+    want = {}
+    for d in range(6):
+        now, used = [0, 2], set()
+        for _, o, n, k in sorted(x for x in items if x[0] == d):
+            if k > 1:
+                want[d, o] = None
+                continue
+            if (n, k) not in used and n == "b" and k == 0:
+                now[0] = 9
+            used.add((n, k))
+            now[k] += 1
+            if k == 0:
+                now[1] = 2
+            want[d, o] = list(now)
+    assert {(x.doc_id, x.ord): x.counts for x in out.collect()} == want
