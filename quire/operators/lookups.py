@@ -51,15 +51,29 @@ def relationships(refs: DataFrame, rels: DataFrame, parts: DataFrame) -> DataFra
     return refs.join(inside, ["doc_id", "part", "rid"]).join(data, ["doc_id", "target"])
 
 
-def nearest_run(points: DataFrame, runs: DataFrame, keys: Sequence[str], at: str, start: str, end: str, value: str) -> DataFrame:
+def nearest_run(points: DataFrame, runs: DataFrame, keys: Sequence[str], at: str, start: str, end: str, value: str, parts: int = 64) -> DataFrame:
     """The run that holds each point: start <= at < end. Runs do not overlap, so the last start at
-    or before the point decides; one sort by position, no pairwise comparison."""
+    or before the point decides.
+
+    Quantiles of the positions cut them into ranges, each sorted by a task of its own, so that one
+    document's points need not fit in one; a range takes over the last run that starts before it.
+    """
     a = points.withColumn("_t", F.lit(1)).withColumn("_at", F.col(at)).withColumn("_run", F.lit(None).cast(f"struct<end:{runs.schema[end].dataType.simpleString()},value:{runs.schema[value].dataType.simpleString()}>"))
     b = runs.select(*keys, F.col(start).alias("_at"), F.lit(0).alias("_t"), F.struct(F.col(end).alias("end"), F.col(value).alias("value")).alias("_run"))
-    every = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_at", "_t").rowsBetween(Window.unboundedPreceding, 0)
+    places = a.select("_at").unionByName(b.select("_at"))
+    cuts = sorted(set(places.agg(F.percentile_approx("_at", [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("_at"))) if cuts else F.lit(0)
+    every = a.unionByName(b, allowMissingColumns=True).withColumn("_part", part)
+    held = [*keys, "_part"]
+    last = b.withColumn("_part", part).groupBy(*held).agg(F.max_by("_run", "_at").alias("_run"))
+    last = a.withColumn("_part", part).select(*held).distinct().withColumn("_run", F.lit(None).cast(last.schema["_run"].dataType)).unionByName(last).groupBy(*held).agg(F.max("_run").alias("_run"))
+    before = last.withColumn("_before", F.last("_run", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.select(*[F.col(k).alias(f"_of_{k}") for k in held], "_before")
+    w = Window.partitionBy(*held).orderBy("_at", "_t").rowsBetween(Window.unboundedPreceding, 0)
     found = every.withColumn("_last", F.last("_run", ignorenulls=True).over(w)).where("_t = 1")
-    return found.withColumn(value, F.when(F.col("_last.end") > F.col(at), F.col("_last.value"))).drop("_t", "_at", "_run", "_last")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in held]
+    found = found.join(before, same, "left").withColumn("_last", F.coalesce("_last", "_before"))
+    return found.withColumn(value, F.when(F.col("_last.end") > F.col(at), F.col("_last.value"))).drop("_t", "_at", "_run", "_last", "_part", "_before", *[f"_of_{k}" for k in held])
 
 
 def column_widths(columns: DataFrame, specs: DataFrame, keys: Sequence[str], default: float, most: int = 16_384) -> DataFrame:

@@ -44,3 +44,16 @@ def test_lists_with_overrides_take_no_frame_each(spark):
                 now[1] = 2
             want[d, o] = list(now)
     assert {(x.doc_id, x.ord): x.counts for x in out.collect()} == want
+
+
+def test_points_of_one_document_are_cut_into_ranges(spark):
+    r = random.Random(3)
+    runs = [(0, 10 * k, 10 * k + r.randint(1, 10), f"v{k}") for k in range(60) if k % 7]
+    points = [(0, n, r.randint(-5, 640)) for n in range(800)]
+    found = lookups.nearest_run(spark.createDataFrame(points, "d int, n int, at int"), spark.createDataFrame(runs, "d int, s int, e int, v string"), ["d"], "at", "s", "e", "v", parts=9)
+    want = {n: next((v for _, s, e, v in runs if s <= at < e), None) for _, n, at in points}
+    assert {x.n: x.v for x in found.collect()} == want
+    assert "_part" in plan(found)
+    one = [(None, 1, 55)]
+    same = lookups.nearest_run(spark.createDataFrame(one, "d int, n int, at int"), spark.createDataFrame([(None, 50, 60, "v")], "d int, s int, e int, v string"), ["d"], "at", "s", "e", "v")
+    assert [tuple(x) for x in same.select("n", "v").collect()] == [(1, "v")]
