@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Mapping, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +26,12 @@ _CALLS: dict[str, Callable[..., float]] = {
 }
 
 
+@lru_cache(maxsize=4096)
+def _parts(formula: str) -> tuple[tuple[str | None, ...], ...]:
+    """Numbers, words and marks of a formula in turn; sheets of shapes repeat their formulas."""
+    return tuple(m.groups() for m in _PART.finditer(formula))
+
+
 def equation_value(text: str, equations: Mapping[str, str] = {}, modifiers: Sequence[float] = (), names: Mapping[str, float] = {}) -> float:  # noqa: B006
     """Value of a shape formula. ``?name`` is another equation, ``$n`` a modifier; what is missing,
     a division by 0 and a circle of equations over 64 deep are 0."""
@@ -41,7 +48,7 @@ def equation_value(text: str, equations: Mapping[str, str] = {}, modifiers: Sequ
         return known[name]
 
     def run(formula: str, depth: int) -> float:
-        parts = [m.groups() for m in _PART.finditer(formula)]
+        parts = _parts(formula)
         at = 0
 
         def sign() -> str | None:

@@ -57,3 +57,10 @@ def test_points_of_one_document_are_cut_into_ranges(spark):
     one = [(None, 1, 55)]
     same = lookups.nearest_run(spark.createDataFrame(one, "d int, n int, at int"), spark.createDataFrame([(None, 50, 60, "v")], "d int, s int, e int, v string"), ["d"], "at", "s", "e", "v")
     assert [tuple(x) for x in same.select("n", "v").collect()] == [(1, "v")]
+
+
+def test_equations_of_one_file_are_several_tasks(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("p_partkey"), F.col("id").cast("int").alias("p_size")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    out = entry.queries()["drawing_equations"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() > 1
+    assert {x.p_partkey: (x.plain, x.chosen, x.modified) for x in out.collect()} == {k: (2.0 * k + 100, max(k - 25.0, 0.0), k / 2) for k in range(40)}
