@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import drawing, numfmt, scalars, typeset
 from quire.functions import formula as X
 from quire.operators import charts, condfmt, fidelity, lookups, numbering, pages, styles
-from quire.plans.sheets import CELLS, line_cells, table
+from quire.plans.sheets import CELLS, TASK_BYTES, line_cells, staying, table
 from quire.sources import sniff
 
 QUERIES: dict = {}
@@ -376,7 +376,7 @@ SELECT s.doc_id, CAST(series_idx AS INTEGER) AS series_idx, CASE WHEN series_idx
 )
 def chart_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Charts of a sheet: values, categories and names from the areas that they refer to."""
-    cells = line_cells(spark, sf_dir).withColumn("shown", F.coalesce("txt", F.call_function("format_number", F.col("num"), F.lit("0.0"))))
+    cells = line_cells(staying(spark), sf_dir, TASK_BYTES // 4).withColumn("shown", F.coalesce("txt", F.call_function("format_number", F.col("num"), F.lit("0.0"))))
     last = cells.groupBy("doc_id", "sheet_idx").agg(F.max("r").cast("int").alias("n"))
     area = "struct(0 as chart, {} as series_idx, '{}' as role, 1 as r1, {} as c1, {} as r2, {} as c2)"
     areas = [area.format(k, "values", k + 1, "n + 1", k + 1) for k in (0, 1)] + [area.format(0, "categories", 4, 2, 4), area.format(0, "name", 1, 1, 1)]

@@ -64,3 +64,19 @@ def test_equations_of_one_file_are_several_tasks(spark, tmp_path):
     out = entry.queries()["drawing_equations"](spark, str(tmp_path))
     assert out.rdd.getNumPartitions() > 1
     assert {x.p_partkey: (x.plain, x.chosen, x.modified) for x in out.collect()} == {k: (2.0 * k + 100, max(k - 25.0, 0.0), k / 2) for k in range(40)}
+
+
+def test_tasks_of_line_items_grow_with_the_table(spark):
+    from quire.plans import sheets
+
+    assert sheets.by_order(spark.range(9), "id", 256 * sheets.TASK_BYTES).rdd.getNumPartitions() == 256
+    assert sheets.by_order(spark.range(9), "id", sheets.TASK_BYTES).rdd.getNumPartitions() <= 4
+
+
+def test_cells_of_pages_and_charts_stay_in_their_task(spark):
+    sf = "/root/testdata/sf0.001"
+    for name in ("page_cells", "chart_areas"):
+        found = plan(entry.queries()[name](spark, sf)).split("Initial Plan")[-1]
+        # Line items by order for each set of columns that is read, orders once; before, each join moved the cells.
+        assert not [x for x in found.splitlines() if "Exchange hashpartitioning" in x and any(f" {k}" in x or f"({k}" in x for k in ("bc#", "br#", "r#", "xf#", "page#"))]
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
